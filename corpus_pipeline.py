@@ -1,5 +1,71 @@
-"""A training-data pipeline over `documents`: quality rules, near copies, repeated passages, mixing, packing."""
-STAGES = []
+"""A training-data pipeline over `documents`: quality rules, near copies, repeated passages, mixing, packing.
+
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each stage's rows as Parquet and reads
+them again as the next one's docs. All stages but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+from dataclasses import replace
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from glimmer.llm import mixing, packing, quality, simhash, substrings
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+#: Target weights of the corpus; every document is taken once at most, and nearly all budget can be met.
+MIX = replace(mixing.PRODUCTION, budget_permille=900, epochs=1)
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the current policy rejects go."""
+    return quality.keep_good(docs.select(*COLUMNS))
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by near fingerprints, directly or over others, the one of the smallest id stays."""
+    return simhash.drop_near_copies(docs.select(*COLUMNS))
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages that a document of a smaller id has too go from the text; a document of nothing else goes."""
+    done = substrings.drop_repeats(docs, keep=("lang", "source"), layout="text")
+    left = done.where("n_removed < n_words OR n_words = 0")
+    return left.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", F.length("kept_text").cast("long").alias("n_chars"))
+
+
+def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the target weights take."""
+    return mixing.mix_sources(docs, MIX, keep=("text", "lang", "source", "n_chars")).select(*COLUMNS)
+
+
+def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents with their place in training sequences."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("near_copies", near_copies),
+    ("repeated_passages", repeated_passages),
+    ("mixed_sources", mixed_sources),
+    ("packed_sequences", packed_sequences),
+]
+
+#: SimHash and the tokenizer can't be expressed in DuckDB; tests hold run() against a brute-force version.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents table; intermediate tables go to the session's checkpoint folder."""
+    root = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="glimmer-pipeline-")
+    root = f"{root.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        stage(spark, docs, sf_dir).write.parquet(f"{root}/{name}")
+        docs = spark.read.parquet(f"{root}/{name}")
+    return docs

@@ -72,7 +72,7 @@ def contexts(tokens: np.ndarray, before: np.ndarray) -> np.ndarray:
     n = np.diff(before)
     place = np.arange(len(tokens)) - np.repeat(before[:-1], n)
     size = np.repeat(n, n)
-    out = np.zeros((len(tokens), 2 * SIDE), np.int64)
+    out = np.zeros((len(tokens), 2 * SIDE), np.int32)
     for k, step in enumerate([*range(-SIDE, 0), *range(1, SIDE + 1)]):
         there = (place + step >= 0) & (place + step < size)
         out[there, k] = tokens[np.flatnonzero(there) + step]

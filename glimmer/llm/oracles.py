@@ -47,4 +47,45 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
   CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, failed_bits % 4 <> 0 AS base_failed, failed_bits = 0 AS kept, failed_bits FROM d
 """
 
-ORACLES = {"op3_chat_formatting": OP3, "op5_substring_dedup": OP5, "op7_quality_rules": OP7}
+
+
+def _op1() -> str:
+    """Mixing with the production weights: the same budgets, level by level, and the prefix by one running sum."""
+    from glimmer.llm.mixing import PRODUCTION as mix
+
+    weights = ", ".join(f"('{k}', {v})" for k, v in sorted(mix.weights.items()))
+    domain = "CASE " + " ".join(f"WHEN regexp_full_match(s, '{p}') THEN '{n}'" for n, p in mix.domains) + f" ELSE '{mix.other_domain}' END"
+    ctes, given, parents = [], f"(SELECT (coalesce(sum(tokens), 0) * {mix.budget_permille} // 1000)::BIGINT FROM leaves)", ""
+    for depth, path in enumerate((("domain",), ("domain", "lang"), ("domain", "lang", "source"))):
+        p, key = ", ".join(path), " || '/' || ".join(path)
+        up = ", ".join(path[:-1])
+        over = f"PARTITION BY {up}" if up else ""
+        source = f"JOIN b{depth - 1} USING ({up})" if up else ""
+        ctes.append(f"""n{depth} AS (SELECT {p}, (CASE WHEN w > 0 THEN c ELSE 0 END)::BIGINT AS c, greatest(w, 1)::BIGINT AS w, g FROM
+          (SELECT x.*, coalesce(weights.w, 1) AS w, {"b%d.b" % (depth - 1) if up else given} AS g FROM (SELECT {p}, sum(tokens * {mix.epochs}) AS c FROM leaves GROUP BY {p}) x {source} LEFT JOIN weights ON weights.k = {key})),
+        o{depth} AS (SELECT *, least(g, sum(c) OVER ({over})) AS gg, coalesce(sum(c) OVER r, 0) AS c0, sum(w) OVER ({over}) - coalesce(sum(w) OVER r, 0) AS w0 FROM n{depth}
+          WINDOW r AS ({over} ORDER BY c / w, {path[-1]} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+        f{depth} AS (SELECT *, c * w0 <= (gg - c0) * w AS full_ FROM o{depth}),
+        b{depth} AS (SELECT {p}, CASE WHEN full_ THEN c ELSE (gg - coalesce(sum(c) FILTER (full_) OVER ({over}), 0)) * w // sum(w) FILTER (NOT full_) OVER ({over}) END AS b FROM f{depth})""")
+    return rf"""
+WITH weights(k, w) AS (VALUES {weights}),
+d0 AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS s, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS n_tokens FROM documents),
+d AS (SELECT doc_id, {domain} AS domain, lang, s AS source, n_tokens FROM d0),
+leaves AS (SELECT domain, lang, source, sum(n_tokens)::BIGINT AS tokens FROM d GROUP BY ALL),
+{", ".join(ctes)},
+plan AS (SELECT domain, lang, source, coalesce(b // nullif(tokens, 0), 0)::BIGINT AS whole, (b - coalesce(b // nullif(tokens, 0), 0) * tokens)::BIGINT AS rest FROM leaves JOIN b2 USING (domain, lang, source)),
+placed AS (SELECT d.*, whole, rest, md5(concat_ws(':', '{mix.seed}', whole::VARCHAR, doc_id::VARCHAR)) AS place FROM d JOIN plan USING (domain, lang, source)),
+upto AS (SELECT *, sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY place) AS u FROM placed),
+n AS (SELECT *, whole + (rest > 0 AND u <= rest)::INT AS n FROM upto)
+SELECT doc_id, domain, lang, source, n_tokens::BIGINT AS n_tokens, unnest(range(n))::BIGINT AS epoch FROM n WHERE n > 0
+"""
+
+
+OP4 = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+ORACLES = {"op1_source_mixing": _op1(), "op4_exact_top_k": OP4, "op3_chat_formatting": OP3, "op5_substring_dedup": OP5, "op7_quality_rules": OP7}
