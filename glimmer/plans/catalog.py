@@ -1,2 +1,6 @@
-QUERIES: dict = {}
-ORACLES: dict = {}
+"""All registered queries of the radar: importing a module registers its queries."""
+
+from glimmer.plans import space, terms, trade  # noqa: F401
+from glimmer.plans.panels import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
