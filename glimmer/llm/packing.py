@@ -32,7 +32,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from glimmer.llm import shared
-from glimmer.llm.tokens import pieces_for, tokenizer_path
+from glimmer.llm.tokens import encoder_for, files
 
 CAPACITY, END_ID = 2048, 0
 #: Lengths above capacity / LARGE are large. The plan of the fewest sequences is taken: a high threshold leaves
@@ -180,15 +180,15 @@ def make_plan(counts: np.ndarray, capacity: int, large: int, groups: int) -> Pla
     return Plan(lo, start, per, used)
 
 
-def _cut(path: str, capacity: int, end_id: int, with_ids: bool):
+def _cut(path: str, ranks_path: str | None, capacity: int, end_id: int, with_ids: bool):
     names = ["id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, end = pieces_for(path), np.array([end_id], "<u4")
+        encoder, end = encoder_for(path, ranks_path), np.array([end_id], "<u4")
         for batch in batches:
             for part in shared.portions(batch, "text", 1 << 20):
                 texts = [t or "" for t in part.column("text").to_pylist()]
-                got = pieces.encode(texts)
+                got = encoder.encode(texts)
                 row, number, begin, size, crc, ids = [], [], [], [], [], []
                 for i in range(len(texts)):
                     own = np.concatenate([got.ids[got.edges[i] : got.edges[i + 1]].astype("<u4"), end])
@@ -222,12 +222,12 @@ def _assigned(plan: Plan, before: dict[int, int]):
     return run
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, ranks_path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
     """(id, piece, start, length, ids_crc32, sequence_id, offset) per piece, and ids (array<int>) if asked for."""
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     schema = f"id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint" + (", ids array<int>" if with_ids else "")
-    cut = shared.settled(rows.mapInArrow(_cut(path or tokenizer_path(), capacity, end_id, with_ids), schema))
+    cut = shared.settled(rows.mapInArrow(_cut(*files(path, ranks_path), capacity, end_id, with_ids), schema))
     ranked = shared.settled(cut.orderBy(F.desc("length"), "id", "piece", "ids_crc32").withColumn("place", F.monotonically_increasing_id()))
     # One row for each length, at most `capacity`, and one for each partition of the sort.
     lengths = ranked.groupBy("length").count().collect()

@@ -1,9 +1,9 @@
 """Operator 9, token counts: offset-mapped attribution; and the tokenizer that operators 9 and 10 share.
 
-A whole text is encoded once. The public byte-level BPE splits a text before every single space that stands
-between two characters that aren't white space, whatever stands around, so that pieces between such places can
-be encoded on their own and remembered: the ids and offsets are those of the whole text. Pieces that were
-met before cost a dictionary look-up.
+A whole text is encoded once, with the public byte-level BPE. Its vocabulary comes in two forms, for the library
+`tokenizers` and as ranks for `tiktoken`, with the same ids; texts of Latin letters, where both
+split alike (tests compare them), are encoded by the faster one, all others by `tokenizers`. Every id stands for a
+fixed number of bytes, so that the ids alone give each token's span of bytes and, with the text, of characters.
 
 Tokens' character spans are then joined to sections (the lines of a text, or any spans the caller gives) as
 intervals. A token that crosses a boundary is allocated by an explicit rule:
@@ -19,6 +19,7 @@ their own; an empty table gives no rows; a null id is kept; other columns are le
 
 from __future__ import annotations
 
+import base64
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -30,14 +31,11 @@ from pyspark.sql import functions as F
 
 from glimmer.llm import shared
 
-TOKENIZER = "byte_bpe_50k.json"
-#: Pieces remembered by a Python worker before it starts anew.
-REMEMBERED = 700_000
+TOKENIZER, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 RULES = ("start", "end", "longest")
 
-#: Python's white space holds all that the tokenizer's does, so no place is cut wrongly.
-_UNEVEN = re.compile(r"\s | (?:\s|$)")
-_BETWEEN = re.compile(r"(?<=\S)(?= \S)")
+#: What only `tokenizers` encodes: letters beyond Latin.
+_OTHER = re.compile(r"[^\x00-\u024F]")
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -46,110 +44,72 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
-def pieces_of(text: str) -> list[str]:
-    """The text in pieces that encode independently; together they are the text."""
-    if not text:
-        return []
-    if _UNEVEN.search(text) or text[0] == " ":
-        return _BETWEEN.split(text)
-    first, *rest = text.split(" ")
-    return [first, *[" " + x for x in rest]]
+def files(path: str | None, ranks_path: str | None) -> tuple[str, str | None]:
+    """The files given, or else the public ones."""
+    return (path, ranks_path) if path else (tokenizer_path(TOKENIZER), tokenizer_path(RANKS))
 
 
-class _Grown:
-    """A numpy array that grows at its end."""
-
-    def __init__(self, kind):
-        self.n, self.all = 0, np.zeros(1 << 12, kind)
+@dataclass(frozen=True)
+class Encoded:
+    """ids of several texts' tokens; edges[i]:edges[i + 1] are those of text i."""
 
-    def add(self, more: np.ndarray) -> None:
-        if self.n + len(more) > len(self.all):
-            self.all = np.concatenate([self.all[: self.n], np.zeros(max(len(self.all), len(more)), self.all.dtype)])
-        self.all[self.n : self.n + len(more)] = more
-        self.n += len(more)
+    ids: np.ndarray
+    edges: np.ndarray
 
 
-class Pieces:
-    """Remembers the tokens of pieces: ids and character offsets, one piece after another."""
+class Encoder:
+    """Encodes whole texts; special tokens' strings are ordinary text."""
 
-    def __init__(self, path: str, remembered: int = REMEMBERED):
+    def __init__(self, path: str, ranks_path: str | None):
+        import public_tokenizers
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.remembered = remembered
-        self.clear()
-
-    def clear(self) -> None:
-        self.number: dict[str, int] = {}
-        self.begin, self.size, self.chars = _Grown(np.int64), _Grown(np.int64), _Grown(np.int64)
-        self.ids, self.first, self.past = _Grown(np.uint32), _Grown(np.int32), _Grown(np.int32)
-
-    def _learn(self, new: list[str]) -> None:
-        # Pieces that begin with a space can stand one after another in one text; others are encoded alone.
-        spaced = [p for p in new if p[0] == " "]
-        alone = [p for p in new if p[0] != " "]
-        runs = [spaced[a : a + 512] for a in range(0, len(spaced), 512)] + [[p] for p in alone]
-        for a in range(0, len(runs), 64):
-            some = runs[a : a + 64]
-            for run, got in zip(some, self.tokenizer.encode_batch(["".join(r) for r in some], add_special_tokens=False)):
-                spans = np.array(got.offsets, np.int64).reshape(-1, 2)
-                length = np.array([len(p) for p in run], np.int64)
-                starts = np.cumsum(length) - length
-                owner = np.searchsorted(starts, spans[:, 0], "right") - 1
-                size = np.bincount(owner, minlength=len(run))
-                self.begin.add(self.ids.n + np.cumsum(size) - size)
-                self.size.add(size)
-                self.chars.add(length)
-                self.ids.add(np.array(got.ids, np.uint32))
-                self.first.add(spans[:, 0] - starts[owner])
-                self.past.add(spans[:, 1] - starts[owner])
-        n = len(self.number)
-        for run in runs:
-            for p in run:
-                self.number[p] = n
-                n += 1
+        self.quick = None
+        if ranks_path:
+            with open(ranks_path, "rb") as lines:
+                ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+            self.quick = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        vocabulary = self.tokenizer.get_vocab()
+        self.n_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, i in vocabulary.items():  # in byte-level BPE a letter of a token is a byte
+            self.n_bytes[i] = len(token)
 
     def encode(self, texts: list[str]) -> Encoded:
-        """The tokens of all texts, one after another."""
-        if len(self.number) > self.remembered:
-            self.clear()
-        parts = [pieces_of(t) for t in texts]
-        known = self.number
-        new = [p for p in {p: None for t in parts for p in t} if p not in known]
-        if new:
-            self._learn(new)
-        own = np.array([known[p] for t in parts for p in t], np.int64)
-        size, chars = self.size.all[own], self.chars.all[own]
-        last = np.cumsum(size)
-        at = np.arange(last[-1] if len(last) else 0) + np.repeat(self.begin.all[own] - last + size, size)
-        edges = np.cumsum([0, *map(len, parts)])
-        tokens, before = np.r_[0, last][edges], np.r_[0, np.cumsum(chars)]
-        moved = np.repeat(before[:-1] - np.repeat(before[edges[:-1]], np.diff(edges)), size)
-        return Encoded(self.ids.all[at], self.first.all[at] + moved, self.past.all[at] + moved, tokens)
-
-
-@dataclass(frozen=True)
-class Encoded:
-    """ids and character spans of several texts' tokens; edges[i]:edges[i + 1] are those of text i."""
-
-    ids: np.ndarray
-    first: np.ndarray
-    past: np.ndarray
-    edges: np.ndarray
-
-
-_LIVE: dict[str, Pieces] = {}
-
-
-def pieces_for(path: str) -> Pieces:
-    """One set of pieces for a Python worker."""
+        out: list = [None] * len(texts)
+        slow = []
+        for i, text in enumerate(texts):
+            if self.quick is None or _OTHER.search(text):
+                slow.append(i)
+            else:
+                out[i] = self.quick.encode_to_numpy(text, disallowed_special=())
+        if slow:
+            for i, got in zip(slow, self.tokenizer.encode_batch_fast([texts[i] for i in slow], add_special_tokens=False)):
+                out[i] = np.array(got.ids, np.uint32)
+        edges = np.cumsum([0, *map(len, out)])
+        return Encoded(np.concatenate([np.zeros(0, np.uint32), *out]), edges)
+
+    def spans(self, text: str, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The first and the past-last character of each token of a text."""
+        last = np.cumsum(self.n_bytes[ids])
+        data = np.frombuffer(text.encode(), np.uint8)
+        character = np.cumsum((data & 0xC0) != 0x80) - 1
+        return character[last - self.n_bytes[ids]], character[last - 1] + 1
+
+
+_LIVE: dict[tuple, Encoder] = {}
+
+
+def encoder_for(path: str, ranks_path: str | None) -> Encoder:
+    """One encoder for a Python worker."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    if path not in _LIVE:
-        _LIVE[path] = Pieces(path)
-    return _LIVE[path]
+    if (path, ranks_path) not in _LIVE:
+        _LIVE[path, ranks_path] = Encoder(path, ranks_path)
+    return _LIVE[path, ranks_path]
 
 
 def line_starts(text: str) -> np.ndarray:
@@ -177,19 +137,19 @@ def attributed(starts: np.ndarray, first: np.ndarray, past: np.ndarray, rule: st
     return out
 
 
-def _counted(path: str, rule: str, sections: Callable[[str], np.ndarray]):
+def _counted(path: str, ranks_path: str | None, rule: str, sections: Callable[[str], np.ndarray]):
     names = ["id", "section", "start_char", "n_chars", "n_tokens", "n_crossing"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = pieces_for(path)
+        encoder = encoder_for(path, ranks_path)
         for batch in batches:
             for part in shared.portions(batch, "text", 1 << 20):
                 texts = [t or "" for t in part.column("text").to_pylist()]
                 row, number, begin, chars, tokens, crossing = [], [], [], [], [], []
-                all_tokens = pieces.encode(texts)
+                got = encoder.encode(texts)
                 for i, text in enumerate(texts):
-                    starts, own = sections(text), slice(*all_tokens.edges[i : i + 2])
-                    first, past = all_tokens.first[own], all_tokens.past[own]
+                    starts, own = sections(text), got.ids[got.edges[i] : got.edges[i + 1]]
+                    first, past = encoder.spans(text, own)
                     own = attributed(starts, first, past, rule)
                     crosses = np.searchsorted(starts, np.maximum(past - 1, first), "right") - 1 > np.searchsorted(starts, first, "right") - 1
                     row.append(np.full(len(starts), i))
@@ -204,14 +164,16 @@ def _counted(path: str, rule: str, sections: Callable[[str], np.ndarray]):
     return run
 
 
-def section_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, rule: str = "start", sections: Callable[[str], np.ndarray] = line_starts) -> DataFrame:
+def section_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, ranks_path: str | None = None, rule: str = "start", sections: Callable[[str], np.ndarray] = line_starts) -> DataFrame:
     """(id, section, start_char, n_chars, n_tokens, n_crossing) for every section of every text.
 
+    path and ranks_path: the tokenizer's files; with neither the public ones, with path alone no ranks are used.
     n_crossing: tokens of the section that hold characters of a later one as well.
     """
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")
+    path, ranks_path = files(path, ranks_path)
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    done = rows.mapInArrow(_counted(path or tokenizer_path(), rule, sections), f"id {kind}, section bigint, start_char bigint, n_chars bigint, n_tokens bigint, n_crossing bigint")
+    done = rows.mapInArrow(_counted(path, ranks_path, rule, sections), f"id {kind}, section bigint, start_char bigint, n_chars bigint, n_tokens bigint, n_crossing bigint")
     return done.withColumnRenamed("id", id_col)
