@@ -34,8 +34,8 @@ def exclusion() -> Column:
 
 
 def axes_view(rows: DataFrame) -> DataFrame:
-    """Axes as 0 to 1 bars, rounded half up."""
-    clip = lambda x: F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0))
+    """Axes as 0 to 1 bars, rounded half up; what wasn't measured stays NULL."""
+    clip = lambda x: F.when(x.isNotNull(), F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0)))
     return rows.withColumns({"incremental": F.round(clip(F.col("incremental_lex") / 6), 3), "stage_early": F.round(1 / (1 + F.exp(-F.col("stage_accel"))), 3), "layer_early": F.col("layer_only_science").cast("double"), "novelty": F.round(clip(F.col("doc_novelty_mean") / 0.5), 3)})
 
 
