@@ -41,7 +41,7 @@ def chunks(text: Column, boundary: Iterable[str] = L.BOUNDARY) -> Column:
 
     def piece(p: Column) -> Column:
         marked = F.aggregate(F.regexp_extract_all(p, F.lit(L.TOKEN), 0), empty, step, lambda a: a["out"])
-        return F.filter(F.transform(F.split(marked, r"\|"), F.trim), lambda c: c != "")
+        return F.filter(F.transform(F.split(marked, r"\|"), lambda c: F.trim(c)), lambda c: c != "")
 
     return F.transform(F.flatten(F.transform(F.split(normalized(text, boundary), L.PIECE_BREAK), piece)), lambda c: F.split(c, " "))
 

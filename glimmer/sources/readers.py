@@ -14,13 +14,13 @@ from glimmer.functions.text import company_name, rebuilt_abstract
 
 DOCUMENT = T.StructType([T.StructField("doc_id", T.StringType()), T.StructField("source", T.StringType()), T.StructField("year", T.IntegerType()), T.StructField("grp", T.StringType()), T.StructField("title", T.StringType()), T.StructField("text", T.StringType()), T.StructField("doi", T.StringType())])
 
-PAPER = T.StructType.fromDDL(
+PAPER = (
     "id string, title string, display_name string, year int, publication_year int, abstract string, abstract_inverted_index map<string, array<int>>, "
     "keywords array<string>, authorships array<struct<institutions: array<struct<id: string, type: string, country: string>>>>, referenced_works array<string>, source string, doi string, subfield string"
 )
 
 
-def raw_json(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def raw_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Lines of JSON, gzip or not, under Hive-style folders; truncated files end silently, broken lines are dropped."""
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").option("ignoreCorruptFiles", "true").option("recursiveFileLookup", "false").json(path)
 
@@ -38,7 +38,7 @@ def has_origin(authorships: Column, references: Column) -> Column:
 def papers(raw: DataFrame) -> DataFrame:
     """Both shapes of paper records; preprint copies and self-publications go. Title, abstract and keywords make the text."""
     none = lambda kind: F.lit(None).cast(kind)
-    raw = with_optional(raw, {f.name: none(f.dataType) for f in PAPER.fields})
+    raw = with_optional(raw, {f.name: none(f.dataType) for f in T.StructType.fromDDL(PAPER).fields})
     title = F.coalesce("title", "display_name", F.lit(""))
     abstract = F.coalesce(F.col("abstract"), rebuilt_abstract(F.col("abstract_inverted_index")), F.lit(""))
     keywords = F.concat_ws(" ; ", F.col("keywords"))
