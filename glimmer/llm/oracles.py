@@ -88,4 +88,39 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 5
 """
 
-ORACLES = {"op1_source_mixing": _op1(), "op4_exact_top_k": OP4, "op3_chat_formatting": OP3, "op5_substring_dedup": OP5, "op7_quality_rules": OP7}
+
+def _op8() -> str:
+    """License scan: base phrases by position, templates by votes, all from one table of words."""
+    from glimmer.llm.licenses import BASE_PHRASES, PLAIN, TEMPLATES
+
+    rows = []
+    for t, x in enumerate(TEMPLATES):
+        words, key = x.text.split(), x.key.split()
+        at = next(i for i in range(len(words)) if words[i : i + len(key)] == key)
+        rows += [f"({t}, {i}, '{w}', {w not in PLAIN}, {at <= i < at + len(key)})" for i, w in enumerate(words)]
+    labels = ", ".join(f"({t}, '{x.label}', {len(x.key.split())})" for t, x in enumerate(TEMPLATES))
+    base = " UNION ALL ".join(
+        f"SELECT w0.doc_id, w0.p, '{label}' AS label FROM w w0 " + " ".join(f"JOIN w w{j} ON w{j}.doc_id = w0.doc_id AND w{j}.p = w0.p + {j} AND w{j}.x = '{x}'" for j, x in enumerate(phrase.split()) if j) + f" WHERE w0.x = '{phrase.split()[0]}'"
+        for phrase, label in BASE_PHRASES
+    )
+    return rf"""
+WITH post(t, i, x, rare, key) AS (VALUES {", ".join(rows)}), lab(t, label, n_keys) AS (VALUES {labels}),
+d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+w AS (SELECT doc_id, unnest(ws) AS x, unnest(range(len(ws))) AS p FROM d),
+base AS ({base}),
+n AS (SELECT count(*) AS n FROM documents), vocab AS (SELECT DISTINCT x FROM post WHERE rare),
+df AS (SELECT vocab.x, count(DISTINCT doc_id) AS df FROM vocab LEFT JOIN w USING (x) GROUP BY ALL), idf AS (SELECT x, round(ln((n + 1) / (df + 1)) + 1, 6) AS idf FROM df, n),
+top AS (SELECT doc_id, x FROM (SELECT DISTINCT doc_id, x FROM w SEMI JOIN vocab USING (x)) JOIN idf USING (x) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY idf DESC, x) <= 12),
+ttop AS (SELECT t, x, idf FROM (SELECT DISTINCT t, x FROM post WHERE rare) JOIN idf USING (x) QUALIFY row_number() OVER (PARTITION BY t ORDER BY idf DESC, x) <= 12),
+total AS (SELECT t, sum(idf) AS total FROM post JOIN ttop USING (t, x) GROUP BY ALL),
+votes AS (SELECT w.doc_id, post.t, w.p - post.i AS start, count(*) FILTER (key) AS keys, coalesce(sum(idf.idf) FILTER (top.x IS NOT NULL), 0) AS weight FROM w JOIN post USING (x) LEFT JOIN top ON top.doc_id = w.doc_id AND top.x = w.x LEFT JOIN idf ON idf.x = w.x WHERE w.doc_id IN (SELECT doc_id FROM top) GROUP BY ALL),
+met AS (SELECT doc_id, label, least(weight / total, 1) AS score FROM votes JOIN lab USING (t) JOIN total USING (t) WHERE keys = n_keys AND weight >= 0.5 * total),
+b AS (SELECT doc_id, count(*) AS n_base, min(p) AS first_word, max(p) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM base GROUP BY ALL),
+l AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM base UNION ALL SELECT doc_id, label FROM met) GROUP BY ALL),
+m AS (SELECT doc_id, max(score) AS score FROM met GROUP BY ALL)
+SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, round(CASE WHEN n_base > 0 THEN 1 ELSE coalesce(m.score, 0) END, 6)::DOUBLE AS score
+FROM d LEFT JOIN b USING (doc_id) LEFT JOIN l USING (doc_id) LEFT JOIN m USING (doc_id)
+"""
+
+
+ORACLES = {"op1_source_mixing": _op1(), "op4_exact_top_k": OP4, "op3_chat_formatting": OP3, "op5_substring_dedup": OP5, "op7_quality_rules": OP7, "op8_license_scan": _op8()}
