@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -14,6 +14,11 @@ def one_of(x: Column, words: Iterable[str]) -> Column:
     return x.isin(*sorted(words))
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is evaluated once, however often body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def normalized(text: Column, boundary: Iterable[str] = L.BOUNDARY) -> Column:
     """Lower case; `_` becomes a space; a hyphen chain with a boundary word inside is glued by `_`, others split."""
     pieces = F.regexp_extract_all(F.replace(F.lower(F.coalesce(text, F.lit(""))), F.lit("_"), F.lit(" ")), F.lit("[a-z0-9]+(?:-[a-z0-9]+)*|[^a-z0-9]+"), 0)
@@ -31,16 +36,16 @@ def chunks(text: Column, boundary: Iterable[str] = L.BOUNDARY) -> Column:
 
     A number stays only right after a word of its chunk, and never if it is a year.
     """
-    empty = F.struct(F.lit("").alias("out"), F.lit(None).cast("string").alias("last"))
 
-    def step(a: Column, tok: Column) -> Column:
-        number = F.replace(tok, F.lit("."), F.lit("")).rlike("^[0-9]+$")
-        bad = number & (a["last"].isNull() | tok.rlike("^(19|20)[0-9][0-9]$") | a["last"].rlike("^[0-9]+$"))
-        cut = one_of(tok, boundary) | F.coalesce(bad, F.lit(True) & number)
-        return F.struct(F.when(cut, F.concat(a["out"], F.lit("|"))).otherwise(F.concat_ws(" ", a["out"], tok)).alias("out"), F.when(~cut, tok).alias("last"))
+    def step(out: Column, tok: Column) -> Column:
+        # Digits sort before ":", letters after it: most tokens need no pattern.
+        number = (tok < ":") & F.replace(tok, F.lit("."), F.lit("")).rlike("^[0-9]+$")
+        first = (out == "") | out.endswith("|")
+        cut = one_of(tok, boundary) | (number & (first | tok.rlike("^(19|20)[0-9][0-9]$") | F.substring_index(out, " ", -1).rlike("^[0-9]+$")))
+        return F.when(cut, F.concat(out, F.lit("|"))).otherwise(F.concat(out, F.lit(" "), tok))
 
     def piece(p: Column) -> Column:
-        marked = F.aggregate(F.regexp_extract_all(p, F.lit(L.TOKEN), 0), empty, step, lambda a: a["out"])
+        marked = F.aggregate(F.regexp_extract_all(p, F.lit(L.TOKEN), 0), F.lit(""), step)
         return F.filter(F.transform(F.split(marked, r"\|"), lambda c: F.trim(c)), lambda c: c != "")
 
     return F.transform(F.flatten(F.transform(F.split(normalized(text, boundary), L.PIECE_BREAK), piece)), lambda c: F.split(c, " "))
@@ -48,15 +53,16 @@ def chunks(text: Column, boundary: Iterable[str] = L.BOUNDARY) -> Column:
 
 def ngrams(chunk: Column, low: int = 2, high: int = 4, start_bad: Iterable[str] = L.START_BAD, end_bad: Iterable[str] = L.END_BAD) -> Column:
     """array<string>: n-grams of a chunk whose edges can be a name's edges."""
-    none = F.expr("cast(array() as array<array<string>>)")
+    none = F.expr("cast(array() as array<string>)")
+    long = lambda w: F.length(w) >= 2
+    starts = F.transform(chunk, lambda w: long(w) & ~one_of(w, start_bad) & ~w.rlike("^[0-9]+$"))
+    ends = F.transform(chunk, lambda w: long(w) & ~one_of(w, end_bad))
 
-    def of(n: int) -> Column:
-        return F.when(F.size(chunk) >= n, F.transform(F.sequence(F.lit(1), F.size(chunk) - n + 1), lambda i: F.slice(chunk, i, n))).otherwise(none)
+    def of(n: int, s: Column, e: Column) -> Column:
+        places = F.filter(F.sequence(F.lit(1), F.size(chunk) - n + 1), lambda i: F.get(s, i - 1) & F.get(e, i + (n - 2)))
+        return F.when(F.size(chunk) >= n, F.transform(places, lambda i: F.array_join(F.slice(chunk, i, n), " "))).otherwise(none)
 
-    grams = F.flatten(F.array(*[of(n) for n in range(low, high + 1)]))
-    last = lambda g: F.element_at(g, -1)
-    fine = lambda g: ~one_of(g[0], start_bad) & ~one_of(last(g), end_bad) & ~g[0].rlike("^[0-9]+$") & (F.length(g[0]) >= 2) & (F.length(last(g)) >= 2)
-    return F.transform(F.filter(grams, fine), lambda g: F.array_join(g, " "))
+    return F.when(F.size(chunk) >= low, bound(F.struct(starts.alias("s"), ends.alias("e")), lambda b: F.concat(*[of(n, b["s"], b["e"]) for n in range(low, high + 1)]))).otherwise(none)
 
 
 def acronyms(raw: Column) -> Column:
@@ -72,11 +78,9 @@ def is_name_token(tok: Column) -> Column:
 
 def candidates(raw: Column, boundary: Iterable[str] = L.BOUNDARY) -> Column:
     """array<string>: the distinct candidate phrases of a document."""
-    parts = chunks(raw, boundary)
-    grams = F.flatten(F.transform(parts, lambda c: ngrams(c)))
-    names = F.filter(F.flatten(parts), is_name_token)
     short = F.filter(acronyms(raw), lambda a: (F.length(a) >= 3) & ~one_of(a, boundary))
-    return F.array_distinct(F.concat(grams, names, short))
+    long = bound(chunks(raw, boundary), lambda parts: F.concat(F.flatten(F.transform(parts, lambda c: ngrams(c))), F.filter(F.flatten(parts), is_name_token)))
+    return F.array_distinct(F.concat(long, short))
 
 
 def stem(w: Column) -> Column:
