@@ -1,0 +1,108 @@
+"""Rules on candidate names: language, verbs, morphology, phrases of a query, a first assessment, areas."""
+
+from __future__ import annotations
+
+from collections.abc import Iterable
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from glimmer.functions.text import bound, one_of
+
+#: Verbs by which a headline's predicate is known, and suffixes of words without a subject of their own.
+VERBS = r"^(stabiliz|regulat|enabl|boost|unlock|reveal|driv|govern|promot|improv|enhanc|achiev|induc|suppress|mediat|facilitat|accelerat|dictat|determin|modulat|activat|inhibit|empower|redefin|outperform|decoupl|steer)(es|s)$"
+SUFFIXES = r"(able|ible|ent|ant|ive|ous|ed|ing|ly|ity|ness)$"
+#: Words of other languages and plain adjectives: parameters, with short defaults.
+FOREIGN = frozenset("en la el los las del para con por una que da do dos em com ao une des les du et pour avec dans sur und mit von zur eine dan yang pada untuk dengan".split())
+FOREIGN_STRONG = frozenset("untuk dengan mediante para berbasis sebagai".split())
+PLAIN = frozenset("strategic direct efficient scalable robust integrated optimal advanced smart intelligent emerging sustainable hybrid potential future current recent global local promising".split())
+STOP = frozenset("a an the of for and or in on to with by from at as is are was were be this that these it its into via using based new novel study analysis method methods model models system systems paper review".split())
+HEADS = frozenset("security technology technologies solution solutions research development issues performance evaluation management detection network networks algorithm algorithms".split())
+INNER = frozenset("with and or for built using across by from in on of the to via open source real time tasks simple easy study results".split())
+
+
+def _words(phrase: Column) -> Column:
+    return F.split(F.replace(phrase, F.lit("_"), F.lit(" ")), " ")
+
+
+def is_foreign(phrase: Column, words: Iterable[str] = FOREIGN, strong: Iterable[str] = FOREIGN_STRONG) -> Column:
+    """Two words of the list, or one of the strong ones."""
+    w = _words(phrase)
+    return (F.size(F.filter(w, lambda x: one_of(x, words))) >= 2) | F.exists(w, lambda x: one_of(x, strong))
+
+
+def has_verb(phrase: Column) -> Column:
+    return F.exists(_words(phrase), lambda x: x.rlike(VERBS))
+
+
+def is_plain(term: Column, plain: Iterable[str] = PLAIN) -> Column:
+    """Words without a subject: a single one by list or suffix (hyphenated ones by list only), several if all are."""
+    w = F.split(term, " ")
+    single = F.when(term.contains("-"), one_of(term, plain)).otherwise(one_of(term, plain) | term.rlike(SUFFIXES))
+    return F.when(F.size(w) == 1, single).otherwise(F.forall(w, lambda x: one_of(x, plain) | x.endswith("ly")))
+
+
+def query_phrases(text: Column, low: int = 2, high: int = 4) -> Column:
+    """array<string>: distinct n-grams with edges that aren't stop words, a head that isn't generic, no inner stop word, and
+    two words of content."""
+
+    def of(toks: Column, n: int) -> Column:
+        inner, edge, content = (lambda w: one_of(w, INNER)), (lambda w: one_of(w, STOP)), (lambda w: ~one_of(w, STOP))
+        grams = F.transform(F.sequence(F.lit(1), F.size(toks) - n + 1), lambda i: F.slice(toks, i, n))
+        fine = lambda g: ~edge(g[0]) & ~edge(F.element_at(g, -1)) & ~one_of(F.element_at(g, -1), HEADS) & ~F.exists(g, inner) & (F.size(F.filter(g, content)) >= 2)
+        return F.when(F.size(toks) >= n, F.transform(F.filter(grams, fine), lambda g: F.array_join(g, " "))).otherwise(F.expr("cast(array() as array<string>)"))
+
+    tokens = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[a-z][a-z0-9\-]+"), 0)
+    return F.array_distinct(bound(tokens, lambda t: F.concat(*[of(t, n) for n in range(low, high + 1)])))
+
+
+def domain_relevance(shares_seed: Column, channels: Column, lit: Column) -> Column:
+    """Half, plus literature, several channels and a seed word, minus a lot where there is none of them."""
+    x = 0.5 + F.when(lit >= 1, 0.2).otherwise(0.0) + F.when(channels >= 2, 0.2).otherwise(0.0) + F.when(shares_seed, 0.1).otherwise(0.0) - F.when((channels <= 1) & ~shares_seed & (lit == 0), 0.4).otherwise(0.0)
+    return F.round(F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0)) + 1e-9, 3)
+
+
+def assessed(phrase: Column, relevance: Column, brands: Iterable[str], furniture: Iterable[str], discourse: Iterable[str], categories: Iterable[str], plumbing: Iterable[str]) -> Column:
+    """struct<reason, specificity>: the first hard reason, else specificity after penalties, weak if that and relevance are low."""
+    w = F.split(F.lower(phrase), " ")
+    last = F.element_at(w, -1)
+    specific = F.filter(w, lambda x: ~one_of(x, {*discourse, *categories, *plumbing, *STOP}) & (F.length(x) > 2))
+    spec = F.lit(1.0) - F.when(one_of(last, categories), 0.35).otherwise(0.0) - F.when(F.exists(w, lambda x: one_of(x, plumbing)), 0.25).otherwise(0.0) + F.when(F.size(specific) >= 2, 0.1).otherwise(0.0)
+    spec = F.round(F.least(F.greatest(spec, F.lit(0.0)), F.lit(1.0)) + 1e-9, 3)
+    reason = (
+        F.when(~F.size(w).between(2, 5), "length")
+        .when(F.forall(w, lambda x: F.length(x) <= 2), "short_tokens")
+        .when(F.exists(w, lambda x: one_of(x, brands)), "brand")
+        .when(F.exists(w, lambda x: one_of(x, furniture)), "furniture")
+        .when(w[0].rlike("^[a-z]{3,}ing$"), "gerund")
+        .when(last.rlike("(able|ive|ous|ful|al)$"), "adjective")
+        .when(one_of(last, discourse), "discourse")
+        .when(F.size(specific) == 0, "nothing_specific")
+        .when((spec < 0.7) & (relevance < 0.4), "weak")
+    )
+    return F.struct(reason.alias("reason"), spec.alias("specificity"))
+
+
+def first_match(group: Column, rules: list[tuple[str, str]], default: str) -> Column:
+    """The name of the first pattern found in a group's code."""
+    out = F.lit(default)
+    for name, pattern in reversed(rules):
+        out = F.when(group.rlike(pattern), name).otherwise(out)
+    return out
+
+
+def areas(text: Column, lexicon: dict[str, str], shares: dict[str, Column], labels: Column, strict: Iterable[str] = (), least: float = 0.30) -> Column:
+    """array<string>: areas by a subject word, a share of a rubric, or a label; strict ones need a label beside the share."""
+    made = []
+    for a, pattern in lexicon.items():
+        lex, rub, own = F.lower(text).rlike(pattern), F.coalesce(shares.get(a, F.lit(0.0)), F.lit(0.0)) >= least, F.array_contains(labels, a)
+        made.append(F.when(lex | ((rub & own) if a in strict else (rub | own)), a))
+    return F.array_compact(F.array(*made))
+
+
+def main_area(found: Column, order: list[str], default: str = "other") -> Column:
+    """The first area of an order that was found."""
+    out = F.lit(default)
+    for a in reversed(order):
+        out = F.when(F.array_contains(found, a), a).otherwise(out)
+    return out

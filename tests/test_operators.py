@@ -201,3 +201,24 @@ def test_plans_stay_native_and_prune(spark):
         assert "Python" not in plan and "Pandas" not in plan and "CartesianProduct" not in plan
     plan = QUERIES["trade_cube"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "l_comment" not in plan and "ReadSchema: struct<l_orderkey:bigint,l_partkey:bigint>" in plan
+
+
+def test_nested_dedup_is_the_plain_loop(spark):
+    from glimmer.operators.base import decile_strata, fingerprint, nested_dedup
+
+    rng = np.random.default_rng(9)
+    words = ["swing", "moisture", "direct", "air", "capture"]
+    rows = sorted({" ".join(rng.choice(words, int(rng.integers(1, 4)), replace=False)): (float(rng.integers(1, 99)), int(rng.integers(10, 14))) for _ in range(60)}.items())
+    got = {r["term"] for r in nested_dedup(spark.createDataFrame([(t, *v) for t, v in rows], "term string, score double, support int")).collect()}
+    kept = []
+    for t, (s, n) in sorted(rows, key=lambda x: (-x[1][0], x[0])):
+        inside = lambda a, b: f" {a} " in f" {b} "
+        if not any((inside(t, k) or inside(k, t)) and abs(n - m) <= 0.25 * max(n, m) for k, m in kept):
+            kept.append((t, n))
+    assert got == {t for t, _ in kept}
+    import pandas as pd
+
+    v = pd.Series(rng.integers(0, 30, 137))
+    got = [r["stratum"] for r in decile_strata(spark.createDataFrame([(i, int(x)) for i, x in enumerate(v)], "i int, v int"), "v", "i").orderBy("i").collect()]
+    assert got == pd.qcut(v.rank(method="first"), 10, labels=False).tolist()
+    assert fingerprint({"b": 1, "a": [2]}) == fingerprint({"a": [2], "b": 1})
