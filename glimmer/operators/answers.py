@@ -17,7 +17,7 @@ def collapsed(rows: DataFrame, key: Column) -> DataFrame:
 
 
 def duplicate_rate(rows: DataFrame, key: Column) -> DataFrame:
-    return rows.agg((1 - F.countDistinct(key) / F.count(F.lit(1))).alias("duplicate_rate"))
+    return rows.agg((1 - F.try_divide(F.countDistinct(key), F.count(F.lit(1)))).alias("duplicate_rate"))
 
 
 def claim_match(title: Column, phrase: Column) -> Column:
@@ -52,7 +52,7 @@ def percentile_in(scores: DataFrame, reference: DataFrame, value: str) -> DataFr
     n = reference.agg(F.count(F.lit(1)).alias("__n"))
     both = scores.withColumn("__r", F.lit(0)).unionByName(reference.select(F.col(value), F.lit(1).alias("__r")), allowMissingColumns=True)
     upto = F.sum("__r").over(W.partitionBy(F.lit(0)).orderBy(value).rangeBetween(W.unboundedPreceding, 0))
-    return both.withColumn("__k", upto).where("__r = 0").join(F.broadcast(n)).withColumn("percentile", F.col("__k") / F.col("__n")).drop("__k", "__n", "__r")
+    return both.withColumn("__k", upto).where("__r = 0").join(F.broadcast(n)).withColumn("percentile", F.try_divide("__k", "__n")).drop("__k", "__n", "__r")
 
 
 def labels(positives: DataFrame, negatives: DataFrame) -> DataFrame:

@@ -52,7 +52,8 @@ def cross_series(found: DataFrame, totals: DataFrame, p: Params, examples: int =
     rows = yearly.groupBy("method", "object").agg(during("n", p.recent).cast("long").alias("r"), during("n", p.base).cast("long").alias("base"), F.min(F.when(F.col("n") >= 3, F.col("year"))).cast("int").alias("first_year"))
     ranked = found.withColumn("k", F.row_number().over(W.partitionBy("method", "object").orderBy(F.desc("year"), "doc_id"))).where(F.col("k") <= examples)
     shown = ranked.groupBy("method", "object").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "doc_id"))), lambda x: x["doc_id"].cast("string")), ",").alias("examples"))
-    grown = F.log2((F.col("r") / F.col("nr") + 1e-9) / (F.col("base") / F.col("nb") + 1e-9))
+    share = lambda k, n: F.try_divide(F.col(k), F.col(n)) + 1e-9
+    grown = F.log2(share("r", "nr") / share("base", "nb"))
     return rows.join(F.broadcast(n)).join(shown, ["method", "object"]).select("method", "object", "r", "base", grown.alias("growth"), "first_year", "examples")
 
 
@@ -106,4 +107,4 @@ def keyness(asked: DataFrame, background: DataFrame, n_asked: int | Column, n_ba
     """(phrase, dfq, dfb, keyness): log ratio of shares in the query's documents and the background."""
     rows = asked.select("phrase", F.col("df").alias("dfq")).join(background.select("phrase", F.col("df").alias("dfb")), "phrase", "left").fillna({"dfb": 0})
     as_col = lambda n: n if isinstance(n, Column) else F.lit(n)
-    return rows.withColumn("keyness", F.ln((F.col("dfq") / as_col(n_asked) + 1e-4) / (F.col("dfb") / as_col(n_background) + 1e-4)))
+    return rows.withColumn("keyness", F.ln((F.try_divide("dfq", as_col(n_asked)) + 1e-4) / (F.try_divide("dfb", as_col(n_background)) + 1e-4)))

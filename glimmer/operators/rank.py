@@ -97,11 +97,11 @@ def precision_lift(rows: DataFrame, score: str, label: str, key: str, k: int) ->
 
 
 def rank_auc(rows: DataFrame, score: str, label: str) -> DataFrame:
-    """(auc): by the rank sum, ties averaged."""
+    """(auc): by the rank sum, ties averaged; NULL where only one class is there."""
     part, peers = W.partitionBy(F.lit(0)), W.partitionBy(score)
     r = rows.select(F.col(label).cast("int").alias("y"), (F.rank().over(part.orderBy(score)) + (F.count(F.lit(1)).over(peers) - 1) / 2).alias("r"))
     n1, n0 = F.sum("y"), F.sum(1 - F.col("y"))
-    return r.agg(((F.sum(F.when(F.col("y") == 1, F.col("r")).otherwise(0.0)) - n1 * (n1 + 1) / 2) / (n1 * n0)).alias("auc"))
+    return r.agg(F.try_divide(F.sum(F.when(F.col("y") == 1, F.col("r")).otherwise(0.0)) - n1 * (n1 + 1) / 2, n1 * n0).alias("auc"))
 
 
 def covers(p: Column, q: Column) -> Column:

@@ -57,10 +57,10 @@ def entity_fold(s, d):
     return cube.entity_fold(_vocab(s, d))
 
 
-@query(f"WITH {_VOCAB}, k AS (SELECT phrase, {_KEY} AS entity FROM vocab), m AS (SELECT DISTINCT doc_id, source, year, entity FROM cand JOIN k USING (phrase) JOIN tdocs USING (doc_id)) SELECT entity, source, year, count(*)::BIGINT AS df FROM m GROUP BY ALL HAVING count(*) >= 2")
+@query(f"WITH {_VOCAB}, k AS (SELECT phrase, {_KEY} AS entity FROM vocab), m AS (SELECT DISTINCT doc_id, source, year, entity FROM cand JOIN k USING (phrase) JOIN tdocs USING (doc_id)) SELECT entity, source, year, count(*)::BIGINT AS df FROM m GROUP BY ALL")
 def term_cube(s, d):
     found = cube.mentions(text_docs(s, d), X.candidates(F.col("text")), _vocab(s, d), ("doc_id", "source", "year"))
-    return cube.count_cube(found.withColumnRenamed("entity_key", "entity")).where("df >= 2")
+    return cube.count_cube(found.withColumnRenamed("entity_key", "entity"))
 
 
 @query(f"WITH {_VOCAB}, c AS (SELECT phrase, lang AS source, count(*) AS df FROM cand JOIN tdocs USING (doc_id) GROUP BY ALL) SELECT phrase, sum(df)::BIGINT AS df, count(*)::BIGINT AS n_sources FROM c GROUP BY phrase HAVING bool_or(df >= CASE source WHEN 'es' THEN 2 ELSE 3 END)")
@@ -85,7 +85,7 @@ def ctfidf_top(s, d):
     return pairs.ctfidf(terms).withColumn("weight", F.round("weight", 6))
 
 
-@query(f"WITH {TEXT_SQL}, {_SIMPLE}, u AS (SELECT DISTINCT doc_id, lang, term FROM simple), q AS (SELECT term AS phrase, count(*) AS dfq FROM u WHERE lang = 'de' GROUP BY ALL), b AS (SELECT term AS phrase, count(*) AS dfb FROM u WHERE lang <> 'de' GROUP BY ALL), n AS (SELECT count(*) FILTER (lang = 'de') AS nq, count(*) FILTER (lang <> 'de') AS nb FROM tdocs) SELECT phrase, dfq::BIGINT AS dfq, coalesce(dfb, 0)::BIGINT AS dfb, round(ln((dfq / nq + 1e-4) / (coalesce(dfb, 0) / nb + 1e-4)), 6) AS keyness FROM q LEFT JOIN b USING (phrase), n")
+@query(f"WITH {TEXT_SQL}, {_SIMPLE}, u AS (SELECT DISTINCT doc_id, lang, term FROM simple), q AS (SELECT term AS phrase, count(*) AS dfq FROM u WHERE lang = 'de' GROUP BY ALL), b AS (SELECT term AS phrase, count(*) AS dfb FROM u WHERE lang <> 'de' GROUP BY ALL), n AS (SELECT count(*) FILTER (lang = 'de') AS nq, count(*) FILTER (lang <> 'de') AS nb FROM tdocs) SELECT phrase, dfq::BIGINT AS dfq, coalesce(dfb, 0)::BIGINT AS dfb, round(ln((dfq / nullif(nq, 0) + 1e-4) / (coalesce(dfb, 0) / nullif(nb, 0) + 1e-4)), 6) AS keyness FROM q LEFT JOIN b USING (phrase), n")
 def keyness(s, d):
     docs = text_docs(s, d)
     n = docs.agg(F.count_if(F.col("lang") == "de").alias("nq"), F.count_if(F.col("lang") != "de").alias("nb"))
@@ -99,7 +99,7 @@ def keyness(s, d):
 @query(f"WITH {TEXT_SQL}, {_SIMPLE}, u AS (SELECT DISTINCT doc_id, term FROM simple) SELECT term AS phrase, count(*)::BIGINT AS df FROM u GROUP BY ALL HAVING count(*) / (SELECT count(*) FROM tdocs) >= 0.004 AND count(*) >= 2")
 def cliches(s, d):
     docs = text_docs(s, d)
-    n = docs.count()
+    n = max(1, docs.count())
     return docs.select(F.explode(F.array_distinct(X.simple_tokens(F.col("text")))).alias("phrase")).groupBy("phrase").agg(F.count(F.lit(1)).alias("df")).where((F.col("df") / n >= 0.004) & (F.col("df") >= 2))
 
 
@@ -114,7 +114,7 @@ def _mo(k, col):
 c2 AS (SELECT * FROM c WHERE method IS NOT NULL AND object IS NOT NULL), yr AS (SELECT method, object, year, count(*) AS n FROM c2 GROUP BY ALL), n AS (SELECT count(*) FILTER (year BETWEEN 2024 AND 2026) AS nr, count(*) FILTER (year BETWEEN 2019 AND 2022) AS nb FROM tdocs),
 e AS (SELECT method, object, string_agg(doc_id::VARCHAR, ',' ORDER BY year DESC, doc_id) AS examples FROM (SELECT * FROM c2 QUALIFY row_number() OVER (PARTITION BY method, object ORDER BY year DESC, doc_id) <= 8) GROUP BY ALL)
 SELECT method, object, coalesce(sum(yr.n) FILTER (year BETWEEN 2024 AND 2026), 0)::BIGINT AS r, coalesce(sum(yr.n) FILTER (year BETWEEN 2019 AND 2022), 0)::BIGINT AS base,
- round(log2((coalesce(sum(yr.n) FILTER (year BETWEEN 2024 AND 2026), 0) / any_value(nr) + 1e-9) / (coalesce(sum(yr.n) FILTER (year BETWEEN 2019 AND 2022), 0) / any_value(nb) + 1e-9)), 6) AS growth, min(year) FILTER (yr.n >= 3)::INT AS first_year, any_value(examples) AS examples FROM yr JOIN e USING (method, object), n GROUP BY method, object""")
+ round(log2((coalesce(sum(yr.n) FILTER (year BETWEEN 2024 AND 2026), 0) / nullif(any_value(nr), 0) + 1e-9) / (coalesce(sum(yr.n) FILTER (year BETWEEN 2019 AND 2022), 0) / nullif(any_value(nb), 0) + 1e-9)), 6) AS growth, min(year) FILTER (yr.n >= 3)::INT AS first_year, any_value(examples) AS examples FROM yr JOIN e USING (method, object), n GROUP BY method, object""")
 def method_object_cross(s, d):
     from glimmer.operators.windows import Params
 
