@@ -27,7 +27,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by near fingerprints, directly or over others, the one of the smallest id stays."""
+    """Of documents linked by near fingerprints, directly or over others, the one of the smallest id stays. A document has
+    one fingerprint of four-word shingles and three of five-word ones; any may be near another's."""
     return simhash.drop_near_copies(docs.select(*COLUMNS))
 
 

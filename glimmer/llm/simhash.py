@@ -15,6 +15,9 @@ rows, and points beyond `crowd` members are searched breadth first, each member
 Defined results: a null text is an empty one, its fingerprint is zero and linked like any other; repeated
 rows are members of the same class; a null id is never a component's id while another id is in it; an empty
 table gives no rows; other columns are left out.
+
+One fingerprint catches most copies of 95 % similarity and few of 85 %. Where that isn't enough (the pipeline) a text has
+several, and is linked to another by any of them.
 """
 
 from __future__ import annotations
@@ -30,18 +33,29 @@ from glimmer.llm import shared
 from glimmer.operators.graph import connected_components
 
 RADIUS, SHINGLE, SEED = 4, 4, 42
+#: For the pipeline: the shingle sizes of a text's fingerprints, of which any may be near another text's; a size that
+#: is named again stands for another, independent view of the same shingles.
+STAGE = (SHINGLE, 5, 5, 5)
 CROWD = 2048
 
 
-def text_fingerprints(data: np.ndarray, offsets: np.ndarray, shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
-    """The SimHash of each text: a bit is 1 if it is set in over half of the hashes of its shingles."""
+def view_hashes(hashes: np.ndarray, view: int) -> np.ndarray:
+    """The hashes of a view: those given for view 0, else a bijection of them that is independent of the others."""
+    return shared.mixed(hashes ^ shared.mixed(np.array([view], np.uint64))) if view else hashes
+
+
+def text_fingerprints(data: np.ndarray, offsets: np.ndarray, shingle: int = SHINGLE, seed: int = SEED, views: int = 1) -> np.ndarray:
+    """The SimHash of each text: a bit is 1 if it is set in over half of the hashes of its shingles.
+
+    With several views a text has as many fingerprints, by independent hashes of the same shingles: an array of
+    len(texts) by views.
+    """
     import xxhash
 
     data = shared.lowered(data)
     starts, ends, before = shared.words(data, offsets)
     data, starts, ends = shared.joined(data, starts, ends)
     n_words = np.diff(before)
-    out = np.zeros(len(n_words), np.uint64)
     # A text of fewer words is one shingle.
     short = np.flatnonzero((n_words > 0) & (n_words < shingle))
     at = shared.windows_within(before, shingle)
@@ -51,35 +65,44 @@ def text_fingerprints(data: np.ndarray, offsets: np.ndarray, shingle: int = SHIN
         firsts, lasts, owner = np.r_[firsts, starts[before[short]]], np.r_[lasts, ends[before[short + 1] - 1]], np.r_[owner, short]
         order = np.argsort(owner, kind="stable")
         firsts, lasts, owner = firsts[order], lasts[order], owner[order]
+    shape = (len(n_words), views) if views > 1 else len(n_words)
     if not len(owner):
-        return out
+        return np.zeros(shape, np.uint64)
     raw, digest = data.tobytes(), xxhash.xxh64_intdigest
-    counts = np.zeros((len(n_words), 64), np.int64)
+    counts = np.zeros((views, len(n_words), 64), np.int64)
     for a in range(0, len(owner), 1 << 16):
         part = slice(a, a + (1 << 16))
         hashes = np.array([digest(raw[s:e], seed) for s, e in zip(firsts[part].tolist(), lasts[part].tolist())], "<u8")
-        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         own = owner[part]
         first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-        counts[own[first]] += np.add.reduceat(bits, first, axis=0, dtype=np.int32)
+        for k in range(views):
+            bits = np.unpackbits(view_hashes(hashes, k).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            counts[k, own[first]] += np.add.reduceat(bits, first, axis=0, dtype=np.int32)
     over = counts * 2 > np.bincount(owner, minlength=len(n_words))[:, None]
-    return np.packbits(over, axis=1, bitorder="little").view("<u8").ravel()
+    return np.packbits(over, axis=2, bitorder="little").view("<u8")[:, :, 0].T.reshape(shape)
+
 
+def _fingerprinted(shingles: tuple[int, ...]):
+    sizes, views = sorted(set(shingles)), len(shingles)
+    # Columns come by size; this puts them in the order asked for.
+    order = np.argsort(np.argsort(np.array(shingles), kind="stable"), kind="stable")
 
-def _fingerprinted(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in shared.portions(batch, "text"):
-                prints = text_fingerprints(*shared.utf8(part.column("text")), shingle)
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(prints.view(np.int64))], ["id", "fp"])
+                text = shared.utf8(part.column("text"))
+                prints = np.concatenate([text_fingerprints(*text, n, SEED, shingles.count(n)).reshape(part.num_rows, -1) for n in sizes], axis=1)
+                prints = np.ascontiguousarray(prints[:, order]).view(np.int64)
+                more = pa.ListArray.from_arrays(pa.array(np.arange(len(prints) + 1) * (views - 1), pa.int32()), pa.array(prints[:, 1:].ravel()))
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(prints[:, 0]), more], ["id", "fp", "more"])
 
     return run
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """(id, fp): each row's SimHash over its word shingles, as a signed long."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingles: tuple[int, ...] = (SHINGLE,)) -> DataFrame:
+    """(id, fp, more): each row's SimHash over its word shingles, as a signed long, and those of its other views."""
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(_fingerprinted(shingle), f"id {kind}, fp bigint")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(_fingerprinted(shingles), f"id {kind}, fp bigint, more array<bigint>")
 
 
 _ODD = np.uint64(0x5555555555555555)
@@ -119,10 +142,11 @@ def grid_points(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        prints = np.asarray(batch.column("fp").to_numpy(), np.int64)
+        prints, views = np.asarray(batch.column("fp").to_numpy(), np.int64), np.asarray(batch.column("seen").to_numpy(), np.int64)
         for a in range(0, len(prints), 1 << 14):
             part = prints[a : a + (1 << 14)]
             keys, owner = grid_points(part.view(np.uint64))
+            keys = keys | (views[a : a + (1 << 14)][owner].astype(np.uint64) << np.uint64(33))
             yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(part[owner])], ["point", "fp"])
 
 
@@ -236,27 +260,42 @@ def _met(radius: int, crowd: int):
 
 
 def near_links(prints: DataFrame, radius: int = RADIUS, crowd: int = CROWD) -> DataFrame:
-    """(a, b): links between fingerprints (column fp, distinct) with the components of all pairs within radius."""
+    """(a, b): links between fingerprints (columns fp and seen, the view; distinct) with the components of all pairs of a
+    view within radius."""
     if not 0 <= radius <= RADIUS:
         raise ValueError(f"the grid reaches {RADIUS} bits")
-    dealt = prints.select("fp").mapInArrow(_dealt, "point bigint, fp bigint")
+    dealt = prints.select("fp", F.col("seen").cast("long").alias("seen")).mapInArrow(_dealt, "point bigint, fp bigint")
     return dealt.repartition("point").sortWithinPartitions("point").mapInArrow(_met(radius, crowd), "a bigint, b bigint")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """(id, fp, component_id) per row: component_id is the smallest id reachable over links, its own included."""
-    rows = shared.settled(fingerprints(docs, id_col, text_col, shingle))
-    classes = rows.groupBy("fp").agg(F.min("id").alias("least"))
-    found = connected_components(near_links(classes, radius), "a", "b")
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingles: tuple[int, ...] = (SHINGLE,), radius: int = RADIUS) -> DataFrame:
+    """(id, fp, component_id) per row: component_id is the smallest id reachable over links, its own included.
+
+    With several shingle sizes two rows are linked if their fingerprints of any of them are within radius.
+    """
+    rows = shared.settled(fingerprints(docs, id_col, text_col, shingles))
+    classes = rows.groupBy("fp", "more").agg(F.min("id").alias("least"))
+    if len(shingles) == 1:
+        edges = near_links(classes.select("fp", F.lit(0).alias("seen")), radius)
+    else:
+        classes = shared.settled(classes)
+        every = classes.select(F.col("fp").alias("first"), F.posexplode(F.concat(F.array("fp"), "more")).alias("seen", "fp"))
+        links = shared.settled(near_links(every.select("fp", "seen").distinct(), radius))
+        # A row's views are one node, but only those that link to others need to be tied to the first.
+        linked = links.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+        common = every.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("fp")
+        ties = every.join(linked.unionByName(common).distinct(), "fp", "left_semi").where("fp <> first").select(F.col("first").alias("a"), F.col("fp").alias("b"))
+        edges = links.unionByName(ties)
+    found = connected_components(edges, "a", "b")
     rooted = classes.join(found.select(F.col("node").alias("fp"), "component"), "fp", "left").withColumn("root", F.coalesce("component", "fp"))
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    labelled = rooted.select("fp", "root").join(smallest, "root").select("fp", "component_id")
+    labelled = rooted.select("fp", "root").distinct().join(smallest, "root").select("fp", "component_id")
     return rows.join(labelled, "fp", "left").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingles: tuple[int, ...] = STAGE) -> DataFrame:
     """The rows of docs whose id is its component's smallest; of rows that share an id one stays."""
-    found = shared.settled(near_duplicates(docs, id_col, text_col))
+    found = shared.settled(near_duplicates(docs, id_col, text_col, shingles))
     gone = found.where(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(id_col).distinct()
     left = docs.join(gone, id_col, "left_anti").select(*docs.columns)
     repeated = found.groupBy(id_col).count().where("count > 1").limit(1).count() > 0

@@ -7,7 +7,7 @@ import numpy as np
 import corpus_pipeline
 from glimmer.llm import mixing, packing, quality, tokens
 from test_quality import brute as measures
-from test_simhash import brute_components, brute_print
+from test_simhash import brute_groups
 from test_substrings import WORD, brute as cut
 
 COLUMNS = list(corpus_pipeline.COLUMNS)
@@ -33,13 +33,10 @@ def test_run_equals_brute_force(spark, tmp_path):
     assert all(x.columns == COLUMNS for x in out[:4])
     good = {i for i, r in rows.items() if kept_by_rules(r["text"])}
     assert {r["doc_id"] for r in out[0].collect()} == good
-    prints = {i: brute_print(rows[i]["text"]) for i in good}
-    roots = brute_components(set(prints.values()))
-    least = {}
-    for i in sorted(good):
-        least.setdefault(roots[prints[i]], i)
-    assert {r["doc_id"] for r in out[1].collect()} == set(least.values())
-    want = {i: t for i, n, gone, t in cut([(i, rows[i]["text"]) for i in least.values()], 13) if gone < n}
+    groups = brute_groups([(i, rows[i]["text"]) for i in sorted(good)])
+    left = {i for i, g in groups.items() if i == g}
+    assert {r["doc_id"] for r in out[1].collect()} == left
+    want = {i: t for i, n, gone, t in cut([(i, rows[i]["text"]) for i in left], 13) if gone < n}
     got = {r["doc_id"]: r for r in out[2].collect()}
     assert {i: " ".join(WORD.findall(r["text"])) for i, r in got.items()} == want and all(r["n_chars"] == len(r["text"]) for r in got.values())
     taken = {r["doc_id"]: r["text"] for r in out[3].collect()}

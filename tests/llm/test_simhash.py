@@ -9,10 +9,17 @@ from glimmer.llm import simhash
 WORD = re.compile("[^\x20\x09-\x0d]+")
 
 
-def brute_print(text):
+def mix(x):
+    x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) % (1 << 64)
+    x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) % (1 << 64)
+    return x ^ (x >> 31)
+
+
+def brute_print(text, size=4, view=0):
     w = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
-    shingles = [" ".join(w[i : i + 4]) for i in range(max(1, len(w) - 3))] if w else []
+    shingles = [" ".join(w[i : i + size]) for i in range(max(1, len(w) - size + 1))] if w else []
     hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    hashes = [mix(h ^ mix(view)) for h in hashes] if view else hashes
     return sum(1 << k for k in range(64) if 2 * sum(h >> k & 1 for h in hashes) > len(hashes))
 
 
@@ -32,6 +39,24 @@ def brute_components(prints):
     return {f: root(f) for f in prints}
 
 
+def brute_groups(rows, views=((4, 0), (5, 0), (5, 1), (5, 2))):
+    """The smallest id of each group linked by any view: rows are (id, text)."""
+    label = {i: i for i, _ in rows}
+
+    def root(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    for view in views:
+        prints = {i: brute_print(t, *view) for i, t in rows}
+        roots, first = brute_components(set(prints.values())), {}
+        for i, f in prints.items():
+            a, b = sorted((root(first.setdefault(roots[f], i)), root(i)))
+            label[b] = a
+    return {i: root(i) for i, _ in rows}
+
+
 def check(rows, got):
     prints = {i: brute_print(t) for i, t in rows}
     roots = brute_components(set(prints.values()))
@@ -81,3 +106,11 @@ def test_manhattan_is_a_lower_bound():
     counts = lambda x: np.stack([np.bitwise_count(x >> np.uint64(2 * i) & np.uint64(3)) for i in range(32)]).astype(int)
     want = np.abs(counts(a) - counts(b)).sum(axis=0)
     assert (simhash._manhattan(simhash._embedded(a), simhash._embedded(b)) == want).all() and (want <= np.bitwise_count(a ^ b)).all()
+
+
+def test_several_views_equal_brute_force(spark):
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = [(r["doc_id"], r["text"]) for r in d.collect()]
+    rows += [(10_000 + k, " ".join(w for i, w in enumerate(t.split()) if (i + k) % 37)) for k, (_, t) in enumerate(rows[:80])]
+    got = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingles=simhash.STAGE).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == brute_groups(rows)
