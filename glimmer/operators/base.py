@@ -59,13 +59,16 @@ def market_candidates(rows: DataFrame, tech: str, not_tech: str, known: DataFram
     """New, growing phrases with a technical word, without names of the news, digits, or an entry in known, by rank sums."""
     fine = (F.col("first_year") >= since) & (F.col("volume") >= 5) & (F.col("growth") >= 1.5) & F.col("phrase").rlike(tech) & ~F.col("phrase").rlike(not_tech) & ~F.col("phrase").rlike(r"\d")
     left = rows.where(fine).join(known.select("phrase").distinct(), "phrase", "left_anti")
-    return left.withColumn("rank", R.percentile_rank("volume") + R.percentile_rank("growth")).orderBy(F.desc(F.round("rank", 9)), "phrase").limit(k)
+    left = R.percentile_ranked(R.percentile_ranked(left, "volume", "__pv"), "growth", "__pg")
+    return left.withColumn("rank", F.col("__pv") + F.col("__pg")).drop("__pv", "__pg").orderBy(F.desc(F.round("rank", 9)), "phrase").limit(k)
 
 
-def blended(rows: DataFrame, expert: str, history: str, by_rank: bool = True) -> Column:
-    """0.7 of the expert's and 0.3 of history's probability, as percentiles or as they are."""
-    e, h = (R.percentile_rank(expert), R.percentile_rank(history)) if by_rank else (F.col(expert), F.col(history))
-    return 0.7 * e + 0.3 * h
+def blended(rows: DataFrame, expert: str, history: str, by_rank: bool = True) -> DataFrame:
+    """rows with blend: 0.7 of the expert's and 0.3 of history's probability, as percentiles or as they are."""
+    if not by_rank:
+        return rows.withColumn("blend", 0.7 * F.col(expert) + 0.3 * F.col(history))
+    ranked = R.percentile_ranked(R.percentile_ranked(rows, expert, "__pe"), history, "__ph")
+    return ranked.withColumn("blend", 0.7 * F.col("__pe") + 0.3 * F.col("__ph")).drop("__pe", "__ph")
 
 
 def signal_base(rows: DataFrame, keep: float, score: str = "blend") -> DataFrame:

@@ -19,6 +19,24 @@ def percentile_rank(value: str, by: tuple[str, ...] = ()) -> Column:
     return F.when(F.col(value).isNotNull(), (F.rank().over(part.orderBy(value)) + (F.count(F.lit(1)).over(peers) - 1) / 2) / F.count(F.lit(1)).over(part))
 
 
+def percentile_ranked(rows: DataFrame, value: str, name: str = "pct", buckets: int = 256) -> DataFrame:
+    """rows with percentile_rank of a whole table, without a window over it.
+
+    Distinct values are counted, cut into buckets at approximate quantiles, ranked within their bucket, and moved by the
+    exact counts of the buckets below: a value that a third of all rows share is one row, and no task sees all.
+    """
+    seen = rows.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("__n"))
+    points = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
+    edges = seen.agg(F.percentile_approx(F.col(value).cast("double"), points, F.lit(10_000)).alias("__edges"))
+    dealt = seen.join(F.broadcast(edges)).withColumn("__b", F.size(F.filter("__edges", lambda e: e < F.col(value).cast("double")))).drop("__edges")
+    sizes = dealt.groupBy("__b").agg(F.sum("__n").alias("__k"))
+    # At most `buckets` rows.
+    below = sizes.select("__b", F.coalesce(F.sum("__k").over(W.partitionBy(F.lit(0)).orderBy("__b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__below"), F.sum("__k").over(W.partitionBy(F.lit(0))).alias("__all"))
+    inside = F.coalesce(F.sum("__n").over(W.partitionBy("__b").orderBy(value).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    ranked = dealt.withColumn("__before", inside).join(F.broadcast(below), "__b").select(F.col(value).alias("__v"), ((F.col("__below") + F.col("__before") + (F.col("__n") + 1) / 2) / F.col("__all")).alias(name))
+    return rows.join(ranked, F.col(value) == F.col("__v"), "left").drop("__v")
+
+
 def weakness() -> Column:
     """0 to 1 from expert_p_axes, history_p_axes, expert, incremental_lex, kind, verdict."""
     e, h = F.col("expert_p_axes"), F.col("history_p_axes")
@@ -54,7 +72,7 @@ def confidence(p: Column, xs: list[float], ys: list[float]) -> Column:
 
 def ordered(rows: DataFrame) -> DataFrame:
     """Adds order: percentile of relevance times weakness."""
-    return rows.withColumn("order", percentile_rank("relevance") * weakness())
+    return percentile_ranked(rows, "relevance", "__pct").withColumn("order", F.coalesce("__pct", F.lit(0.0)) * weakness()).drop("__pct")
 
 
 def area_quota(rows: DataFrame, area: str, score: str, keep: float) -> DataFrame:
@@ -98,8 +116,9 @@ def precision_lift(rows: DataFrame, score: str, label: str, key: str, k: int) ->
 
 def rank_auc(rows: DataFrame, score: str, label: str) -> DataFrame:
     """(auc): by the rank sum, ties averaged; NULL where only one class is there."""
-    part, peers = W.partitionBy(F.lit(0)), W.partitionBy(score)
-    r = rows.select(F.col(label).cast("int").alias("y"), (F.rank().over(part.orderBy(score)) + (F.count(F.lit(1)).over(peers) - 1) / 2).alias("r"))
+    # A mean rank is the percentile times the number of rows.
+    n = rows.agg(F.count(score).alias("__n"))
+    r = percentile_ranked(rows.select(F.col(label).cast("int").alias("y"), F.col(score)), score, "__pct").join(F.broadcast(n)).select("y", (F.col("__pct") * F.col("__n")).alias("r"))
     n1, n0 = F.sum("y"), F.sum(1 - F.col("y"))
     return r.agg(F.try_divide(F.sum(F.when(F.col("y") == 1, F.col("r")).otherwise(0.0)) - n1 * (n1 + 1) / 2, n1 * n0).alias("auc"))
 

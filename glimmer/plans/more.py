@@ -130,7 +130,7 @@ def search_completeness(s, d):
 
 @query(f"WITH {_R}, p AS (SELECT id, CASE WHEN e IS NOT NULL THEN (rank() OVER (PARTITION BY e IS NULL ORDER BY e) + (count(*) OVER (PARTITION BY e) - 1) / 2) / count(*) OVER (PARTITION BY e IS NULL) END AS pe, (rank() OVER (ORDER BY h) + (count(*) OVER (PARTITION BY h) - 1) / 2) / count(*) OVER () AS ph FROM r) SELECT id, round(0.7 * pe + 0.3 * ph, 6)::DOUBLE AS blend FROM p")
 def expert_history_blend(s, d):
-    return _rows(s).select("id", F.round(base.blended(None, "e", "h"), 6).alias("blend"))
+    return base.blended(_rows(s), "e", "h").select("id", F.round("blend", 6).alias("blend"))
 
 
 @query(f"WITH {_R}, f AS (SELECT * FROM r WHERE NOT fragment AND NOT umbrella AND coalesce(theory, 0) < 0.6 AND NOT known), p AS (SELECT id, area, (rank() OVER (PARTITION BY area ORDER BY h) + (count(*) OVER (PARTITION BY area, h) - 1) / 2) / count(*) OVER (PARTITION BY area) AS pct FROM f) SELECT id, area, CASE WHEN pct >= 1 - 0.6::DOUBLE / 3 THEN 1 WHEN pct >= 1 - 2 * 0.6::DOUBLE / 3 THEN 2 ELSE 3 END::INT AS tier FROM p WHERE pct >= 1 - 0.6::DOUBLE")

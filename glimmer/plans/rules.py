@@ -207,7 +207,7 @@ def order_v2(s, d):
 
 @query(f"WITH {_RK}, p AS (SELECT id, (rank() OVER (ORDER BY relevance) + (count(*) OVER (PARTITION BY relevance) - 1) / 2) / count(*) OVER () AS pct, coalesce(expert, 0) AS e, 1 + id % 3 AS tier FROM rk) SELECT id, round(0.5 * pct + 0.5 * e - (tier - 1), 6)::DOUBLE AS \"order\" FROM p")
 def order_v1(s, d):
-    rows = _ranked(s).withColumn("pct", R.percentile_rank("relevance"))
+    rows = R.percentile_ranked(_ranked(s), "relevance")
     return rows.select("id", F.round(0.5 * F.col("pct") + 0.5 * F.coalesce("expert", F.lit(0.0)) - (F.col("id") % 3), 6).alias("order"))
 
 

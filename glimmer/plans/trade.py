@@ -336,7 +336,7 @@ def domain_of(s, d):
 @query(f"""WITH {TRADE_SQL}, v AS (SELECT entity, sum(docs)::BIGINT AS v FROM dense GROUP BY ALL), r AS (SELECT entity, v, (rank() OVER (ORDER BY v) + (count(*) OVER (PARTITION BY v) - 1) / 2) / count(*) OVER () AS pct FROM v) SELECT entity, round(pct, 6) AS pct FROM r""")
 def pct_rank_avg(s, d):
     v = _series(s, d).groupBy("entity").agg(F.sum("docs").alias("v"))
-    return v.select("entity", F.round(rank.percentile_rank("v"), 6).alias("pct"))
+    return rank.percentile_ranked(v, "v").select("entity", F.round("pct", 6).alias("pct"))
 
 
 @query(f"""WITH {TRADE_SQL}, v AS (SELECT entity, entity % 7 AS area, sum(docs)::BIGINT AS v FROM dense GROUP BY ALL), r AS (SELECT *, (rank() OVER (PARTITION BY area ORDER BY v) + (count(*) OVER (PARTITION BY area, v) - 1) / 2) / count(*) OVER (PARTITION BY area) AS pct FROM v) SELECT entity, area::BIGINT AS area, v, round(pct, 6) AS pct FROM r WHERE pct >= 1 - 0.25""")

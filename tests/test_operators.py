@@ -222,3 +222,16 @@ def test_nested_dedup_is_the_plain_loop(spark):
     got = [r["stratum"] for r in decile_strata(spark.createDataFrame([(i, int(x)) for i, x in enumerate(v)], "i int, v int"), "v", "i").orderBy("i").collect()]
     assert got == pd.qcut(v.rank(method="first"), 10, labels=False).tolist()
     assert fingerprint({"b": 1, "a": [2]}) == fingerprint({"a": [2], "b": 1})
+
+
+def test_percentile_ranks_by_buckets_are_pandas(spark):
+    import pandas as pd
+
+    v = pd.Series([None if i % 17 == 0 else float(x) for i, x in enumerate(np.random.default_rng(4).integers(0, 60, 900))])
+    v[100:400] = 7.0  # a value that a third of all rows share
+    rows = spark.createDataFrame([(i, None if x != x else x) for i, x in enumerate(v)], "i int, v double")
+    want = v.rank(pct=True)
+    for buckets in (2, 16, 256):
+        got = {r["i"]: r["pct"] for r in rank.percentile_ranked(rows, "v", buckets=buckets).collect()}
+        assert all((got[i] is None) == (x != x) and (x != x or abs(got[i] - x) < 1e-12) for i, x in want.items())
+    assert rank.percentile_ranked(rows.where("false"), "v").count() == 0
