@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 from glimmer.llm import shared
 
 WINDOW = 13
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 _ID, _BITS = 20, 43
 
 
@@ -233,7 +233,7 @@ def _cut(window: int, layout: str, keep: tuple[str, ...], schema: pa.Schema):
 
     def run(key: tuple[pa.Scalar, ...], docs: pa.Table, answers: pa.Table) -> pa.Table:
         wanted, least = _answers(answers)
-        parts = [part(x, wanted, least) for x in shared.portions(docs, "__text")]
+        parts = [part(x, wanted, least) for x in shared.portions(docs, "__text", 1 << 20)]
         return pa.concat_tables(parts) if parts else schema.empty_table()
 
     return run
