@@ -1,7 +1,7 @@
-"""Operator 8, license scans: a positional index of licence words, probed with each file's rarest ones.
+"""Operator 8, license scans: a positional index of licence words, probed with each template's rarest ones.
 
 One pass over the texts keeps, of every word, only those of the licence vocabulary with their places. From
-these the corpus's document frequencies follow; each file then looks up its highest-IDF licence words in the
+these the corpus's document frequencies follow; each file then looks up every template's highest-IDF words in the
 templates' postings, votes for (template, relative position), and a vote counts where the template's mandatory
 key phrase stands, word for word, at that same relative position. Plain phrases of the base list are found
 wherever their words stand consecutively.
@@ -101,8 +101,9 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """id, n_words, places (array<struct<p, label>> of base phrases), found (array<struct<label, start, score>>
     of templates) and score: the largest coverage of an accepted template, 1 where a base phrase stands, else 0.
 
-    top_words: how many of a file's distinct licence words, by IDF over all documents and then alphabet, are
-    looked up. coverage: the least share of a template's IDF among those words that must stand in place.
+    top_words: how many of a template's distinct licence words, by IDF over all documents and then alphabet, are
+    looked up; other notices in the file take none of them away. coverage: the least share of the IDF of those
+    words that must stand in place.
     """
     rare, kept = _vocabulary(templates)
     rows = settled(licence_words(docs, id_col, text_col, templates).withColumn("row", F.monotonically_increasing_id()))
@@ -113,22 +114,18 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     import math
 
     idf = {w: round(math.log((n + 1) / (df.get(w, 0) + 1)) + 1, 6) for w in kept}
-    ranked = sorted(rare, key=lambda w: (-idf[w], w))
-    order = F.create_map(*[x for i, w in enumerate(ranked) for x in (F.lit(w), F.lit(i))])
+    tops = [set(sorted({w for w in t.text.split() if w not in PLAIN}, key=lambda w: (-idf[w], w))[:top_words]) for t in templates]
     postings = []
     for t, template in enumerate(templates):
         words = template.text.split()
         key = template.key.split()
         at = next(i for i in range(len(words)) if words[i : i + len(key)] == key)
-        postings += [(w, t, i, w not in PLAIN, at <= i < at + len(key)) for i, w in enumerate(words) if w not in PLAIN or at <= i < at + len(key)]
-    index = docs.sparkSession.createDataFrame(postings, "w string, t int, i int, rare boolean, key boolean")
+        postings += [(w, t, i, idf[w] if w in tops[t] else 0.0, at <= i < at + len(key)) for i, w in enumerate(words) if w not in PLAIN or at <= i < at + len(key)]
+    index = docs.sparkSession.createDataFrame(postings, "w string, t int, i int, weight double, key boolean")
     # Files with a word to look up; each of their places meets the few postings of its word.
-    ranks = F.array_distinct(F.transform("hits", lambda h: F.try_element_at(order, h["w"])))
-    looked = rows.where(F.size("hits") > 0).select("row", "hits", F.slice(F.array_sort(F.filter(ranks, lambda r: r.isNotNull())), 1, top_words).alias("top"))
-    looked = looked.where(F.size("top") > 0).select("row", F.explode("hits").alias("h"), "top").select("row", "h.w", "h.p", F.array_contains("top", F.try_element_at(order, F.col("h.w"))).alias("looked_up"))
-    weight = F.create_map(*[x for w in kept for x in (F.lit(w), F.lit(idf[w]))])
-    votes = looked.join(F.broadcast(index), "w").select("row", "t", (F.col("p") - F.col("i")).alias("start"), F.col("key").cast("int").alias("key"), F.when(F.col("rare") & F.col("looked_up"), F.element_at(weight, F.col("w"))).otherwise(0.0).alias("weight"))
-    total = [sum(idf[w] for w in sorted(sorted({w for w in t.text.split() if w not in PLAIN}, key=lambda w: (-idf[w], w))[:top_words]) for _ in range(t.text.split().count(w))) for t in templates]
+    looked = rows.where(F.exists("hits", lambda h: h["w"].isin(*rare))).select("row", F.explode("hits").alias("h")).select("row", "h.w", "h.p")
+    votes = looked.join(F.broadcast(index), "w").select("row", "t", (F.col("p") - F.col("i")).alias("start"), F.col("key").cast("int").alias("key"), "weight")
+    total = [sum(idf[w] for w in t.text.split() if w in tops[k]) for k, t in enumerate(templates)]
     keys = [len(t.key.split()) for t in templates]
     labels = [t.label for t in templates]
     by = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), F.col("t") + 1)

@@ -37,3 +37,15 @@ def test_empty_and_repeated(documents):
     assert licenses.scan_licenses(documents([])).count() == 0
     rows = licenses.scan_licenses(documents([TEXTS[4]] * 3, [1, 1, None])).collect()
     assert len(rows) == 3 and all(len(r["found"]) == 1 for r in rows)
+
+
+def test_several_notices_in_one_text(documents):
+    text = {t.label: t.text for t in reversed(licenses.TEMPLATES)}
+    several = [("bsd", "isc", "mit"), ("apache-2.0", "bsd", "mit", "mpl-2.0"), tuple(sorted(text))]
+    rows = licenses.scan_licenses(documents([". Plain prose. ".join(text[x] for x in labels) for labels in several] + [t.text for t in licenses.TEMPLATES])).collect()
+    found = {r["doc_id"]: {f["label"] for f in r["found"]} for r in rows}
+    for i, labels in enumerate(several):
+        assert set(labels) <= found[i]
+    # A whole notice has the whole score, beside the others as alone.
+    whole = {r["doc_id"]: {f["label"] for f in r["found"] if f["score"] > 1 - 1e-9} for r in rows}
+    assert whole[2] == set(text) and all(t.label in whole[3 + i] for i, t in enumerate(licenses.TEMPLATES))
