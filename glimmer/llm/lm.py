@@ -1,14 +1,20 @@
 """Operator 2, LM scoring: masked pseudo-likelihood with a bidirectional window network in numpy.
 
-Each word is predicted from the SIDE words to its left and to its right, itself masked out. Words are hashed into
-BUCKETS tokens; tokens fall into CLASSES of about equal mass by their counts over the whole corpus. A network (fixed
-random token vectors, one hidden layer of tanh, a softmax over classes) gives log p(class | both sides), and the
-corpus counts give log p(token | class); the sum of both over a text's words is its score.
-
-Everything is learned from all texts: counts by one partial aggregation; weights by local training in every
-partition, each taking all its words once, and averaging, weighted by words, over ROUNDS rounds. A partition
-sends its counts and its weights, so what is gathered grows with the input, while the driver only ever holds
-one table of BUCKETS counts and one set of weights, both constants of the model.
+Each word is predicted from the words to its left and to its right, itself masked out, in two softmaxes. A network
+(fixed random vectors made from each word's own hash, one hidden layer of tanh, a softmax over CLASSES) gives
+log p(class | SIDE words on both sides), where classes are bands of about equal mass by real counts. Within a class,
+a second softmax over all its words, with a weight of each word for each of the BITS that describe its left and
+right neighbour, gives log p(word | class, both neighbours); its weights follow in closed form from how often each
+bit was set beside the word, and its sums run over every word, so the probabilities of all words add up to 1.
+
+The words, their counts and weights are a distributed table with one row a word, which grows with the corpus and
+is joined to the texts. A word is known by a hash of 64 bits; two words of one hash are to be expected from some
+10^9 words up. A word without a row (only in texts that the model wasn't fitted on) has the last class, that of words
+out of the vocabulary, for itself.
+
+Everything is learned from all texts: the table by one aggregation; the network by local training in every
+partition, each taking all its words once, and averaging, weighted by words, over ROUNDS rounds. The driver holds
+one set of weights, one row for each distinct count (not word), and the sums of the second softmax by class and bits.
 
 Defined results: a null or empty text has no words, log-probability 0 and a null mean; a place beyond a text's
 ends is the empty token 0; repeated rows are learned from and scored each; an empty table gives no rows; a null
@@ -22,13 +28,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glimmer.llm import shared
 
 BUCKETS, CLASSES, SIDE, WIDTH, HIDDEN = 1 << 15, 64, 2, 12, 32
 ROUNDS, BATCH, RATE, SEED = 1, 2048, 0.5, 5
+#: Bits that describe both neighbours, half of them each; how many even observations each word's bits have beforehand; bytes of a chunk.
+BITS, PRIOR, CHUNK = 8, 4.0, 24 << 20
 
 
 @dataclass(frozen=True)
@@ -53,18 +62,26 @@ class Weights:
         return Weights(random.normal(0, (2 * SIDE * WIDTH) ** -0.5, (2 * SIDE * WIDTH + 1, HIDDEN)).astype(np.float32), np.zeros((HIDDEN + 1, CLASSES), np.float32))
 
 
-def vectors() -> np.ndarray:
-    """The fixed random vector of each token; that of the empty token is zero."""
-    table = np.random.default_rng(SEED + 1).normal(0, 1, (BUCKETS + 1, WIDTH)).astype(np.float32)
-    table[0] = 0
-    return table
+class Vectors:
+    """The fixed random vector of each token, made from the token itself; that of the empty token 0 is zero."""
+
+    def __getitem__(self, tokens: np.ndarray) -> np.ndarray:
+        tokens = np.asarray(tokens).astype(np.int64)
+        salt = shared.mixed(np.arange(1, WIDTH + 1, dtype=np.uint64) + np.uint64(SEED << 32))
+        drawn = shared.mixed(tokens.view(np.uint64)[..., None] ^ salt) >> np.uint64(40)
+        return ((drawn.astype(np.float32) / (1 << 23) - 1) * np.float32(3**0.5)) * (tokens != 0)[..., None].astype(np.float32)
+
+
+def vectors() -> Vectors:
+    return Vectors()
 
 
 def text_tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Token of each word (1 to BUCKETS), A-Z lower-cased, and the number of words before each text."""
+    """Token of each word (its hash, never 0), A-Z lower-cased, and the number of words before each text."""
     data = shared.lowered(data)
     starts, ends, before = shared.words(data, offsets)
-    return (shared.word_hashes(data, starts, ends) % np.uint64(BUCKETS)).astype(np.int64) + 1, before
+    tokens = shared.word_hashes(data, starts, ends).view(np.int64)
+    return np.where(tokens == 0, 1, tokens), before
 
 
 def contexts(tokens: np.ndarray, before: np.ndarray) -> np.ndarray:
@@ -72,7 +89,7 @@ def contexts(tokens: np.ndarray, before: np.ndarray) -> np.ndarray:
     n = np.diff(before)
     place = np.arange(len(tokens)) - np.repeat(before[:-1], n)
     size = np.repeat(n, n)
-    out = np.zeros((len(tokens), 2 * SIDE), np.int32)
+    out = np.zeros((len(tokens), 2 * SIDE), tokens.dtype)
     for k, step in enumerate([*range(-SIDE, 0), *range(1, SIDE + 1)]):
         there = (place + step >= 0) & (place + step < size)
         out[there, k] = tokens[np.flatnonzero(there) + step]
@@ -110,90 +127,318 @@ def trained(w: Weights, table: np.ndarray, context: np.ndarray, classes: np.ndar
     return Weights(inner, outer)
 
 
-def classes_of(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def classes_of(counts: np.ndarray, words: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(class of each token, log p(token | class)): tokens by count, cut into classes of about equal mass.
 
-    counts[t] for t from 0 to BUCKETS; every token counts once more than it was seen.
+    counts[0] is the empty token's; every other token counts once more than it was seen. words: how many tokens
+    there are of each entry, one if None. The last class is left to words out of the vocabulary.
     """
-    mass = counts.astype(np.float64) + 1
-    mass[0] = 0
-    order = np.lexsort((np.arange(len(mass)), -mass))
-    share = np.cumsum(mass[order]) / mass.sum()
+    one = counts.astype(np.float64) + 1
+    one[0] = 0
+    mass = one if words is None else one * words
+    order = np.lexsort((np.arange(len(mass)), -one))
+    share = np.cumsum(mass[order]) / max(mass.sum(), 1)
     # Tokens heavier than a class have one each; the rest share what is left.
     number = np.zeros(len(mass), np.int64)
-    number[order] = np.minimum((share - mass[order] / mass.sum() / 2) * CLASSES, CLASSES - 1).astype(np.int64)
+    number[order] = np.minimum((share - mass[order] / max(mass.sum(), 1) / 2) * (CLASSES - 1), CLASSES - 2).astype(np.int64)
     total = np.bincount(number, weights=mass, minlength=CLASSES)
     with np.errstate(divide="ignore"):
-        return number, np.where(mass > 0, np.log(np.maximum(mass, 1e-300) / total[number]), 0.0)
+        return number, np.where(one > 0, np.log(np.maximum(one, 1e-300) / np.maximum(total[number], 1e-300)), 0.0)
+
+
+def neighbour_bits(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """A number of BITS bits for each pair of neighbours (tokens)."""
+    half = np.uint64(64 - BITS // 2)
+    part = lambda t: (shared.mixed(t.view(np.uint64)) >> half).astype(np.int64)
+    return part(left) << (BITS // 2) | part(right)
+
+
+def _rates(packed: np.ndarray) -> np.ndarray:
+    """The share of each bit, a byte each in packed, strictly between 0 and 1."""
+    steps = packed.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :BITS]
+    return (steps.astype(np.float32) + 0.5) / 256
+
+
+_CODES = ((np.arange(1 << BITS)[:, None] >> np.arange(BITS)) & 1).astype(np.float32)
+
+
+def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each class and bits of both neighbours: the sum over the class's words of mass times exp(weights)."""
+    z = np.zeros((CLASSES, 1 << BITS))
+    for batch in batches:
+        n, c, packed = (batch.column(k).to_numpy(zero_copy_only=False) for k in ("n", "c", "packed"))
+        for a in range(0, len(n), 4096):
+            p = _rates(packed[a : a + 4096])
+            odds = np.exp(np.log(p / (1 - p)) @ _CODES.T + np.log(1 - p).sum(axis=1, keepdims=True)) * (n[a : a + 4096, None] + 1)
+            order = np.argsort(c[a : a + 4096], kind="stable")
+            own, first = np.unique(c[a : a + 4096][order], return_index=True)
+            z[own] += np.add.reduceat(odds[order].astype(np.float64), first)
+    seen = np.flatnonzero(z)
+    yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(z.ravel()[seen])], ["k", "v"])
+
+
+def _packed(x: np.ndarray) -> bytes:
+    """An array in as few bytes as zstd makes of it, behind its size."""
+    data = np.ascontiguousarray(x).tobytes()
+    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
+
+
+def _unpacked(data: bytes, kind: type) -> np.ndarray:
+    return np.frombuffer(pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True), kind)
+
 
+def _binary(*arrays: np.ndarray) -> list[pa.Array]:
+    return [pa.array([_packed(x)], pa.binary()) for x in arrays]
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros(BUCKETS + 1, np.int64)
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Chunks of whole texts: distinct words, each word's number among them (from 1), words of each text, ids."""
+    chunk = TaskContext.get().partitionId() << 32
+    for batch in batches:
+        for part in shared.portions(batch, "text", CHUNK):
+            tokens, before = text_tokens(*shared.utf8(part.column("text")))
+            words, local = np.unique(tokens, return_inverse=True)
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, part.select(["id"]).schema) as out:
+                out.write_batch(part.select(["id"]))
+            ids = pa.array([sink.getvalue().to_pybytes()], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([chunk]), *_binary(words, (local + 1).astype(np.int32), np.diff(before)), ids], ["chunk", "words", "local", "sizes", "ids"])
+            chunk += 1
+
+
+CHUNKS = "chunk bigint, words binary, local binary, sizes binary, ids binary"
+_FACTS = "facts binary"
+
+
+def _opened(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct words behind the empty token, each word's place there, words before each text)."""
+    return np.r_[0, _unpacked(row["words"], np.int64)], _unpacked(row["local"], np.int32), np.r_[0, np.cumsum(_unpacked(row["sizes"], np.int64))]
+
+
+def _bits(words: np.ndarray, context: np.ndarray) -> np.ndarray:
+    return neighbour_bits(words[context[:, SIDE - 1]], words[context[:, SIDE]])
+
+
+def _beside(words: np.ndarray, local: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each distinct word: its count, and how often each of BITS bits was set beside it."""
+    bits, m = _bits(words, contexts(local, before)), len(words)
+    return np.bincount(local, minlength=m)[1:], np.stack([np.bincount(local, weights=(bits >> j) & 1, minlength=m)[1:].astype(np.int64) for j in range(BITS)])
+
+
+def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each distinct word of each chunk: its count, and how often each bit was set beside it."""
     for batch in batches:
-        for part in shared.portions(batch, "text"):
-            counts += np.bincount(text_tokens(*shared.utf8(part.column("text")))[0], minlength=BUCKETS + 1)
-    seen = np.flatnonzero(counts)
-    yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(counts[seen])], ["k", "v"])
+        for row in batch.to_pylist():
+            words, local, before = _opened(row)
+            if len(local):
+                n, often = _beside(words, local, before)
+                for a in range(0, len(n), 1 << 16):
+                    own = slice(a, a + (1 << 16))
+                    w = words[1:][own]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(w), row["chunk"])), pa.array(np.arange(a, a + len(w))), pa.array(w), *(pa.array(x[own]) for x in (n, *often))], ["chunk", "i", "w", "n", *(f"b{j}" for j in range(BITS))])
+
+
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each distinct word of each chunk, without counts."""
+    for batch in batches:
+        for row in batch.to_pylist():
+            w = _unpacked(row["words"], np.int64)
+            for a in range(0, len(w), 1 << 16):
+                part = w[a : a + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), row["chunk"])), pa.array(np.arange(a, a + len(part))), pa.array(part)], ["chunk", "i", "w"])
+
+
+def _list(chunks: DataFrame) -> DataFrame:
+    return chunks.mapInArrow(_listed, "chunk bigint, i bigint, w bigint, n bigint, " + ", ".join(f"b{j} bigint" for j in range(BITS)))
+
+
+def _chunks(docs: DataFrame, id_col: str | None, text_col: str) -> DataFrame:
+    ids = F.lit(0) if id_col is None else F.col(id_col)
+    return shared.settled(docs.select(ids.alias("id"), F.col(text_col).alias("text")).mapInArrow(_cut, CHUNKS))
+
 
+def _with_facts(bands: np.ndarray | None):
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            return left.append_column("facts", pa.array([], pa.binary()))
+        words, local, before = _opened({k: left.column(k)[0].as_py() for k in ("words", "local", "sizes")})
+        # Count, class and packed bits of each distinct word; a word without a row has no count and the last class.
+        facts = np.zeros((3, len(words) - 1), np.int64)
+        facts[1] = CLASSES - 1
+        if bands is not None and len(local):
+            n, often = _beside(words, local, before)
+            steps = np.minimum((often + PRIOR / 2) / (n + PRIOR) * 256, 255).astype(np.uint8)
+            facts[:] = n, _band(n, bands), np.pad(np.ascontiguousarray(steps.T), ((0, 0), (0, 8 - BITS))).view("<i8").ravel()
+        facts[:, right.column("i").to_numpy()] = [right.column(k).to_numpy() for k in ("n", "c", "packed")]
+        return left.append_column("facts", pa.array([_packed(facts)] * left.num_rows, pa.binary()))
 
-def _learned(flat: np.ndarray, number: np.ndarray):
+    return run
+
+
+def _band(n: np.ndarray, bands: np.ndarray) -> np.ndarray:
+    """The class of words that don't stand alone in theirs. bands: (least count, class), ascending."""
+    return bands[np.maximum(np.searchsorted(bands[:, 0], n, "right") - 1, 0), 1]
+
+
+def _known(chunks: DataFrame, words: DataFrame, bands: np.ndarray | None = None) -> DataFrame:
+    """The chunks, each with what the table says about its distinct words.
+
+    bands: those of the model where it was fitted on these very chunks. Then a word of one chunk only has all its
+    occurrences there, so that its facts are counted on the spot and needn't travel.
+    """
+    table = words if bands is None else words.where("spread")
+    places = chunks.mapInArrow(_places, "chunk bigint, i bigint, w bigint")
+    found = places.join(table, "w").select("chunk", "i", "n", "c", "packed")
+    return shared.settled(chunks.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(_with_facts(bands), f"{CHUNKS}, {_FACTS}"))
+
+
+def _facts(row: dict) -> np.ndarray:
+    """Count, class and packed bits of the empty token and of each distinct word."""
+    return np.r_[np.zeros((1, 3), np.int64), _unpacked(row["facts"], np.int64).reshape(3, -1).T]
+
+
+def _learned(flat: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, table, n = Weights.of(flat), vectors(), 0
+        w, n = Weights.of(flat), 0
         for batch in batches:
-            for part in shared.portions(batch, "text", 1 << 21):
-                tokens, before = text_tokens(*shared.utf8(part.column("text")))
+            for row in batch.to_pylist():
+                words, local, before = _opened(row)
+                table, number = vectors()[words], _facts(row)[:, 1]
                 # Words in a seeded order, so that a step doesn't see one text only.
-                order = np.random.default_rng(SEED + len(tokens)).permutation(len(tokens))
-                w = trained(w, table, contexts(tokens, before)[order], number[tokens[order]])
-                n += len(tokens)
+                order = np.random.default_rng(SEED + len(local)).permutation(len(local))
+                w = trained(w, table, contexts(local, before)[order], number[local[order]])
+                n += len(local)
         if n:
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(w.flat))), pa.array(w.flat.astype(np.float64) * n), pa.array(np.full(len(w.flat), n))], ["k", "v", "n"])
 
     return run
 
 
-def _scored(flat: np.ndarray, number: np.ndarray, within: np.ndarray):
+def within_class(facts: np.ndarray, bits: np.ndarray, log_sums: np.ndarray) -> np.ndarray:
+    """log p(word | its class, bits of both neighbours), of words given by count, class and packed bits."""
+    n, c, packed = facts.T
+    p = _rates(packed)
+    on, off = np.log(p), np.log(1 - p)
+    weight = np.zeros(len(facts))
+    for j in range(BITS):
+        weight += np.where((bits >> j) & 1, on[:, j], off[:, j])
+    return np.where(c == CLASSES - 1, 0.0, np.log(n + 1) + weight - log_sums[c, bits])
+
+
+def _scored(flat: np.ndarray, log_sums: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, table = Weights.of(flat), vectors()
+        w = Weights.of(flat)
         for batch in batches:
-            for part in shared.portions(batch, "text", 1 << 21):
-                tokens, before = text_tokens(*shared.utf8(part.column("text")))
-                context, score = contexts(tokens, before), np.zeros(len(tokens))
-                for a in range(0, len(tokens), 8 * BATCH):
+            for row in batch.to_pylist():
+                words, local, before = _opened(row)
+                table, facts = vectors()[words], _facts(row)
+                context, score = contexts(local, before), np.zeros(len(local))
+                for a in range(0, len(local), 8 * BATCH):
                     own = slice(a, a + 8 * BATCH)
-                    score[own] = class_log_probabilities(w, table, context[own], number[tokens[own]]) + within[tokens[own]]
+                    known = facts[local[own]]
+                    score[own] = class_log_probabilities(w, table, context[own], known[:, 1]) + within_class(known, _bits(words, context[own]), log_sums)
                 total = np.r_[0, np.cumsum(score)]
                 n = np.diff(before)
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(n), pa.array(np.where(n > 0, total[before[1:]] - total[before[:-1]], 0.0))], ["id", "n_words", "log_probability"])
+                (ids,) = pa.ipc.open_stream(row["ids"])
+                yield pa.RecordBatch.from_arrays([ids.column("id"), pa.array(n), pa.array(np.where(n > 0, total[before[1:]] - total[before[:-1]], 0.0))], ["id", "n_words", "log_probability"])
 
     return run
 
 
+@dataclass(frozen=True)
+class Facts:
+    """What the table of words says about the tokens asked for, and only these are fetched."""
+
+    words: DataFrame
+    of: Column
+    other: float  #: of a token without a row
+
+    def __getitem__(self, tokens: np.ndarray) -> np.ndarray:
+        asked = [int(t) for t in np.unique(tokens)]
+        found = dict(self.words.where(F.col("w").isin(asked)).select("w", self.of).collect()) if asked else {}
+        return np.array([found.get(int(t), self.other) for t in tokens])
+
+
 @dataclass(frozen=True)
 class Model:
     weights: Weights
-    number: np.ndarray  #: class of each token
-    within: np.ndarray  #: log p(token | class)
+    words: DataFrame  #: w, n, c and packed of each word: count, class and shares of the bits beside it
+    masses: np.ndarray  #: of each class, every word counting once more than it was seen
+    log_sums: np.ndarray  #: of the second softmax, by class and bits
 
+    @property
+    def number(self) -> Facts:
+        """Class of each token."""
+        return Facts(self.words, F.col("c"), CLASSES - 1)
 
-def fit(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS) -> Model:
-    """A model of all texts of docs."""
-    texts = docs.select(F.col(text_col).alias("text"))
-    counts = np.zeros(BUCKETS + 1, np.int64)
-    for k, v in texts.mapInArrow(_counted, "k bigint, v bigint").groupBy("k").agg(F.sum("v")).collect():
-        counts[k] = v
-    number, within = classes_of(counts)
+    @property
+    def within(self) -> Facts:
+        """log p(token | class) without its neighbours."""
+        mass = F.element_at(F.array(*[F.lit(float(m)) for m in self.masses]), F.col("c").cast("int") + 1)
+        return Facts(self.words, F.log((F.col("n") + 1) / mass), 0.0)
+
+
+def _table(chunks: DataFrame) -> tuple[DataFrame, np.ndarray, np.ndarray]:
+    """(w, n, c, packed and spread of each word; mass of each class; least count and class of each band)."""
+    seen = _list(chunks).groupBy("w").agg(F.sum("n").alias("n"), *[F.sum(f"b{j}").alias(f"b{j}") for j in range(BITS)], (F.count(F.lit(1)) > 1).alias("spread"))
+    step = lambda j: F.least(F.floor((F.col(f"b{j}") + PRIOR / 2) / (F.col("n") + PRIOR) * 256), F.lit(255)).cast("long")
+    packed = step(0)
+    for j in range(1, BITS):
+        packed = packed.bitwiseOR(F.shiftleft(step(j), 8 * j))
+    seen = shared.settled(seen.select("w", "n", packed.alias("packed"), "spread"))
+    total = seen.agg(F.sum(F.col("n") + 1)).first()[0] or 0
+    # Words as heavy as a class, fewer than CLASSES of them, stand alone; the rest go by count.
+    heavy = seen.where((F.col("n") + 1) * (CLASSES - 1) >= total).select("w", "n").collect()
+    rest = seen.where((F.col("n") + 1) * (CLASSES - 1) < total).groupBy("n").count().collect()
+    heavy.sort(key=lambda r: (-r["n"], r["w"]))
+    rest.sort(key=lambda r: -r["n"])
+    counts = np.array([0, *(r["n"] for r in heavy), *(r["n"] for r in rest)])
+    many = np.array([0, *(1 for _ in heavy), *(r["count"] for r in rest)])
+    number, _ = classes_of(counts, many)
+    masses = np.bincount(number[1:], weights=((counts + 1.0) * many)[1:], minlength=CLASSES)
+    low = {int(c): int(n) for n, c in zip(counts[1 + len(heavy) :], number[1 + len(heavy) :])}  # the least count of each class
+    bands = np.array(sorted((n, c) for c, n in low.items()) or [(0, CLASSES - 2)])
+    band = F.lit(int(bands[0, 1]))
+    for n, c in bands[1:].tolist():
+        band = F.when(F.col("n") >= n, F.lit(c)).otherwise(band)
+    for r, c in zip(heavy, number[1:]):
+        band = F.when(F.col("w") == r["w"], F.lit(int(c))).otherwise(band)
+    alone = F.col("w").isin([r["w"] for r in heavy]) if heavy else F.lit(False)
+    return seen.withColumns({"c": band.cast("long"), "spread": F.col("spread") | alone}), masses, bands
+
+
+def _fitted(chunks: DataFrame, rounds: int = ROUNDS) -> tuple[Model, DataFrame]:
+    words, masses, bands = _table(chunks)
+    sums = np.zeros(CLASSES << BITS)
+    for k, v in words.mapInArrow(_sums, "k bigint, v double").groupBy("k").agg(F.sum("v")).collect():
+        sums[k] = v
+    with np.errstate(divide="ignore"):
+        log_sums = np.log(sums).reshape(CLASSES, -1)
+    known = _known(chunks, words, bands)
     flat = Weights.fresh().flat
     for _ in range(rounds):
-        sums = texts.mapInArrow(_learned(flat, number), "k bigint, v double, n bigint").groupBy("k").agg((F.sum("v") / F.sum("n")).alias("v")).collect()
-        for k, v in sums:
+        for k, v in known.mapInArrow(_learned(flat), "k bigint, v double, n bigint").groupBy("k").agg((F.sum("v") / F.sum("n")).alias("v")).collect():
             flat[k] = v
-    return Model(Weights.of(flat), number, within)
+    return Model(Weights.of(flat), words, masses, log_sums), known
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_words, log_probability, mean_log_probability) per row."""
+def fit(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS) -> Model:
+    """A model of all texts of docs."""
+    return _fitted(_chunks(docs, None, text_col), rounds)[0]
+
+
+def _scores(known: DataFrame, model: Model, docs: DataFrame, id_col: str) -> DataFrame:
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    done = rows.mapInArrow(_scored(model.weights.flat, model.number, model.within), f"id {kind}, n_words bigint, log_probability double")
+    done = known.mapInArrow(_scored(model.weights.flat, model.log_sums), f"id {kind}, n_words bigint, log_probability double")
     return done.select(F.col("id").alias(id_col), "n_words", "log_probability", F.when(F.col("n_words") > 0, F.col("log_probability") / F.col("n_words")).alias("mean_log_probability"))
+
+
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_words, log_probability, mean_log_probability) per row."""
+    return _scores(_known(_chunks(docs, id_col, text_col), model.words), model, docs, id_col)
+
+
+def fit_and_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """What score gives for docs under a model of docs itself, with the texts read once."""
+    model, known = _fitted(_chunks(docs, id_col, text_col))
+    return _scores(known, model, docs, id_col)

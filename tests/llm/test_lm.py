@@ -43,3 +43,34 @@ def test_token_probabilities_sum_to_one():
     number, within = lm.classes_of(counts)
     for c in np.unique(number[1:]):
         assert abs(np.exp(within[1:][number[1:] == c]).sum() - 1) < 1e-9
+
+
+def test_every_word_has_its_own_count_beyond_any_fixed_table(spark, documents):
+    # 40,000 words, each once, beside one of 20,000: none may take over another's count.
+    texts = [" ".join(f"junk{k}" for k in range(a, a + 400)) for a in range(0, 40_000, 400)] + ["often " * 20_000]
+    model = lm.fit(documents(texts))
+    assert model.words.count() == 40_001 > lm.BUCKETS
+    assert sorted(r["n"] for r in model.words.select("n").distinct().collect()) == [1, 20_000]
+
+
+def test_probability_within_a_class_follows_the_neighbours_and_sums_to_one(documents):
+    r = np.random.default_rng(3)
+    # Thousands of words of one frequency, each beside its own neighbour: production rounds, far more words than classes.
+    pairs = [f"a{k} b{k}" for k in range(3000)]
+    texts = [" ".join(pairs[k] for k in r.permutation(3000)[:300]) for _ in range(150)]
+    model = lm.fit(documents(texts))
+    seen = [t.split() for t in texts[:60]]
+    odd = [[w if i % 2 == 0 else f"b{r.integers(3000)}" for i, w in enumerate(t)] for t in seen]  # as frequent, but another's neighbour
+    got = {x["doc_id"]: x["mean_log_probability"] for x in lm.score(documents([" ".join(t) for t in seen + odd]), model).collect()}
+    assert np.mean([got[i] for i in range(60)]) > np.mean([got[i] for i in range(60, 120)]) + 0.3
+    facts = np.array([tuple(x) for x in model.words.select("n", "c", "packed").collect()], np.int64)
+    for bits in (0, 77, 255):
+        p = np.exp(lm.within_class(facts, np.full(len(facts), bits), model.log_sums))
+        assert all(abs(p[facts[:, 1] == c].sum() - 1) < 1e-4 for c in np.unique(facts[:, 1]))
+
+
+def test_one_reading_scores_as_two(documents, awkward):
+    texts = [f"all w{k % 7} of x{k} w{k % 3} all x{k} all" for k in range(300)] + awkward
+    docs = documents(texts)
+    one, two = ({r["doc_id"]: r["log_probability"] for r in d.collect()} for d in (lm.fit_and_score(docs), lm.score(docs, lm.fit(docs))))
+    assert one.keys() == two.keys() and all(abs(one[k] - two[k]) <= 0.02 * abs(two[k]) for k in one)
