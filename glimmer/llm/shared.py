@@ -1,4 +1,4 @@
-"""What several operators of this subpackage share: where to checkpoint, and words as numpy arrays.
+"""What several operators of this subpackage share: checkpoints, and words as numpy arrays.
 
 Words are the maximal runs of bytes other than space and the five controls 0x09-0x0D. Everything
 works on UTF-8 bytes in Arrow buffers, so no Python string is made for a word.
@@ -6,30 +6,17 @@ works on UTF-8 bytes in Arrow buffers, so no Python string is made for a word.
 
 from __future__ import annotations
 
-import tempfile
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from glimmer.operators.graph import settled, shared_folder  # noqa: F401  for the modules of this subpackage
+
 #: Regular expression (Java) for the white space that ends a word.
 SPACE = "[\\x20\\x09-\\x0D]+"
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """The rows of df, written once to the shared checkpoint folder, so that later steps neither
-    recompute them nor depend on an executor that may be lost.
-
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (local tests) is
-    a temporary one made.
-    """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="glimmer-checkpoint-"))
-    return df.checkpoint(eager=True)
-
-
 def session_of(df: DataFrame) -> SparkSession:
     return df.sparkSession
 
