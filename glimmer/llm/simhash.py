@@ -276,17 +276,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = shared.settled(fingerprints(docs, id_col, text_col, shingles))
     classes = rows.groupBy("fp", "more").agg(F.min("id").alias("least"))
     if len(shingles) == 1:
-        edges = near_links(classes.select("fp", F.lit(0).alias("seen")), radius)
+        found = connected_components(near_links(classes.select("fp", F.lit(0).alias("seen")), radius), "a", "b")
     else:
         classes = shared.settled(classes)
         every = classes.select(F.col("fp").alias("first"), F.posexplode(F.concat(F.array("fp"), "more")).alias("seen", "fp"))
-        links = shared.settled(near_links(every.select("fp", "seen").distinct(), radius))
-        # A row's views are one node, but only those that link to others need to be tied to the first.
-        linked = links.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-        common = every.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("fp")
-        ties = every.join(linked.unionByName(common).distinct(), "fp", "left_semi").where("fp <> first").select(F.col("first").alias("a"), F.col("fp").alias("b"))
-        edges = links.unionByName(ties)
-    found = connected_components(edges, "a", "b")
+        # Links are contracted to one row a fingerprint first. Then a class is tied to the components of its views, and
+        # classes meet at the smallest class of each component; what only one class has ties nothing.
+        near = connected_components(near_links(every.select("fp", "seen").distinct(), radius), "a", "b")
+        views = every.join(near.withColumnRenamed("node", "fp"), "fp", "left").select("first", F.coalesce("component", "fp").alias("view"))
+        views = shared.settled(views)
+        hubs = views.groupBy("view").agg(F.min("first").alias("hub"), F.max("first").alias("last")).where("hub < last").select("view", "hub", F.xxhash64("view").alias("h"))
+        ties = views.withColumn("h", F.xxhash64("view")).join(hubs, ["view", "h"]).where("first <> hub").select("first", "hub")
+        found = connected_components(ties, "first", "hub")
     rooted = classes.join(found.select(F.col("node").alias("fp"), "component"), "fp", "left").withColumn("root", F.coalesce("component", "fp"))
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     labelled = rooted.select("fp", "root").distinct().join(smallest, "root").select("fp", "component_id")
@@ -294,9 +295,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingles: tuple[int, ...] = STAGE) -> DataFrame:
-    """The rows of docs whose id is its component's smallest; of rows that share an id one stays."""
-    found = shared.settled(near_duplicates(docs, id_col, text_col, shingles))
-    gone = found.where(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(id_col).distinct()
-    left = docs.join(gone, id_col, "left_anti").select(*docs.columns)
-    repeated = found.groupBy(id_col).count().where("count > 1").limit(1).count() > 0
-    return left.dropDuplicates([id_col]) if repeated else left
+    """One row of each component stays: that of the smallest id, and of rows that share it the one of the smallest digest
+    of the text.
+
+    A row without an id stays in a component only where no row has one. Rows with the same id (or none) and the same text
+    are one row, that of the smallest other columns.
+    """
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    keyed = docs.withColumns({"__none": F.col(id_col).isNull(), "__digest": F.unhex(F.md5(text.cast("binary")))})
+    found = near_duplicates(keyed.select(F.struct("__none", F.col(id_col).alias("__id"), "__digest").alias("__key"), text.alias("__text")), "__key", "__text", shingles)
+    found = shared.settled(found.select("__key", (F.col("__key") == F.col("component_id")).alias("stays")))
+    gone = found.where("NOT stays").select("__key.*").withColumnRenamed("__digest", "__gone").distinct()
+    left = keyed.join(gone.drop("__none"), (F.col("__digest") == F.col("__gone")) & F.col(id_col).eqNullSafe(F.col("__id")), "left_anti")
+    repeated = found.where("stays").groupBy("__key").count().where("count > 1").limit(1).count() > 0
+    if repeated:
+        return left.groupBy(id_col, "__digest").agg(F.min(F.struct(*docs.columns)).alias("__row")).select("__row.*")
+    return left.select(*docs.columns)

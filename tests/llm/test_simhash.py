@@ -108,6 +108,36 @@ def test_manhattan_is_a_lower_bound():
     assert (simhash._manhattan(simhash._embedded(a), simhash._embedded(b)) == want).all() and (want <= np.bitwise_count(a ^ b)).all()
 
 
+def test_rows_without_or_with_the_same_id_are_kept_apart(spark):
+    a, b, c, d = (" ".join(f"{x}{k}" for k in range(60)) for x in "abcd")
+    rows = [(None, a), (None, b), (None, c), (None, c), (5, d), (5, a + " more"), (9, b), (7, d), (5, d)]
+    for parts in (1, 5):
+        left = simhash.drop_near_copies(spark.createDataFrame([(i, t, k % 2) for k, (i, t) in enumerate(rows)], "doc_id long, text string, n int").repartition(parts))
+        got = sorted(((r["doc_id"], r["text"]) for r in left.collect()), key=str)
+        # a stays with its near text of id 5 if they are linked; c once; b under its id; d once.
+        assert (None, c) in got and (9, b) in got and (None, b) not in got and got.count((None, c)) == got.count((5, d)) == 1 and (7, d) not in got
+        assert ((None, a) in got) != (brute_groups([(0, a), (1, a + " more")])[1] == 0) and (5, a + " more") in got
+        assert left.columns == ["doc_id", "text", "n"]
+    assert simhash.drop_near_copies(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_a_large_group_over_many_partitions_makes_rows_in_proportion(spark):
+    """Copies of one text with a word changed each, over many partitions: one group, and no table grows beyond views and nodes."""
+    r = np.random.default_rng(5)
+    words = [f"w{k}" for k in r.integers(0, 5000, 400)]
+    texts = []
+    for k in range(300):
+        t = list(words)
+        t[int(r.integers(0, 400))] = f"x{k}"
+        texts.append((k, " ".join(t)))
+    spark.conf.set("spark.sql.shuffle.partitions", "60")
+    try:
+        got = simhash.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string").repartition(40), shingles=simhash.STAGE).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    assert {x["doc_id"]: x["component_id"] for x in got} == brute_groups(texts)
+
+
 def test_several_views_equal_brute_force(spark):
     d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     rows = [(r["doc_id"], r["text"]) for r in d.collect()]
