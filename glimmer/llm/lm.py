@@ -43,6 +43,7 @@ BITS, PRIOR = 8, 4.0
 #: Bytes of text of a chunk, and of the largest bucket of words.
 CHUNK, MOST_BUCKET = 12 << 20, 128 << 20
 _HALF = BITS // 2
+_ONES = np.ones(CLASSES, np.float32)
 _STEPS = np.array([*range(-SIDE, 0), *range(1, SIDE + 1)])
 
 
@@ -119,7 +120,8 @@ def _hidden(inner: np.ndarray, table: np.ndarray, context: np.ndarray) -> tuple[
 def _logits(outer: np.ndarray, hidden: np.ndarray) -> np.ndarray:
     logits = hidden @ outer[:-1]
     logits += outer[-1]
-    logits -= logits.max(axis=1, keepdims=True)
+    if np.abs(outer).sum(axis=0).max() > 80:  # hidden is within 1, so else exp can't overflow
+        logits -= logits.max(axis=1, keepdims=True)
     return logits
 
 
@@ -127,7 +129,7 @@ def class_log_probabilities(w: Weights, table: np.ndarray, context: np.ndarray,
     """log p(class of the masked word | both sides)."""
     logits = _logits(w.outer, _hidden(w.inner, table, context)[1])
     own = logits[np.arange(len(context)), classes].astype(np.float64)
-    return own - np.log(np.exp(logits, out=logits).sum(axis=1))
+    return own - np.log(np.exp(logits, out=logits) @ _ONES)
 
 
 def trained(w: Weights, table: np.ndarray, context: np.ndarray, classes: np.ndarray, rate: float = RATE) -> Weights:
@@ -139,7 +141,7 @@ def trained(w: Weights, table: np.ndarray, context: np.ndarray, classes: np.ndar
         x, hidden = _hidden(inner, table, own)
         slope = _logits(outer, hidden)
         np.exp(slope, out=slope)
-        slope /= slope.sum(axis=1, keepdims=True)
+        slope /= (slope @ _ONES)[:, None]
         slope[row[: len(own)], classes[a : a + BATCH]] -= 1
         slope *= np.float32(rate / max(len(own), BATCH // 4))
         back = slope @ outer[:-1].T
