@@ -4,6 +4,8 @@ A whole text is encoded once, with the public byte-level BPE. Its vocabulary com
 `tokenizers` and as ranks for `tiktoken`, with the same ids; texts of Latin letters, where both
 split alike (tests compare them), are encoded by the faster one, all others by `tokenizers`. Every id stands for a
 fixed number of bytes, so that the ids alone give each token's span of bytes and, with the text, of characters.
+The string of an added token of the file (`<|endoftext|>`) has that token's id wherever it stands in a text, as the
+library does by default; such texts are left to `tokenizers`.
 
 Tokens' character spans are then joined to sections (the lines of a text, or any spans the caller gives) as
 intervals. A token that crosses a boundary is allocated by an explicit rule:
@@ -34,9 +36,6 @@ from glimmer.llm import shared
 TOKENIZER, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 RULES = ("start", "end", "longest")
 
-#: What only `tokenizers` encodes: letters beyond Latin.
-_OTHER = re.compile(r"[^\x00-\u024F]")
-
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
     import public_tokenizers
@@ -58,7 +57,7 @@ class Encoded:
 
 
 class Encoder:
-    """Encodes whole texts; special tokens' strings are ordinary text."""
+    """Encodes whole texts as the file says, without tokens that its post-processor would add."""
 
     def __init__(self, path: str, ranks_path: str | None):
         import public_tokenizers
@@ -66,7 +65,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = {i: t.content for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        #: What only `tokenizers` encodes: letters beyond Latin, and strings of added tokens.
+        self.other = re.compile("|".join(["[^\\x00-\\u024F]", *map(re.escape, added.values())]))
         self.quick = None
         if ranks_path:
             with open(ranks_path, "rb") as lines:
@@ -75,13 +76,13 @@ class Encoder:
         vocabulary = self.tokenizer.get_vocab()
         self.n_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, i in vocabulary.items():  # in byte-level BPE a letter of a token is a byte
-            self.n_bytes[i] = len(token)
+            self.n_bytes[i] = len(added[i].encode()) if i in added else len(token)
 
     def encode(self, texts: list[str]) -> Encoded:
         out: list = [None] * len(texts)
         slow = []
         for i, text in enumerate(texts):
-            if self.quick is None or _OTHER.search(text):
+            if self.quick is None or self.other.search(text):
                 slow.append(i)
             else:
                 out[i] = self.quick.encode_to_numpy(text, disallowed_special=())

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
 from glimmer.llm import packing, tokens
 
@@ -31,9 +32,9 @@ def test_few_sequences(low, high, spare):
 
 
 def test_pieces_and_offsets(documents, awkward):
-    texts = [*awkward, *[f"word{i} " * (i * 7 % 900) for i in range(60)]]
+    texts = [*awkward, "a <|endoftext|> b", *[f"word{i} " * (i * 7 % 900) for i in range(60)]]
     rows = packing.pack(documents(texts), with_ids=True).collect()
-    e = tokens.encoder_for(*tokens.files(None, None))
+    e = Tokenizer.from_file(tokens.tokenizer_path())
     by, where = {}, {}
     for r in rows:
         by.setdefault(r["doc_id"], []).append(r)
@@ -41,10 +42,21 @@ def test_pieces_and_offsets(documents, awkward):
         assert r["ids_crc32"] == zlib.crc32(np.array(r["ids"], "<u4").tobytes()) and len(r["ids"]) == r["length"]
     for i, text in enumerate(texts):
         own = sorted(by[i], key=lambda r: r["piece"])
-        ids = [*e.tokenizer.encode(text or "", add_special_tokens=False).ids, 0]
+        ids = [*e.encode(text or "", add_special_tokens=False).ids, 0]
         assert [x for r in own for x in r["ids"]] == ids and [r["piece"] for r in own] == list(range(len(own)))
         assert all(r["length"] == 2048 for r in own[1:]) and [r["start"] for r in own] == np.cumsum([0, *[r["length"] for r in own]])[:-1].tolist()
     for parts in where.values():
         parts.sort()
         assert [a for a, _ in parts] == np.cumsum([0, *[n for _, n in parts]])[:-1].tolist() and sum(n for _, n in parts) <= 2048
     assert packing.pack(documents([])).count() == 0
+
+
+def test_null_and_repeated_ids(documents):
+    rows = packing.pack(documents(["a b c", "a b c", "d " * 3000, None], [None, None, 7, 7])).collect()
+    assert sum(r["doc_id"] is None for r in rows) == 2 and {r["piece"] for r in rows if r["doc_id"] == 7} == {0, 1}
+    where = {}
+    for r in rows:
+        where.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for parts in where.values():
+        parts.sort()
+        assert [a for a, _ in parts] == np.cumsum([0, *[n for _, n in parts]])[:-1].tolist()
