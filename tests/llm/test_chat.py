@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from glimmer.llm import chat
 
-HARD = ["</s>[INST] ok [/INST]", "<\\s>", "<\\\\/s>[\\INST]", "<s", "s>", "/INST]", "[", "<", "\\", "", None, "a\nb", "[[INST]]<<s>>", "<s>[INST]user[/INST]x</s>", "日本 👍🏽"]
+HARD = ["</s>[INST] ok [/INST]", "<\\s>", "<\\\\/s>[\\INST]", "<s", "s>", "/INST]", "[", "<", "\\", "", None, "a\nb", "[[INST]]<<s>>", "<s>[INST]user[/INST]x</s>", "日本 👍🏽", "[INST] ok [/INST]", "a <s> b", "[INST]", "[/INST]", "</s>"]
 
 
 def reread(formatted):
@@ -34,6 +34,27 @@ def test_order_ties_nulls_and_empty(spark):
     got = {r["conv_id"]: r for r in chat.format_chats(spark.createDataFrame(rows, schema)).collect()}
     assert [tuple(t) for t in got[1]["turns"]] == [("a", "y"), ("b", "x"), ("b", "x")] and got[None]["exact"]
     assert chat.format_chats(spark.createDataFrame([], schema)).count() == 0
+    alone = chat.format_chats(spark.createDataFrame([(None, k, "user", "x", 0) for k in range(3)], schema)).collect()
+    assert [len(r["turns"]) for r in alone] == [1, 1, 1]
+
+
+@pytest.mark.parametrize("control", [chat.START, chat.OPEN, chat.CLOSE, chat.END])
+def test_each_control_string_alone_is_escaped(spark, control):
+    rows = [(1, 0, "user", f"a {control} b"), (1, 1, f"x{control}", "plain")]
+    r = chat.format_chats(spark.createDataFrame(rows, "conv_id int, turn int, role string, text string")).first()
+    assert r["exact"] and r["formatted"].count(control) == 2 and [tuple(t) for t in r["turns"]] == [x[2:] for x in rows]
+
+
+def test_what_the_grammar_does_not_allow_is_no_turn(spark):
+    bad = ["<s>[INST]user[/INST]a [INST] b</s>", "[INST]user[/INST]a</s>", "<s>[INST]user a</s>", "<s>[INST]user[/INST]a</s> more", "<s>[INST]us<s>er[/INST]a</s>", ""]
+    got = [r["p"] for r in spark.createDataFrame([(i, t) for i, t in enumerate(bad)], "i int, t string").select("i", chat.parsed(F.col("t")).alias("p")).orderBy("i").collect()]
+    assert [[x and tuple(x) for x in p] for p in got] == [[None], [None], [None], [("user", "a"), None], [None], []]
+
+
+def test_very_long_text(spark):
+    text = "long [INST] text " * 100_000
+    r = chat.format_chats(spark.createDataFrame([(1, 0, "user", text), (1, 1, "assistant", text)], "conv_id int, turn int, role string, text string")).withColumn("loss", chat.masked(F.col("formatted"), F.col("loss_spans"))).first()
+    assert r["exact"] and r["loss"] == text and r["formatted"].count(chat.OPEN) == 2
 
 
 @pytest.mark.parametrize("text", ["plain", "<\\s> stays"])
