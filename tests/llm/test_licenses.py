@@ -39,6 +39,42 @@ def test_empty_and_repeated(documents):
     assert len(rows) == 3 and all(len(r["found"]) == 1 for r in rows)
 
 
+def brute_templates(texts, coverage=0.5):
+    """Every template at every place of every text, by plain loops."""
+    import math
+
+    words = [WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) for t in texts]
+    rare = {w for t in licenses.TEMPLATES for w in t.text.split()} - licenses.PLAIN
+    idf = {w: round(math.log((len(texts) + 1) / (sum(w in x for x in words) + 1)) + 1, 6) for w in rare}
+    out = []
+    for text in words:
+        found = {}
+        for t in licenses.TEMPLATES:
+            own, key = t.text.split(), t.key.split()
+            at = next(i for i in range(len(own)) if own[i : i + len(key)] == key)
+            total = sum(idf.get(w, 0) for w in own)
+            for start in range(-len(own) + 1, len(text)):
+                if text[max(start + at, 0) : start + at + len(key)] != key:
+                    continue
+                score = sum(idf.get(w, 0) for i, w in enumerate(own) if 0 <= start + i < len(text) and text[start + i] == w) / total
+                if score >= coverage - 1e-9:
+                    found[t.label, max(start, 0)] = max(score, found.get((t.label, max(start, 0)), 0))
+        out.append({k: round(v, 6) for k, v in found.items()})
+    return out
+
+
+def test_templates_equal_brute_force(documents):
+    whole = [licenses.MIT, licenses.ISC, licenses.BSD + " " + licenses.BSD_DISCLAIMER, licenses.APACHE, licenses.GPL, licenses.MPL, licenses.ZLIB, licenses.UNLICENSE]
+    cut = [" ".join(w for k, w in enumerate(t.split()) if k < len(t.split()) * share) for t in whole for share in (0.3, 0.55, 0.9)]
+    texts = [*TEXTS, *whole, *cut, "x " + " y ".join(whole), "// SPDX-License-Identifier: MIT", "SPDX-License-Identifier: Apache-2.0 OR GPL-3.0", None, ""]
+    got = {r["doc_id"]: {(f["label"], f["start"]): round(f["score"], 6) for f in r["found"]} for r in licenses.scan_licenses(documents(texts)).collect()}
+    for i, want in enumerate(brute_templates(texts)):
+        assert got[i].keys() == want.keys() and all(abs(got[i][k] - v) < 1e-5 for k, v in want.items()), texts[i]
+    labels = [{k[0] for k in got[i]} for i in range(len(TEXTS), len(TEXTS) + len(whole))]
+    assert labels == [{"mit"}, {"isc"}, {"bsd"}, {"apache-2.0"}, {"gpl"}, {"mpl-2.0"}, {"zlib"}, {"unlicense"}]
+    assert {k[0] for k in got[len(texts) - 4]} == {"mit"} and {k[0] for k in got[len(texts) - 3]} == {"apache-2.0"}
+
+
 def test_several_notices_in_one_text(documents):
     text = {t.label: t.text for t in reversed(licenses.TEMPLATES)}
     several = [("bsd", "isc", "mit"), ("apache-2.0", "bsd", "mit", "mpl-2.0"), tuple(sorted(text))]
