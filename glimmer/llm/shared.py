@@ -124,6 +124,15 @@ def window_hashes(hashes: np.ndarray, size: int, seed: int) -> np.ndarray:
     return mixed(out)
 
 
+def window_hashes_at(hashes: np.ndarray, at: np.ndarray, size: int, seed: int) -> np.ndarray:
+    """What window_hashes gives at these places only."""
+    factors = mixed(np.arange(1, size + 1, dtype=np.uint64) + np.uint64(seed * 1000003)) | np.uint64(1)
+    out = np.zeros(len(at), np.uint64)
+    for k in range(size):
+        out += hashes[at + k] * factors[k]
+    return mixed(out)
+
+
 def texts(pieces: np.ndarray, lengths: np.ndarray) -> pa.Array:
     """A string column out of UTF-8 bytes and each text's number of bytes."""
     offsets = np.zeros(len(lengths) + 1, np.int64)

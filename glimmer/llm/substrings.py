@@ -5,18 +5,22 @@ windows of ANCHOR words. A repeat of WINDOW = 2 * ANCHOR - 1 words or more holds
 that has it, so it is enough to look where a probe of one text hits a block of another. Around each hit all
 windows of WINDOW words are compared, and overlapping matches are merged: these are the maximal exact repeats.
 
-How it scales. Texts are dealt into chunks of a fixed number of bytes by a hash of the id. A chunk sends each
-hash once, however often it holds it, as packed differences: a passage that a third of all texts share costs
-one entry per chunk, not one per text. A bucket of hashes, as bounded as a chunk, answers each chunk with the
-hashes that matter to it. So one task holds a chunk or a bucket, the driver holds nothing, and what is shuffled
-is about three bytes a word once, and the texts once (Spark reuses that exchange for the three passes).
-
-Windows are compared by 64-bit hashes of their words; probes by 43 bits, where a chance hit costs time only.
+How it scales. Texts are dealt into chunks of a fixed number of bytes by a hash of id and text, so that rows that
+share an id, or have none, are spread. A chunk sends each hash once, however often it holds it, as packed
+differences: a passage that a third of all texts share costs one entry per chunk, not one per text. A bucket of
+hashes answers each chunk with the hashes that matter to it. So one task holds a chunk or a bucket, the driver
+holds nothing, and what is shuffled is about three bytes a word once, and the texts once (Spark reuses that exchange
+for the three passes). Chunks times buckets are cells; a bucket grows with the root of the input up to MOST_BUCKET
+bytes of text, which keeps cells few.
+
+Probes are compared by 43 bits, where a chance hit costs time only. Windows are compared by 96: a hash of 64 bits and
+an independent one of 32 of the 13 words' own hashes, so that of 10^13 different windows no two are expected to be
+taken for one another.
 
 Defined results: a null or empty text has no words; rows with a null id keep all words and take none from
 others, since no id is smaller or larger; rows that share an id don't take words from one another; an empty
-table gives no rows; columns other than the id and those in keep are left out. A text longer than a chunk is
-a chunk of its own.
+table gives no rows; columns other than the id and those in keep are left out. Ids are integers. A text longer than a
+chunk is a chunk of its own.
 """
 
 from __future__ import annotations
@@ -30,7 +34,7 @@ from pyspark.sql import types as T
 from glimmer.llm import shared
 
 WINDOW = 13
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES, MOST_BUCKET = 4 << 20, 16 << 20
 _ID, _BITS = 20, 43
 
 
@@ -119,12 +123,18 @@ def _hits(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     return _cells([(key[0].as_py(), c, shared.packed(keys[e - n : e][chosen[e - n : e]]), b"") for c, e, n in zip(chunks, ends, sizes) if chosen[e - n : e].any()])
 
 
-def _answers(table: pa.Table) -> tuple[np.ndarray, np.ndarray | None]:
-    """Ascending keys of all answers to a chunk, and the values with them."""
+def _answers(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ascending keys of all answers to a chunk, and the ids and checks with them (none with hits)."""
     rows = sorted(zip(table.column("bucket").to_pylist(), table.column("keys").to_pylist(), table.column("extra").to_pylist()))
-    if not rows:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    return np.concatenate([shared.unpacked(k) for _, k, _ in rows]), np.concatenate([shared.from_planes(x) for *_, x in rows])
+    keys = [shared.unpacked(k) for _, k, _ in rows]
+    extras = [(x[: 8 * len(k)], x[8 * len(k) :]) for k, (*_, x) in zip(keys, rows)]
+    joined = lambda parts, kind: np.concatenate([np.zeros(0, kind), *parts])
+    return joined(keys, np.uint64), joined([shared.from_planes(a) for a, _ in extras], np.int64), joined([np.frombuffer(b, "<u4") for _, b in extras], np.uint32)
+
+
+def _checks(hashes: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """A second hash, of 32 bits, of the windows that start at these places."""
+    return np.concatenate([np.zeros(0, np.uint32), *[(shared.window_hashes_at(hashes, at[a : a + (1 << 16)], size, 3) >> np.uint64(32)).astype(np.uint32) for a in range(0, len(at), 1 << 16)]])
 
 
 def _found(values: np.ndarray, within: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -135,11 +145,25 @@ def _found(values: np.ndarray, within: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return at, within[at] == values
 
 
+def _checked(within: np.ndarray, check: np.ndarray, at: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For values found at these places of within, where equal values stand in a row: the place whose check is the value's
+    own, and whether there is one."""
+    at, there = at.copy(), check[at] == own
+    left = np.flatnonzero(~there)
+    while len(left):
+        onward = np.minimum(at[left] + 1, len(within) - 1)
+        left, onward = (x[(onward > at[left]) & (within[onward] == within[at[left]])] for x in (left, onward))
+        at[left] = onward
+        there[left] = check[onward] == own[left]
+        left = left[~there[left]]
+    return at, there
+
+
 def _candidates(window: int, anchor: int, n_buckets: int):
     """Windows around the hits of a chunk: each hash with its smallest id and whether other ids have it."""
 
     def run(key: tuple[pa.Scalar, ...], docs: pa.Table, hits: pa.Table) -> pa.Table:
-        wanted, _ = _answers(hits)
+        wanted = _answers(hits)[0]
         if not len(wanted) or not docs.num_rows:
             return _cells([])
         chunk = _Chunk(docs, window)
@@ -152,15 +176,15 @@ def _candidates(window: int, anchor: int, n_buckets: int):
         at, text = at[near], text[near]
         if not len(at):
             return _cells([])
-        hashes, ids = shared.window_hashes(chunk.hashes, window, 2)[at], chunk.ids[text]
-        order = np.lexsort((ids, hashes))
-        hashes, ids = hashes[order], ids[order]
-        first = np.flatnonzero(np.r_[True, hashes[1:] != hashes[:-1]])
+        hashes, ids, check = shared.window_hashes(chunk.hashes, window, 2)[at], chunk.ids[text], _checks(chunk.hashes, at, window)
+        order = np.lexsort((ids, check, hashes))
+        hashes, ids, check = hashes[order], ids[order], check[order]
+        first = np.flatnonzero(np.r_[True, (hashes[1:] != hashes[:-1]) | (check[1:] != check[:-1])])
         last = np.r_[first[1:], len(hashes)] - 1
         more = ids[first] != ids[last]
-        hashes, ids = hashes[first], ids[first]
+        hashes, ids, check = hashes[first], ids[first], check[first]
         number = key[0].as_py()
-        return _cells([(b, number, shared.packed(hashes[s]), shared.planes(ids[s]) + np.packbits(more[s]).tobytes()) for b, s in _sliced_high(hashes, n_buckets)])
+        return _cells([(b, number, shared.packed(hashes[s]), shared.planes(ids[s]) + check[s].astype("<u4").tobytes() + np.packbits(more[s]).tobytes()) for b, s in _sliced_high(hashes, n_buckets)])
 
     return run
 
@@ -176,29 +200,32 @@ def _smallest(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     keys, cell, chunks, extras = _gathered(table)
     sizes = np.bincount(cell, minlength=len(chunks))
     ids = np.concatenate([shared.from_planes(x[: 8 * n]) for x, n in zip(extras, sizes)])
-    more = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8, offset=8 * n), count=n) for x, n in zip(extras, sizes)]).astype(bool)
-    order = np.lexsort((ids, keys))
-    ordered = keys[order]
-    first = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
+    check = np.concatenate([np.frombuffer(x, "<u4", count=n, offset=8 * n) for x, n in zip(extras, sizes)])
+    more = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8, offset=12 * n), count=n) for x, n in zip(extras, sizes)]).astype(bool)
+    order = np.lexsort((ids, check, keys))
+    ordered, checked = keys[order], check[order]
+    first = np.flatnonzero(np.r_[True, (ordered[1:] != ordered[:-1]) | (checked[1:] != checked[:-1])])
     least = np.empty(len(keys), np.int64)
     least[order] = np.repeat(ids[order][first], np.diff(np.r_[first, len(ordered)]))
     chosen = (least < ids) | more
     ends = np.cumsum(sizes)
     cells = [(key[0].as_py(), c, slice(e - n, e)) for c, e, n in zip(chunks, ends, sizes)]
-    return _cells([(b, c, shared.packed(keys[s][chosen[s]]), shared.planes(least[s][chosen[s]])) for b, c, s in cells if chosen[s].any()])
+    return _cells([(b, c, shared.packed(keys[s][chosen[s]]), shared.planes(least[s][chosen[s]]) + check[s][chosen[s]].tobytes()) for b, c, s in cells if chosen[s].any()])
 
 
 def _cut(window: int, layout: str, keep: tuple[str, ...], schema: pa.Schema):
     """Takes the repeated words out of a chunk's texts."""
 
-    def part(docs: pa.Table, wanted: np.ndarray, least: np.ndarray) -> pa.Table:
+    def part(docs: pa.Table, wanted: np.ndarray, least: np.ndarray, check: np.ndarray) -> pa.Table:
         chunk = _Chunk(docs, window)
         n_words = np.diff(chunk.before)
         cover = np.zeros(len(chunk.starts) + 1, np.int64)
         if len(wanted):
             at, text = chunk.places(window)
             where, there = _found(shared.window_hashes(chunk.hashes, window, 2)[at] if len(at) else np.zeros(0, np.uint64), wanted)
-            at = at[there & (least[where] < chunk.ids[text])] if len(at) else at
+            at, text, where = at[there], text[there], where[there]
+            where, there = _checked(wanted, check, where, _checks(chunk.hashes, at, window))
+            at = at[there & (least[where] < chunk.ids[text])]
             np.add.at(cover, at, 1)
             np.add.at(cover, at + window, -1)
         gone = np.cumsum(cover)[:-1] > 0
@@ -232,26 +259,29 @@ def _cut(window: int, layout: str, keep: tuple[str, ...], schema: pa.Schema):
         return pa.Table.from_arrays([x.cast(f.type) for x, f in zip(columns, schema)], schema=schema)
 
     def run(key: tuple[pa.Scalar, ...], docs: pa.Table, answers: pa.Table) -> pa.Table:
-        wanted, least = _answers(answers)
-        parts = [part(x, wanted, least) for x in shared.portions(docs, "__text", 1 << 20)]
+        found = _answers(answers)
+        parts = [part(x, *found) for x in shared.portions(docs, "__text", 1 << 20)]
         return pa.concat_tables(parts) if parts else schema.empty_table()
 
     return run
 
 
-def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), window: int = WINDOW, layout: str = "words", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), window: int = WINDOW, layout: str = "words", chunk_bytes: int = CHUNK_BYTES, bucket_bytes: int | None = None) -> DataFrame:
     """Removes every word covered by a window that also starts in a text with a smaller id.
 
     Returns the id, the columns in keep, n_words, n_removed, kept_text and repeats, the removed maximal
     repeats as array<struct<start, stop>> in word numbers. layout "words" joins the kept words by a space;
-    "text" keeps the white space between them. window must be odd; windows are judged on the input.
+    "text" keeps the white space between them. window must be odd; windows are judged on the input. bucket_bytes: text
+    whose hashes make a bucket; if None 256 bytes for each byte of the input's root, a chunk to MOST_BUCKET.
     """
     if window < 3 or window % 2 == 0:
         raise ValueError("window must be odd and at least 3")
     anchor = (window + 1) // 2
     n = shared.n_pieces(docs, text_col, chunk_bytes)
+    size = bucket_bytes or min(max(MOST_BUCKET, chunk_bytes), max(chunk_bytes, int(256 * (n * chunk_bytes) ** 0.5)))
+    buckets = max(1, -(-n * chunk_bytes // size))
     chunked = docs.select(
-        F.pmod(F.xxhash64(F.col(id_col)), F.lit(n)).cast("int").alias("__chunk"),
+        F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(n)).cast("int").alias("__chunk"),
         F.col(id_col).cast("long").alias("__id"),
         F.col(text_col).alias("__text"),
         *[F.col(c).alias(f"__keep_{i}") for i, c in enumerate(keep)],
@@ -261,7 +291,7 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     from pyspark.sql.pandas.types import to_arrow_schema
 
     by_chunk = lambda: chunked.groupBy("__chunk")
-    hits = by_chunk().applyInArrow(_probes(anchor, n), CELL).groupBy("bucket").applyInArrow(_hits, CELL)
-    windows = by_chunk().cogroup(hits.groupBy("chunk")).applyInArrow(_candidates(window, anchor, n), CELL)
+    hits = by_chunk().applyInArrow(_probes(anchor, buckets), CELL).groupBy("bucket").applyInArrow(_hits, CELL)
+    windows = by_chunk().cogroup(hits.groupBy("chunk")).applyInArrow(_candidates(window, anchor, buckets), CELL)
     least = windows.groupBy("bucket").applyInArrow(_smallest, CELL)
     return by_chunk().cogroup(least.groupBy("chunk")).applyInArrow(_cut(window, layout, keep, to_arrow_schema(schema)), schema)
