@@ -4,15 +4,15 @@ _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 OP3 = r"""
 WITH turns AS (
-  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+  SELECT conv_id, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS own, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, NULL, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, NULL, 1, 'assistant', '</s>[INST] ok [/INST]'
 ), put AS (
   SELECT *, regexp_replace(regexp_replace(text, '(<)(\\*/?s>)', '\1\\\2', 'g'), '(\[)(\\*/?INST\])', '\1\\\2', 'g') AS t,
     regexp_replace(regexp_replace(role, '(<)(\\*/?s>)', '\1\\\2', 'g'), '(\[)(\\*/?INST\])', '\1\\\2', 'g') AS r FROM turns
 ), one AS (
   SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS said,
     coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS loss,
-    sum(length(r) + length(t) + length('<s>[INST][/INST]</s>')) AS n FROM put GROUP BY conv_id
+    sum(length(r) + length(t) + length('<s>[INST][/INST]</s>')) AS n FROM put GROUP BY conv_id, own
 )
 SELECT conv_id, CAST(n_turns AS BIGINT) AS n_turns, sha256(said) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars,
   sha256(loss) AS loss_sha256, CAST(n AS BIGINT) AS formatted_chars, TRUE AS exact FROM one
@@ -44,9 +44,19 @@ c AS (SELECT *, len(ls) AS n_lines, len(ls) - len(list_distinct(ls)) AS n_dup_li
 d AS (SELECT *, CAST((n_words < 50)::INT + 2 * (100 * n_repeat_words > 50 * n_words)::INT + 4 * (5 * n_symbols > n_words)::INT
   + 8 * (word_chars < 3 * n_words OR word_chars > 12 * n_words)::INT + 16 * (2 * n_dup_lines > n_lines)::INT + 32 * (2 * n_upper > word_chars)::INT AS BIGINT) AS failed_bits FROM c)
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
-  CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, failed_bits % 4 <> 0 AS base_failed, failed_bits = 0 AS kept, failed_bits FROM d
+  CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, failed_bits % 4 <> 0 AS base_failed, failed_bits = 0 AS kept, failed_bits,
+  failed_bits & 3 = 0 AS kept_base_1, failed_bits & 15 = 0 AS kept_prose_1, failed_bits & 63 = 0 AS kept_prose_2 FROM d
 """
 
+#: Policies as (name, version, mask) and rules as (name, bit).
+ABLATIONS = f"""
+WITH led AS (SELECT failed_bits AS b FROM ({OP7})),
+p(policy, version, mask) AS (VALUES ('base', 1, 3), ('prose', 1, 15), ('prose', 2, 63)),
+r(rule, bit) AS (VALUES ('too_few_words', 1), ('repeated_windows', 2), ('symbols', 4), ('word_length', 8), ('duplicate_lines', 16), ('shouting', 32))
+SELECT policy, version, rule, count(*) FILTER (b & mask = 0)::BIGINT AS n_kept, count(*) FILTER (b & mask & bit <> 0)::BIGINT AS n_failed,
+  count(*) FILTER (b & mask = bit)::BIGINT AS n_failed_alone, count(*) FILTER (b & mask & ~bit = 0)::BIGINT AS n_kept_without
+FROM led, p JOIN r ON mask & bit <> 0 GROUP BY policy, version, rule
+"""
 
 
 def _op1() -> str:
@@ -110,11 +120,9 @@ w AS (SELECT doc_id, unnest(ws) AS x, unnest(range(len(ws))) AS p FROM d),
 base AS ({base}),
 n AS (SELECT count(*) AS n FROM documents), vocab AS (SELECT DISTINCT x FROM post WHERE rare),
 df AS (SELECT vocab.x, count(DISTINCT doc_id) AS df FROM vocab LEFT JOIN w USING (x) GROUP BY ALL), idf AS (SELECT x, round(ln((n + 1) / (df + 1)) + 1, 6) AS idf FROM df, n),
-top AS (SELECT doc_id, x FROM (SELECT DISTINCT doc_id, x FROM w SEMI JOIN vocab USING (x)) JOIN idf USING (x) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY idf DESC, x) <= 12),
-ttop AS (SELECT t, x, idf FROM (SELECT DISTINCT t, x FROM post WHERE rare) JOIN idf USING (x) QUALIFY row_number() OVER (PARTITION BY t ORDER BY idf DESC, x) <= 12),
-total AS (SELECT t, sum(idf) AS total FROM post JOIN ttop USING (t, x) GROUP BY ALL),
-votes AS (SELECT w.doc_id, post.t, w.p - post.i AS start, count(*) FILTER (key) AS keys, coalesce(sum(idf.idf) FILTER (top.x IS NOT NULL), 0) AS weight FROM w JOIN post USING (x) LEFT JOIN top ON top.doc_id = w.doc_id AND top.x = w.x LEFT JOIN idf ON idf.x = w.x WHERE w.doc_id IN (SELECT doc_id FROM top) GROUP BY ALL),
-met AS (SELECT doc_id, label, least(weight / total, 1) AS score FROM votes JOIN lab USING (t) JOIN total USING (t) WHERE keys = n_keys AND weight >= 0.5 * total),
+total AS (SELECT t, sum(idf) AS total FROM post JOIN idf USING (x) GROUP BY ALL),
+votes AS (SELECT w.doc_id, post.t, w.p - post.i AS start, count(*) FILTER (key) AS keys, coalesce(sum(idf.idf), 0) AS weight FROM w JOIN post USING (x) LEFT JOIN idf ON idf.x = w.x GROUP BY ALL),
+met AS (SELECT doc_id, label, least(weight / total, 1) AS score FROM votes JOIN lab USING (t) JOIN total USING (t) WHERE keys = n_keys AND weight >= 0.5 * total - 1e-9),
 b AS (SELECT doc_id, count(*) AS n_base, min(p) AS first_word, max(p) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM base GROUP BY ALL),
 l AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM base UNION ALL SELECT doc_id, label FROM met) GROUP BY ALL),
 m AS (SELECT doc_id, max(score) AS score FROM met GROUP BY ALL)
@@ -123,4 +131,4 @@ FROM d LEFT JOIN b USING (doc_id) LEFT JOIN l USING (doc_id) LEFT JOIN m USING (
 """
 
 
-ORACLES = {"op1_source_mixing": _op1(), "op4_exact_top_k": OP4, "op3_chat_formatting": OP3, "op5_substring_dedup": OP5, "op7_quality_rules": OP7, "op8_license_scan": _op8()}
+ORACLES = {"op1_source_mixing": _op1(), "op4_exact_top_k": OP4, "op3_chat_formatting": OP3, "op5_substring_dedup": OP5, "op7_quality_rules": OP7, "quality_ablations": ABLATIONS, "op8_license_scan": _op8()}

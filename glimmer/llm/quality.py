@@ -103,10 +103,14 @@ def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep
     return _measured(docs, id_col, text_col, keep).withColumn("failed_bits", bits.bitwiseOR(barrier))
 
 
+def failed(policy: Policy) -> Column:
+    """Whether a rule of the policy failed, from the ledger's bits."""
+    return F.col("failed_bits").bitwiseAND(F.lit(policy.mask).cast("long")) != 0
+
+
 def judge(rows: DataFrame, policy: Policy = CURRENT, base: Policy = BASE) -> DataFrame:
     """The ledger with base_failed and kept: base's rules go first, then those of the policy."""
-    hit = lambda p: F.col("failed_bits").bitwiseAND(F.lit(p.mask).cast("long")) != 0
-    return rows.withColumns({"base_failed": hit(base), "kept": ~hit(base) & ~hit(policy)})
+    return rows.withColumns({"base_failed": failed(base), "kept": ~failed(base) & ~failed(policy)})
 
 
 def ablations(rows: DataFrame, policies: tuple[Policy, ...] = POLICIES, rules: tuple[Rule, ...] = RULES) -> DataFrame:

@@ -57,7 +57,13 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = quality.judge(quality.ledger(_table(spark, sf_dir, "documents")))
-    return done.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed_bits")
+    every = [(~quality.failed(p)).alias(f"kept_{p.name}_{p.version}") for p in quality.POLICIES]
+    return done.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed_bits", *every)
+
+
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule costs under each policy, from the ledger of all documents."""
+    return quality.ablations(quality.ledger(_table(spark, sf_dir, "documents")))
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,5 +91,5 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_source_mixing, op2_lm_scoring, op3_chat_formatting, op4_exact_top_k, op5_substring_dedup, op6_simhash, op7_quality_rules, op8_license_scan, op9_token_counts, op10_best_fit_packing)
+    f.__name__: f for f in (op1_source_mixing, op2_lm_scoring, op3_chat_formatting, op4_exact_top_k, op5_substring_dedup, op6_simhash, op7_quality_rules, op8_license_scan, op9_token_counts, op10_best_fit_packing, quality_ablations)
 }

@@ -55,3 +55,33 @@ def test_run_equals_brute_force(spark, tmp_path):
 def test_mix_of_the_pipeline_is_stated():
     assert corpus_pipeline.MIX == replace(mixing.PRODUCTION, budget_permille=900, epochs=1) and quality.CURRENT.version == 2
     assert importlib.util.find_spec("corpus_pipeline")
+
+
+def awkward_documents(spark):
+    good = lambda seed: " ".join(f"word{(k * seed) % 997}" for k in range(80))
+    rows = [(1, good(1)), (1, good(1)), (1, good(2)), (None, good(3)), (None, good(3)), (None, good(4)), (5, None), (6, ""), (7, "short"), (None, None), (8, good(1)), (9, good(5) + " " + good(6)), (10, good(7) + " " + good(6)), (11, " ".join(f"long{k}" for k in range(30_000)))]
+    return spark.createDataFrame([(i, t, None if k % 3 else "en", None if k % 4 else "src1", k, 1, "x", 2, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long, n_words int, fp string, kept int, __row int")
+
+
+def test_stages_on_awkward_rows(spark):
+    docs = awkward_documents(spark)
+    one = corpus_pipeline.quality_rules(spark, docs, "")
+    assert one.columns == COLUMNS and one.where("text IS NULL OR text = '' OR doc_id = 7").count() == 0 and one.count() == 10
+    two = corpus_pipeline.near_copies(spark, one, "")
+    got = sorted(((r["doc_id"], r["text"][:20]) for r in two.collect()), key=str)
+    # One of the copies (1, 1, 8); the other text of id 1 stays; each text without an id stays once.
+    assert two.columns == COLUMNS and [i for i, _ in got].count(1) == 2 and [i for i, _ in got].count(None) == 2 and 8 not in [i for i, _ in got] and {9, 10, 11} <= {i for i, _ in got}
+    three = corpus_pipeline.repeated_passages(spark, two, "")
+    lengths = {r["doc_id"]: r["n_chars"] for r in three.where("doc_id > 8").collect()}
+    assert three.columns == COLUMNS and three.count() == two.count() and lengths[10] < lengths[9]
+    four = corpus_pipeline.mixed_sources(spark, three, "")
+    assert four.columns == COLUMNS and 0 < four.count() <= three.count()
+    five = corpus_pipeline.packed_sequences(spark, docs, "")
+    assert five.where("piece = 0").count() == docs.count() and five.where("length > 2048").count() == 0
+
+
+def test_stages_on_empty_tables(spark):
+    docs = awkward_documents(spark).limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, "")
+        assert out.count() == 0 and (name == "packed_sequences" or out.columns == COLUMNS)
