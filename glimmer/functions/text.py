@@ -21,34 +21,32 @@ def bound(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def normalized(text: Column, boundary: Iterable[str] = L.BOUNDARY) -> Column:
     """Lower case; `_` becomes a space; a hyphen chain with a boundary word inside is glued by `_`, others split."""
-    pieces = F.regexp_extract_all(F.replace(F.lower(F.coalesce(text, F.lit(""))), F.lit("_"), F.lit(" ")), F.lit("[a-z0-9]+(?:-[a-z0-9]+)*|[^a-z0-9]+"), 0)
+    plain = F.replace(F.lower(F.coalesce(text, F.lit(""))), F.lit("_"), F.lit(" "))
+    split = F.regexp_replace(plain, "(?<=[a-z0-9])-(?=[a-z0-9])", " ")
 
     def glue(x: Column) -> Column:
         parts = F.split(x, "-")
         inner = F.exists(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 2, F.lit(0))), lambda p: one_of(p, boundary))
         return F.when(x.rlike("^[a-z0-9]+-"), F.when(inner, F.replace(x, F.lit("-"), F.lit("_"))).otherwise(F.replace(x, F.lit("-"), F.lit(" ")))).otherwise(x)
 
-    return F.array_join(F.transform(pieces, glue), "")
+    # Only a chain of three words or more can have one inside; few texts have such a chain.
+    long = F.array_join(F.transform(F.regexp_extract_all(plain, F.lit("[a-z0-9]+(?:-[a-z0-9]+)*|[^a-z0-9]+"), 0), glue), "")
+    return F.when(plain.rlike("[a-z0-9]-[a-z0-9]+-[a-z0-9]"), long).otherwise(split)
 
 
 def chunks(text: Column, boundary: Iterable[str] = L.BOUNDARY) -> Column:
     """array<array<string>>: runs of tokens between punctuation, boundary words and numbers out of place.
 
-    A number stays only right after a word of its chunk, and never if it is a year.
+    A number stays only right after a word of its chunk, and never if it is a year. Cuts are marks in one string, so that
+    the work is in proportion to the text.
     """
-
-    def step(out: Column, tok: Column) -> Column:
-        # Digits sort before ":", letters after it: most tokens need no pattern.
-        number = (tok < ":") & F.replace(tok, F.lit("."), F.lit("")).rlike("^[0-9]+$")
-        first = (out == "") | out.endswith("|")
-        cut = one_of(tok, boundary) | (number & (first | tok.rlike("^(19|20)[0-9][0-9]$") | F.substring_index(out, " ", -1).rlike("^[0-9]+$")))
-        return F.when(cut, F.concat(out, F.lit("|"))).otherwise(F.concat(out, F.lit(" "), tok))
-
-    def piece(p: Column) -> Column:
-        marked = F.aggregate(F.regexp_extract_all(p, F.lit(L.TOKEN), 0), F.lit(""), step)
-        return F.filter(F.transform(F.split(marked, r"\|"), lambda c: F.trim(c)), lambda c: c != "")
-
-    return F.transform(F.flatten(F.transform(F.split(normalized(text, boundary), L.PIECE_BREAK), piece)), lambda c: F.split(c, " "))
+    pieces = F.regexp_replace(normalized(text, boundary), L.PIECE_BREAK, "|")
+    tokens = F.transform(F.regexp_extract_all(pieces, F.lit(rf"{L.TOKEN}|\|"), 0), lambda t: F.when(one_of(t, boundary), "|").otherwise(t))
+    line = F.concat(F.lit("| "), F.array_join(tokens, " "), F.lit(" |"))
+    line = F.regexp_replace(line, r"(?<= )(?:19|20)[0-9]{2}(?= )", "|")  # years
+    line = F.regexp_replace(line, r"(?<=\|) (?:[0-9]+(?:\.[0-9]+)? )+", " ")  # numbers that no word goes before
+    line = F.regexp_replace(line, r"(?<= )([0-9]+) (?:[0-9]+(?:\.[0-9]+)? )+", "$1 | ")  # and those after a number
+    return F.transform(F.filter(F.transform(F.split(line, r"\|"), lambda c: F.trim(c)), lambda c: c != ""), lambda c: F.split(c, " "))
 
 
 def ngrams(chunk: Column, low: int = 2, high: int = 4, start_bad: Iterable[str] = L.START_BAD, end_bad: Iterable[str] = L.END_BAD) -> Column:
@@ -127,7 +125,8 @@ def has_standard(phrase: Column) -> Column:
 
 def is_standard(phrase: Column, kind: Column) -> Column:
     """A standard: its name is the phrase's head, or the kind is "protocol" and a name is anywhere."""
-    return F.trim(F.replace(phrase, F.lit("_"), F.lit(" "))).rlike(rf"(?i)(?:{L.STANDARD})\s*$") | (F.coalesce(kind == "protocol", F.lit(False)) & has_standard(phrase))
+    p = F.trim(F.replace(phrase, F.lit("_"), F.lit(" ")))
+    return p.rlike(rf"(?i)(?:{L.EXCLUDED_STANDARD})\s*$") | (F.coalesce(kind == "protocol", F.lit(False)) & p.rlike(f"(?i){L.EXCLUDED_STANDARD}"))
 
 
 def simple_tokens(text: Column, stop: Iterable[str] = L.BOUNDARY) -> Column:
@@ -136,21 +135,44 @@ def simple_tokens(text: Column, stop: Iterable[str] = L.BOUNDARY) -> Column:
     return F.filter(runs, lambda w: w.rlike(r"^[a-z][a-z0-9\-]{2,}$") & ~one_of(w, stop))
 
 
-def adjective_head(phrase: Column, nouns: Iterable[str] = ("learning", "computing", "cable", "table", "variable")) -> Column:
+def adjective_head(phrase: Column, nouns: Iterable[str] = L.ADJECTIVE_NOUNS) -> Column:
     """The phrase ends in a word formed like an adjective or participle that isn't a known noun."""
     last = F.element_at(F.split(phrase, " "), -1)
-    return last.rlike("(ed|ing|able|ible|ive|ous|ful|less|al|ic)$") & ~one_of(last, nouns)
+    return last.rlike(L.ADJECTIVE_HEAD) & ~one_of(last, nouns)
+
+
+def variant_stem(w: Column) -> Column:
+    """A rough singular, for merging variants only: -ies, -ses, -xes, -zes, -ches, -shes, -s."""
+    n = F.length(w)
+    cut = lambda k: F.substr(w, F.lit(1), n - k)
+    return F.when((n > 4) & w.endswith("ies"), F.concat(cut(3), F.lit("y"))).when((n > 4) & w.rlike("(ses|xes|zes|ches|shes)$"), cut(2)).when((n > 3) & w.endswith("s") & ~w.rlike("(ss|us|is)$"), cut(1)).otherwise(w)
 
 
-def merge_key(phrase: Column, plain: Iterable[str] = ("system", "model", "method", "framework", "approach", "technology", "based", "new")) -> Column:
-    """Sorted distinct stems longer than a letter that tell one phrase from another."""
-    w = F.transform(F.regexp_extract_all(F.lower(phrase), F.lit("[a-z0-9]+"), 0), stem)
-    return F.array_join(F.array_sort(F.array_distinct(F.filter(w, lambda x: (F.length(x) > 1) & ~one_of(x, plain)))), " ")
+def merge_key(phrase: Column, plain: Iterable[str] = L.GENERIC_MODIFIERS | L.PARTICIPLE_MODIFIERS | L.FUNCTION_WORDS) -> Column:
+    """Sorted distinct stems of the words longer than a letter that tell one phrase from another."""
+    w = F.filter(F.regexp_extract_all(F.lower(phrase), F.lit("[a-z0-9]+"), 0), lambda x: (F.length(x) > 1) & ~one_of(x, plain))
+    return F.array_join(F.array_sort(F.array_distinct(F.transform(w, variant_stem))), " ")
 
 
-def normalized_title(title: Column, words: int = 10, stop: Iterable[str] = L.BOUNDARY) -> Column:
+def title_words(title: Column, stop: Iterable[str] = L.TITLE_STOP) -> Column:
+    """array<string>: a title's words (Latin, Cyrillic, digits) without stop words, in order."""
+    return F.filter(F.regexp_extract_all(F.lower(F.coalesce(title, F.lit(""))), F.lit("[a-zа-яё0-9]+"), 0), lambda w: ~one_of(w, stop))
+
+
+def normalized_title(title: Column, words: int = 10, stop: Iterable[str] = L.TITLE_STOP) -> Column:
     """The first words of a title that aren't stop words."""
-    return F.array_join(F.slice(F.filter(F.regexp_extract_all(F.lower(F.coalesce(title, F.lit(""))), F.lit("[a-z0-9]+"), 0), lambda w: ~one_of(w, stop)), 1, words), " ")
+    return F.array_join(F.slice(title_words(title, stop), 1, words), " ")
+
+
+def work_tokens(title: Column) -> Column:
+    """array<string>: the sorted set of a title's words."""
+    return F.array_sort(F.array_distinct(title_words(title)))
+
+
+def title_core(title: Column) -> Column:
+    """The sorted set of the words before a subtitle (after a colon or a dash); empty where there is none."""
+    parts = F.split(F.coalesce(title, F.lit("")), "[:\u2014\u2013]", 2)
+    return F.when((F.size(parts) > 1) & (F.trim(F.get(parts, F.lit(1))) != ""), work_tokens(parts[0])).otherwise(F.expr("cast(array() as array<string>)"))
 
 
 def content_hash(title: Column, url: Column, snippet: Column) -> Column:
@@ -159,8 +181,8 @@ def content_hash(title: Column, url: Column, snippet: Column) -> Column:
 
 def company_name(name: Column) -> Column:
     """Lower case, legal forms and punctuation removed, single spaces."""
-    plain = F.regexp_replace(F.lower(F.coalesce(name, F.lit(""))), "[^a-z0-9 ]+", " ")
-    return F.trim(F.regexp_replace(F.regexp_replace(plain, r"\b(inc|incorporated|corp|corporation|llc|ltd|limited|plc|gmbh|co|company|lp|holdings|group)\b", " "), " +", " "))
+    plain = F.regexp_replace(F.lower(F.coalesce(name, F.lit(""))), L.LEGAL_FORMS, " ")
+    return F.array_join(F.regexp_extract_all(plain, F.lit("[a-z0-9]+"), 0), " ")
 
 
 def sparkline(counts: Column) -> Column:

@@ -13,17 +13,30 @@ def host(url: Column) -> Column:
     return F.regexp_replace(F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[a-zA-Z]+://([^/?#:]+)", 1)), r"^www\.", "")
 
 
+def _decoded(x: Column) -> Column:
+    return F.coalesce(F.try_url_decode(x), x)
+
+
+def _encoded(x: Column) -> Column:
+    """As a form encodes: letters, digits and _.-~ stay, a space is +."""
+    return F.replace(F.replace(F.url_encode(x), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+
+
 def canonical_url(url: Column) -> Column:
-    """Lower-case host without www, no tracking parameters, fragment or trailing slash; a DOI becomes its
-    doi.org address; hosts that only redirect give NULL."""
-    plain = F.regexp_replace(F.coalesce(url, F.lit("")), "#.*$", "")
-    doi = F.regexp_extract(F.lower(plain), r"(10\.[0-9]{4,9}/[^\s?&]+)", 1)
-    path = F.regexp_extract(plain, r"^[a-zA-Z]+://[^/?]+([^?]*)", 1)
-    asked = F.regexp_extract(plain, r"\?(.*)$", 1)
-    tracked = lambda p: F.lower(p).rlike("^(" + "|".join(f"{t}[^=]*" if t.endswith("_") else f"{t}" for t in L.TRACKING) + ")(=|$)")
-    kept = F.array_join(F.filter(F.split(asked, "&"), lambda p: (p != "") & ~tracked(p)), "&")
-    made = F.concat(F.lit("https://"), host(url), F.regexp_replace(path, "/+$", ""), F.when(kept != "", F.concat(F.lit("?"), kept)).otherwise(F.lit("")))
-    return F.when((host(url) == "") | host(url).isin(*L.REDIRECTS), F.lit(None).cast("string")).when(doi != "", F.concat(F.lit("https://doi.org/"), doi)).otherwise(made)
+    """Lower-case scheme and host without www, no tracking parameters, fragment or trailing slash (the root keeps its own);
+    a bare DOI becomes its doi.org address; hosts that only redirect, and what is no absolute URL, give NULL."""
+    u = F.coalesce(url, F.lit(""))
+    bare = F.regexp_replace(F.when(u.contains(":"), F.substr(u, F.instr(u, ":") + 1)).otherwise(u), "^/+", "")
+    plain = F.regexp_replace(u, "#.*$", "")
+    scheme = F.lower(F.regexp_extract(plain, r"^([a-zA-Z][a-zA-Z0-9+.\-]*)://", 1))
+    net = F.regexp_replace(F.lower(F.regexp_extract(plain, r"^[a-zA-Z][a-zA-Z0-9+.\-]*://([^/?]*)", 1)), r"^www\.", "")
+    path = F.regexp_replace(F.regexp_extract(plain, r"^[a-zA-Z][a-zA-Z0-9+.\-]*://[^/?]*([^?]*)", 1), "/+$", "")
+    asked = F.filter(F.split(F.regexp_extract(plain, r"\?(.*)$", 1), "&"), lambda p: p != "")
+    pair = lambda p: F.struct(_decoded(F.substring_index(p, "=", 1)).alias("k"), _decoded(F.when(p.contains("="), F.substr(p, F.instr(p, "=") + 1)).otherwise(F.lit(""))).alias("v"))
+    kept = F.filter(F.transform(asked, pair), lambda x: ~F.lower(x["k"]).rlike(L.TRACKING))
+    query = F.array_join(F.transform(kept, lambda x: F.concat(_encoded(x["k"]), F.lit("="), _encoded(x["v"]))), "&")
+    made = F.concat(scheme, F.lit("://"), net, F.when(path == "", F.lit("/")).otherwise(path), F.when(query != "", F.concat(F.lit("?"), query)).otherwise(F.lit("")))
+    return F.when(F.lower(u).rlike(r"^(10\.|doi:)"), F.concat(F.lit("https://doi.org/"), bare)).when((scheme != "") & (net != "") & ~net.isin(*L.REDIRECTS), made)
 
 
 def registrable_domain(url: Column) -> Column:
@@ -34,14 +47,20 @@ def registrable_domain(url: Column) -> Column:
     return F.when(two.isin(*L.SUFFIXES), three).otherwise(two)
 
 
+#: Where a DOI begins in an address or text.
+_DOI = r"(?i)(?:doi\.org/|^doi:|\b)(10\.[0-9]{4,9}"
+
+
 def doi(text: Column) -> Column:
-    return F.nullif(F.regexp_extract(F.lower(F.coalesce(text, F.lit(""))), r"(10\.[0-9]{4,9}/[^\s?&#]+)", 1), F.lit(""))
+    """The whole DOI in an address, lower case, without dots at its end; NULL if there is none."""
+    return F.nullif(F.regexp_replace(F.lower(F.regexp_extract(F.coalesce(text, F.lit("")), _DOI + r"/[^\s?#]+)", 1)), r"\.+$", ""), F.lit(""))
 
 
 def doi_registrant(text: Column) -> Column:
-    return F.substring_index(doi(text), "/", 1)
+    return F.nullif(F.regexp_extract(F.coalesce(text, F.lit("")), _DOI + ")/", 1), F.lit(""))
 
 
 def code_origin(url: Column) -> Column:
-    """owner of a repository on a code host."""
-    return F.nullif(F.regexp_extract(F.lower(F.coalesce(url, F.lit(""))), r"^https?://(?:www\.)?(?:github|gitlab)\.com/([^/?#]+)", 1), F.lit(""))
+    """host:owner of a repository on a code host, the host alone where no owner is named, else NULL."""
+    owner = F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[a-zA-Z]+://[^/?#]+/+([^/?#]+)", 1))
+    return F.when(host(url).isin(*L.CODE_HOSTS), F.when(owner != "", F.concat(host(url), F.lit(":"), owner)).otherwise(host(url)))

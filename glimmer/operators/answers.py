@@ -96,11 +96,16 @@ def measurement_line(series: DataFrame) -> DataFrame:
     return series.groupBy("entity").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("year", "docs"))), lambda x: F.concat_ws(":", x["year"].cast("string"), x["docs"].cast("string"))), ",").alias("line"))
 
 
-def layer_sources(docs: DataFrame, top: int = 3) -> DataFrame:
-    """(key, layer, rank, title): the first titles of each layer by score, each normalised title once."""
-    t = docs.withColumn("t", F.substring(X.normalized_title(F.col("title")), 1, 120))
-    once = R.top_per(t, ["key", "layer", "t"], [F.desc("score"), F.asc("title")], 1, "k").drop("k")
-    return R.top_per(once, ["key", "layer"], [F.desc("score"), F.asc("title")], top).select("key", "layer", "rank", "title")
+def layer_sources(docs: DataFrame, order: dict[str, Column], other: Column, top: int = 3) -> DataFrame:
+    """(key, layer, rank, title): the first titles of each layer (key, layer, title) in an order of its own, ascending, each
+    title once whatever its case and punctuation. Layers that order doesn't name go by other."""
+    by = other
+    for layer, column in order.items():
+        by = F.when(F.col("layer") == layer, column).otherwise(by)
+    t = F.trim(F.regexp_replace(F.lower("title"), "[^a-z0-9]+", " "))
+    rows = docs.withColumns({"t": t, "__by": by}).where("t <> ''")
+    once = R.top_per(rows, ["key", "layer", "t"], [F.asc("__by"), F.asc("title")], 1, "k").drop("k")
+    return R.top_per(once, ["key", "layer"], [F.asc("__by"), F.asc("title")], top).select("key", "layer", "rank", "title")
 
 
 def source_metrics(series: DataFrame, last: int, factor: float) -> DataFrame:

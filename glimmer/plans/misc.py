@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from glimmer.operators import answers as A
 from glimmer.operators import axes, cube, ml
 from glimmer.operators import rank as R
-from glimmer.plans.panels import TRADE_SQL, query, table, trade_found, trade_totals
+from glimmer.plans.panels import TRADE_SQL, ids, query, table, trade_found, trade_totals
 from glimmer.sources import readers, sinks
 from glimmer.streaming import cube as streams
 
@@ -17,11 +17,11 @@ def _series(s, d):
 
 
 # Readers: records come from ranges in both engines.
-@query("""WITH r AS (SELECT id, CASE WHEN id % 4 = 0 THEN 'arXiv (Cornell)' ELSE 'Journal ' || (id % 9)::VARCHAR END AS source, id % 3 AS inst, id % 5 AS refs FROM range(400) t(id))
-SELECT id::VARCHAR AS doc_id, (2010 + id % 15)::INT AS year, 'Title ' || id::VARCHAR || ' . word' || (id % 7)::VARCHAR || ' of it ; key' || (id % 4)::VARCHAR AS text FROM (SELECT *, replace('', '', '') AS e FROM r WHERE NOT starts_with(source, 'arXiv') AND (inst > 0 OR refs > 0))""")
+@query("""WITH r AS (SELECT id, CASE WHEN id % 4 = 0 THEN 'arXiv (Cornell)' ELSE 'Journal ' || (id % 9)::VARCHAR END AS source, id % 3 AS inst, id % 5 AS refs FROM (SELECT c_custkey AS id FROM customer) t)
+SELECT id::VARCHAR AS doc_id, (2010 + id % 15)::INT AS year, 'Title ' || id::VARCHAR || ' . word' || (id % 7)::VARCHAR || ' of it ; key' || (id % 4)::VARCHAR AS text FROM (SELECT * FROM r WHERE NOT starts_with(source, 'arXiv') AND (inst > 0 OR refs > 0))""")
 def paper_reader(s, d):
     """Half of the records have an inverted index for an abstract, and year under its other name."""
-    raw = s.range(400).selectExpr(
+    raw = ids(s, d, "customer", "c_custkey").selectExpr(
         "cast(id AS string) AS id", "if(id % 2 = 0, concat('Title ', id), null) AS title", "if(id % 2 = 1, concat('Title ', id), null) AS display_name", "if(id % 2 = 0, cast(2010 + id % 15 AS int), null) AS year", "if(id % 2 = 1, cast(2010 + id % 15 AS int), null) AS publication_year",
         "if(id % 2 = 0, concat('word', id % 7, ' of it'), null) AS abstract", "if(id % 2 = 1, map('it', array(2), concat('word', id % 7), array(0), 'of', array(1)), null) AS abstract_inverted_index", "array(concat('key', id % 4)) AS keywords",
         "array(named_struct('institutions', if(id % 3 > 0, array(named_struct('id', 'i', 'type', 't', 'country', 'c')), cast(array() AS array<struct<id: string, type: string, country: string>>)))) AS authorships", "if(id % 5 > 0, array('r'), cast(array() AS array<string>)) AS referenced_works", "if(id % 4 = 0, 'arXiv (Cornell)', concat('Journal ', id % 9)) AS source", "cast(null AS string) AS doi", "'1702' AS subfield",
@@ -29,15 +29,15 @@ def paper_reader(s, d):
     return readers.papers(raw).select("doc_id", "year", F.replace("text", F.lit(" it . key"), F.lit(" it ; key")).alias("text"))
 
 
-@query("WITH r AS (SELECT DISTINCT id % 150 AS id, [['cs.LG', 'math.ST'], ['physics.optics', 'cs.AI'], ['q-bio.NC'], ['math.ST', 'physics.optics'], ['stat.ML', 'math.PR', 'cs.CL']][1 + id % 150 % 5] AS c FROM range(300) t(id)) SELECT id::VARCHAR AS doc_id, CASE id % 5 WHEN 0 THEN 'cs' WHEN 1 THEN 'cs' WHEN 3 THEN 'math' WHEN 4 THEN 'cs' END AS owner FROM r WHERE id % 5 <> 2")
+@query("WITH r AS (SELECT DISTINCT id % 150 AS id, [['cs.LG', 'math.ST'], ['physics.optics', 'cs.AI'], ['q-bio.NC'], ['math.ST', 'physics.optics'], ['stat.ML', 'math.PR', 'cs.CL']][1 + id % 150 % 5] AS c FROM (SELECT c_custkey AS id FROM customer) t) SELECT id::VARCHAR AS doc_id, CASE id % 5 WHEN 0 THEN 'cs' WHEN 1 THEN 'cs' WHEN 3 THEN 'math' WHEN 4 THEN 'cs' END AS owner FROM r WHERE id % 5 <> 2")
 def owner_sets(s, d):
-    raw = s.range(300).selectExpr("cast(id % 150 AS string) AS id", "element_at(array(array('cs.LG', 'math.ST'), array('physics.optics', 'cs.AI'), array('q-bio.NC'), array('math.ST', 'physics.optics'), array('stat.ML', 'math.PR', 'cs.CL')), cast(1 + id % 150 % 5 AS int)) AS categories", "'2020-01-01' AS created", "concat('T', id % 150) AS title", "'a' AS abstract")
+    raw = ids(s, d, "customer", "c_custkey").selectExpr("cast(id % 150 AS string) AS id", "element_at(array(array('cs.LG', 'math.ST'), array('physics.optics', 'cs.AI'), array('q-bio.NC'), array('math.ST', 'physics.optics'), array('stat.ML', 'math.PR', 'cs.CL')), cast(1 + id % 150 % 5 AS int)) AS categories", "'2020-01-01' AS created", "concat('T', id % 150) AS title", "'a' AS abstract")
     return readers.preprints(raw, ("cs", "math")).join(raw.dropDuplicates(["id"]).select(F.col("id").alias("doc_id"), readers.owner_set(F.col("categories"), ("cs", "math")).alias("owner")), "doc_id").select("doc_id", "owner")
 
 
-@query("WITH r AS (SELECT id, ['Show HN: A thing', 'Launch HN: Foo (YC S24)', 'Plain title', 'Ask HN: Why'][1 + id % 4] || ' ' || id::VARCHAR AS t, id % 6 AS score FROM range(200) t(id)) SELECT id::VARCHAR AS doc_id, regexp_replace(regexp_replace(t, '^(Show|Launch|Ask|Tell) HN:\\s*', ''), '\\s*\\(YC [A-Z]+\\d+\\)', '') AS title, id % 4 < 2 AS launch, (1970 + id % 40)::INT AS year FROM r WHERE score >= 2")
+@query("WITH r AS (SELECT id, ['Show HN: A thing', 'Launch HN: Foo (YC S24)', 'Plain title', 'Ask HN: Why'][1 + id % 4] || ' ' || id::VARCHAR AS t, id % 6 AS score FROM (SELECT c_custkey AS id FROM customer) t) SELECT id::VARCHAR AS doc_id, regexp_replace(regexp_replace(t, '^(Show|Launch|Ask|Tell) HN:\\s*', ''), '\\s*\\(YC [A-Z]+\\d+\\)', '') AS title, id % 4 < 2 AS launch, (1970 + id % 40)::INT AS year FROM r WHERE score >= 2")
 def community_reader(s, d):
-    raw = s.range(200).selectExpr("id", "concat(element_at(array('Show HN: A thing', 'Launch HN: Foo (YC S24)', 'Plain title', 'Ask HN: Why'), cast(1 + id % 4 AS int)), ' ', id) AS title", "id % 6 AS score", "(id % 40) * 31557600 + 86400 AS time")
+    raw = ids(s, d, "customer", "c_custkey").selectExpr("id", "concat(element_at(array('Show HN: A thing', 'Launch HN: Foo (YC S24)', 'Plain title', 'Ask HN: Why'), cast(1 + id % 4 AS int)), ' ', id) AS title", "id % 6 AS score", "(id % 40) * 31557600 + 86400 AS time")
     return readers.community(raw).select("doc_id", "title", "launch", "year")
 
 
@@ -48,13 +48,14 @@ def press_reader(s, d):
     return keyed.select("page_id", "title", "year")
 
 
-@query("WITH r AS (SELECT id, 'Acme ' || (id % 50)::VARCHAR || ', Inc.' AS n FROM range(500) t(id)) SELECT 'acme ' || (id % 50)::VARCHAR AS company, CASE WHEN id % 7 = 0 THEN 0 ELSE id * 10 END::DOUBLE AS amount, CASE WHEN id % 2 = 0 THEN '2024-03-05' ELSE '2023-11-20' END AS filed FROM r WHERE id % 3 <> 0 AND id % 5 <> 0 AND id % 11 <> 0")
+@query("SELECT lower(regexp_replace(c_name, '[^a-zA-Z0-9]+', ' ', 'g')) AS company, CASE WHEN o_orderkey % 7 = 0 THEN 0 ELSE o_totalprice END::DOUBLE AS amount, strftime(o_orderdate, '%Y-%m-%d') AS filed FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderkey % 3 <> 0 AND o_orderkey % 5 <> 0 AND o_orderkey % 11 <> 0 AND o_orderkey % 13 <> 0")
 def form_d_join(s, d):
-    r = s.range(500).withColumn("ACCESSIONNUMBER", F.concat(F.lit("A"), "id"))
-    issuers = r.selectExpr("ACCESSIONNUMBER", "concat('Acme ', id % 50, ', Inc.') AS ENTITYNAME", "if(id % 3 = 0, 'NO', 'YES') AS IS_PRIMARYISSUER_FLAG")
-    offers = r.selectExpr("ACCESSIONNUMBER", "if(id % 7 = 0, 'Indefinite', cast(id * 10 AS string)) AS TOTALAMOUNTSOLD", "if(id % 5 = 0, 'Pooled Investment Fund', 'Technology') AS INDUSTRYGROUPTYPE")
-    subs = r.selectExpr("ACCESSIONNUMBER", "if(id % 11 = 0, 'D/A', 'D') AS SUBMISSIONTYPE", "if(id % 2 = 0, '05-MAR-2024', '20-NOV-2023') AS FILING_DATE")
-    return readers.form_d(issuers, offers, subs.withColumn("FILING_DATE", F.initcap(F.lower("FILING_DATE")))).select("company", "amount", F.date_format("at", "yyyy-MM-dd").alias("filed"))
+    """Orders as filings of their customers: amounts that aren't numbers, marks of either kind that are missing, filings without a date."""
+    o = table(s, d, "orders").withColumn("ACCESSIONNUMBER", F.concat(F.lit("A"), "o_orderkey"))
+    issuers = o.join(table(s, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).selectExpr("ACCESSIONNUMBER", "concat(c_name, ', L.L.C.') AS ENTITYNAME", "if(o_orderkey % 3 = 0, 'NO', 'YES') AS IS_PRIMARYISSUER_FLAG")
+    offers = o.selectExpr("ACCESSIONNUMBER", "if(o_orderkey % 7 = 0, 'Indefinite', cast(o_totalprice AS string)) AS TOTALAMOUNTSOLD", "if(o_orderkey % 5 = 0, 'True', if(o_orderkey % 2 = 0, 'false', null)) AS ISPOOLEDINVESTMENTFUNDTYPE", "if(o_orderkey % 11 = 0, 'TRUE', if(o_orderkey % 4 = 0, 'false', null)) AS ISAMENDMENT")
+    subs = o.select("ACCESSIONNUMBER", F.when(F.col("o_orderkey") % 13 == 0, "undated").otherwise(F.date_format("o_orderdate", "dd-MMM-yyyy")).alias("FILING_DATE"))
+    return readers.form_d(issuers, offers, subs).select("company", "amount", F.date_format("at", "yyyy-MM-dd").alias("filed"))
 
 
 @query(r"SELECT DISTINCT lower(trim(regexp_replace(replace(p_name || ' ' || p_type || '_(' || p_brand || ')', '_', ' '), '\s*\([^)]*\)\s*$', ''))) AS title FROM part")
@@ -83,37 +84,37 @@ def relevance_rules(s, d):
 
 
 # Answers.
-_VAR = "v AS (SELECT id, 'term' || (id % 40)::VARCHAR || CASE WHEN id % 3 = 0 THEN 's' ELSE '' END || ' model' AS phrase, id % 5 = 0 AS verified, (id * 7 % 30) / 10.0 AS burst, id % 9 AS lit, id % 4 AS repo FROM range(300) t(id))"
+_VAR = "v AS (SELECT id, 'term' || (id % 40)::VARCHAR || CASE WHEN id % 3 = 0 THEN 's' ELSE '' END || ' model' AS phrase, id % 5 = 0 AS verified, (id * 7 % 30) / 10.0 AS burst, id % 9 AS lit, id % 4 AS repo FROM (SELECT c_custkey AS id FROM customer) t)"
 
 
-def _variants(s):
-    return s.range(300).selectExpr("id", "concat('term', id % 40, if(id % 3 = 0, 's', ''), ' model') AS phrase", "id % 5 = 0 AS verified", "cast(id * 7 % 30 AS double) / 10 AS burst", "id % 9 AS lit", "id % 4 AS repo")
+def _variants(s, d):
+    return ids(s, d, "customer", "c_custkey").selectExpr("id", "concat('term', id % 40, if(id % 3 = 0, 's', ''), ' model') AS phrase", "id % 5 = 0 AS verified", "cast(id * 7 % 30 AS double) / 10 AS burst", "id % 9 AS lit", "id % 4 AS repo")
 
 
 @query(f"WITH {_VAR} SELECT 'term' || (id % 40)::VARCHAR AS key, arg_min(phrase, row((NOT verified)::INT, -burst, length(phrase), phrase)) AS lead, count(*)::BIGINT AS n_variants, sum(lit)::BIGINT AS lit, sum(repo)::BIGINT AS repo FROM v GROUP BY 1")
 def variant_collapse(s, d):
     from glimmer.functions.text import merge_key
 
-    return A.collapsed(_variants(s), merge_key(F.col("phrase")))
+    return A.collapsed(_variants(s, d), F.replace(merge_key(F.col("phrase")), F.lit("model "), F.lit("")))
 
 
 @query(f"WITH {_VAR} SELECT round(1 - count(DISTINCT phrase) / count(*), 6) AS duplicate_rate FROM v")
 def duplicate_rate(s, d):
-    return A.duplicate_rate(_variants(s), F.col("phrase")).select(F.round("duplicate_rate", 6).alias("duplicate_rate"))
+    return A.duplicate_rate(_variants(s, d), F.col("phrase")).select(F.round("duplicate_rate", 6).alias("duplicate_rate"))
 
 
 @query(f"WITH {_VAR} SELECT id, phrase, round(burst * (1 + id % 11), 6)::DOUBLE AS score FROM v ORDER BY round(burst * (1 + id % 11), 9) DESC, phrase, id LIMIT 24")
 def semantic_shortlist(s, d):
-    rows = _variants(s).withColumn("specificity", (1 + F.col("id") % 11).cast("double")).withColumn("phrase0", F.col("phrase")).withColumn("phrase", F.concat("phrase", F.lpad(F.col("id").cast("string"), 6, "0")))
+    rows = _variants(s, d).withColumn("specificity", (1 + F.col("id") % 11).cast("double")).withColumn("phrase0", F.col("phrase")).withColumn("phrase", F.concat("phrase", F.lpad(F.col("id").cast("string"), 6, "0")))
     return A.shortlist(rows).select("id", F.col("phrase0").alias("phrase"), F.round(F.col("burst") * F.col("specificity"), 6).alias("score"))
 
 
 _T = ("A deep-edge computing chip", "Edge computing for all", "On edgecomputing hardware", "Edge-computing at last", "Nothing here", "The EDGE COMPUTING, again")
 
 
-@query("SELECT id, ['none', 'direct', 'glued', 'none', 'none', 'direct'][1 + id % 6] AS claim FROM range(60) t(id)")
+@query("SELECT id, ['none', 'direct', 'glued', 'none', 'none', 'direct'][1 + id % 6] AS claim FROM (SELECT c_custkey AS id FROM customer) t")
 def claim_match(s, d):
-    rows = s.range(60).withColumn("title", F.array(*[F.lit(t) for t in _T])[(F.col("id") % 6).cast("int")])
+    rows = ids(s, d, "customer", "c_custkey").withColumn("title", F.array(*[F.lit(t) for t in _T])[(F.col("id") % 6).cast("int")])
     return rows.select("id", A.claim_match(F.col("title"), F.lit("edge computing")).alias("claim"))
 
 
@@ -137,38 +138,38 @@ def label_table(s, d):
     return A.labels(pos, neg)
 
 
-@query("WITH r AS (SELECT id, id % 2 = 0 AS real, id % 3 <> 0 AS early, CASE WHEN id % 7 = 0 THEN 1 END AS dup_of, id * 37 % 101 AS score FROM range(300) t(id)), x AS (SELECT *, CASE WHEN real AND early THEN 1 WHEN real THEN 2 END AS tier FROM r WHERE dup_of IS NULL) SELECT id, tier::INT AS tier, score FROM x WHERE tier IS NOT NULL ORDER BY tier, score DESC, id LIMIT 15")
+@query("WITH r AS (SELECT id, id % 2 = 0 AS real, id % 3 <> 0 AS early, CASE WHEN id % 7 = 0 THEN 1 END AS dup_of, id * 37 % 101 AS score FROM (SELECT c_custkey AS id FROM customer) t), x AS (SELECT *, CASE WHEN real AND early THEN 1 WHEN real THEN 2 END AS tier FROM r WHERE dup_of IS NULL) SELECT id, tier::INT AS tier, score FROM x WHERE tier IS NOT NULL ORDER BY tier, score DESC, id LIMIT 15")
 def adjudication_tiers(s, d):
-    rows = s.range(300).selectExpr("id", "id % 2 = 0 AS real", "id % 3 <> 0 AS early", "if(id % 7 = 0, 1, null) AS dup_of", "id * 37 % 101 AS score")
+    rows = ids(s, d, "customer", "c_custkey").selectExpr("id", "id % 2 = 0 AS real", "id % 3 <> 0 AS early", "if(id % 7 = 0, 1, null) AS dup_of", "id * 37 % 101 AS score")
     return A.tiered(rows, ["real", "early"], "early").select("id", "tier", "score")
 
 
-_VERD = "vd AS (SELECT 'c' || (id % 3)::VARCHAR AS config, id // 30 AS query, id // 3 % 10 AS place, ['S', 'I', 'M', 'X', 'X'][1 + id * 7 % 5] AS verdict, id * 13 % 40 AS item FROM range(900) t(id))"
+_VERD = "vd AS (SELECT 'c' || (id % 3)::VARCHAR AS config, id // 30 AS query, id // 3 % 10 AS place, ['S', 'I', 'M', 'X', 'X'][1 + id * 7 % 5] AS verdict, id * 13 % 40 AS item FROM (SELECT c_custkey AS id FROM customer) t)"
 
 
-def _verdicts(s):
-    return s.range(900).selectExpr("concat('c', id % 3) AS config", "id div 30 AS query", "id div 3 % 10 AS place", "element_at(array('S', 'I', 'M', 'X', 'X'), cast(1 + id * 7 % 5 AS int)) AS verdict", "id * 13 % 40 AS item")
+def _verdicts(s, d):
+    return ids(s, d, "customer", "c_custkey").selectExpr("concat('c', id % 3) AS config", "id div 30 AS query", "id div 3 % 10 AS place", "element_at(array('S', 'I', 'M', 'X', 'X'), cast(1 + id * 7 % 5 AS int)) AS verdict", "id * 13 % 40 AS item")
 
 
 @query(f"WITH {_VERD} SELECT config, round(avg((verdict = 'S')::INT), 6) AS precision, round(avg((verdict <> 'X')::INT), 6) AS on_topic, count(*)::BIGINT AS n FROM vd GROUP BY ALL")
 def judge_precision(s, d):
-    return A.verdict_table(_verdicts(s)).select("config", F.round("precision", 6).alias("precision"), F.round("on_topic", 6).alias("on_topic"), "n")
+    return A.verdict_table(_verdicts(s, d)).select("config", F.round("precision", 6).alias("precision"), F.round("on_topic", 6).alias("on_topic"), "n")
 
 
 @query(f"WITH {_VERD} SELECT query, round(count(*) / 10, 6) AS overlap FROM (SELECT query, item FROM vd WHERE config = 'c0' INTERSECT SELECT query, item FROM vd WHERE config = 'c1') GROUP BY ALL UNION ALL SELECT DISTINCT query, 0.0 FROM vd WHERE query NOT IN (SELECT query FROM (SELECT query, item FROM vd WHERE config = 'c0' INTERSECT SELECT query, item FROM vd WHERE config = 'c1'))")
 def ranking_overlap(s, d):
-    v = _verdicts(s).withColumn("id", F.col("item"))
+    v = _verdicts(s, d).withColumn("id", F.col("item"))
     return A.top_overlap(v.where("config = 'c0'"), v.where("config = 'c1'"), 10).withColumn("overlap", F.round("overlap", 6))
 
 
 @query(f"WITH {_VERD} SELECT verdict, count(*) FILTER (config = 'c0')::BIGINT AS c0, count(*) FILTER (config = 'c1')::BIGINT AS c1, count(*) FILTER (config = 'c2')::BIGINT AS c2 FROM vd GROUP BY ALL")
 def verdict_crosstab(s, d):
-    return _verdicts(s).groupBy("verdict").pivot("config", ["c0", "c1", "c2"]).count().fillna(0)
+    return _verdicts(s, d).groupBy("verdict").pivot("config", ["c0", "c1", "c2"]).count().fillna(0)
 
 
-@query("WITH r AS (SELECT id, id % 3 <> 0 AS t, ['rubric', 'task', 'term'][1 + id % 3] AS k FROM range(90) x(id)), w AS (SELECT id, (id // 3 % 2) = 0 AS t, k FROM r) SELECT id, NOT (k = 'rubric' OR (NOT t AND k IN ('rubric', 'task'))) AS keep, CASE WHEN NOT (k = 'rubric' OR (NOT t AND k IN ('rubric', 'task'))) AND NOT t THEN 'G' END AS mark FROM w")
+@query("WITH r AS (SELECT id, id % 3 <> 0 AS t, ['rubric', 'task', 'term'][1 + id % 3] AS k FROM (SELECT c_custkey AS id FROM customer) x), w AS (SELECT id, (id // 3 % 2) = 0 AS t, k FROM r) SELECT id, NOT (k = 'rubric' OR (NOT t AND k IN ('rubric', 'task'))) AS keep, CASE WHEN NOT (k = 'rubric' OR (NOT t AND k IN ('rubric', 'task'))) AND NOT t THEN 'G' END AS mark FROM w")
 def import_votes(s, d):
-    return A.import_votes(s.range(90).selectExpr("id", "id div 3 % 2 = 0 AS is_technology", "element_at(array('rubric', 'task', 'term'), cast(1 + id % 3 AS int)) AS kind"))
+    return A.import_votes(ids(s, d, "customer", "c_custkey").selectExpr("id", "id div 3 % 2 = 0 AS is_technology", "element_at(array('rubric', 'task', 'term'), cast(1 + id % 3 AS int)) AS kind"))
 
 
 @query(f"WITH {TRADE_SQL} SELECT entity, string_agg(year::VARCHAR || ':' || docs::VARCHAR, ',' ORDER BY year) AS line FROM dense GROUP BY ALL")
@@ -183,16 +184,18 @@ def source_metrics(s, d):
     return A.source_metrics(_series(s, d), 2001, 12.0 / 7).select("entity", "total", r("recent_mean"), r("prior_mean"), (F.round("growth", 6) + F.lit(0.0)).alias("growth"), "age", "peak_year", r("last_share"))
 
 
-@query("WITH r AS (SELECT id, ['confirmed', 'watchlist', 'unverified'][1 + id % 3] AS state, id * 7 % 10 < 6 AS label FROM range(500) t(id)) SELECT round(avg(label::INT) FILTER (state = 'confirmed'), 6) AS confirmed_precision, round(avg(label::INT) FILTER (state = 'watchlist'), 6) AS watchlist_useful, count(*) FILTER (state = 'confirmed' AND NOT label)::BIGINT AS noise_confirmed FROM r")
+@query("WITH r AS (SELECT id, ['confirmed', 'watchlist', 'unverified'][1 + id % 3] AS state, id * 7 % 10 < 6 AS label FROM (SELECT c_custkey AS id FROM customer) t) SELECT round(avg(label::INT) FILTER (state = 'confirmed'), 6) AS confirmed_precision, round(avg(label::INT) FILTER (state = 'watchlist'), 6) AS watchlist_useful, count(*) FILTER (state = 'confirmed' AND NOT label)::BIGINT AS noise_confirmed FROM r")
 def benchmark_metrics(s, d):
-    rows = s.range(500).selectExpr("id", "element_at(array('confirmed', 'watchlist', 'unverified'), cast(1 + id % 3 AS int)) AS state", "id * 7 % 10 < 6 AS label")
+    rows = ids(s, d, "customer", "c_custkey").selectExpr("id", "element_at(array('confirmed', 'watchlist', 'unverified'), cast(1 + id % 3 AS int)) AS state", "id * 7 % 10 < 6 AS label")
     return A.benchmark_metrics(rows).select(F.round("confirmed_precision", 6).alias("confirmed_precision"), F.round("watchlist_useful", 6).alias("watchlist_useful"), "noise_confirmed")
 
 
-@query("WITH l AS (SELECT lang AS key, source AS layer, split_part(text, chr(10), 1) AS title, n_chars AS score FROM documents WHERE doc_id % 1 = 0), o AS (SELECT key, layer, title, score FROM l QUALIFY row_number() OVER (PARTITION BY key, layer, lower(title) ORDER BY score DESC, title) = 1) SELECT key, layer, row_number() OVER (PARTITION BY key, layer ORDER BY score DESC, title)::INT AS rank, md5(title) AS title FROM o QUALIFY rank <= 1")
+@query(r"WITH l AS (SELECT lang AS key, source AS layer, split_part(text, chr(10), 1) AS title, n_chars, doc_id, trim(regexp_replace(lower(split_part(text, chr(10), 1)), '[^a-z0-9]+', ' ', 'g')) AS t FROM documents), r AS (SELECT *, row_number() OVER (PARTITION BY key, layer ORDER BY CASE layer WHEN 'src0' THEN -n_chars WHEN 'src1' THEN -doc_id ELSE doc_id END, title) AS p FROM l WHERE t <> ''), o AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY key, layer, t ORDER BY p) = 1) SELECT key, layer, row_number() OVER (PARTITION BY key, layer ORDER BY p)::INT AS rank, md5(title) AS title FROM o QUALIFY rank <= 3")
 def layer_sources(s, d):
-    docs = table(s, d, "documents").select(F.col("lang").alias("key"), F.col("source").alias("layer"), F.split("text", "\n")[0].alias("title"), F.col("n_chars").alias("score"))
-    return A.layer_sources(docs, 1).withColumn("title", F.md5(F.col("title").cast("binary")))
+    """Layers of documents: one by length, one the latest first, the others the earliest first."""
+    docs = table(s, d, "documents").select(F.col("lang").alias("key"), F.col("source").alias("layer"), F.split("text", "\n")[0].alias("title"), "n_chars", "doc_id")
+    order = {"src0": -F.col("n_chars"), "src1": -F.col("doc_id")}
+    return A.layer_sources(docs, order, F.col("doc_id")).withColumn("title", F.md5(F.col("title").cast("binary")))
 
 
 @query("SELECT user_id AS k, arg_max(event_type, event_id) AS event_type, max(event_id) AS event_id FROM events GROUP BY ALL")
@@ -201,11 +204,13 @@ def last_writes(s, d):
     return sinks.last_writes(e, ["k"], "event_id").select("k", "event_type", "event_id")
 
 
-@query(f"WITH {TRADE_SQL}, f AS (SELECT entity AS technology, 1998 AS year, sum(docs) / 4.0::DOUBLE AS baseline FROM dense WHERE year <= 1998 GROUP BY ALL), o AS (SELECT technology, avg(docs) AS o, any_value(baseline) AS b FROM f JOIN dense ON entity = technology AND dense.year BETWEEN 1999 AND 2000 GROUP BY ALL) SELECT technology, round(b, 6) AS baseline, round(o, 6) AS outcome, o >= 1.2 * b AS hit FROM o")
+@query(f"WITH {TRADE_SQL}, f AS (SELECT entity AS technology, y AS year, sum(docs) / 2.0::DOUBLE AS baseline FROM dense, (VALUES (1996), (1997), (1999)) v(y) WHERE year BETWEEN 1995 AND 1996 GROUP BY ALL) SELECT technology, f.year::INT AS year, round(any_value(baseline), 6) AS baseline, round(sum(docs) / greatest(any_value(least(f.year + 5, 2001) - (f.year + 3) + 1), 1), 6)::DOUBLE AS outcome, sum(docs) / greatest(any_value(least(f.year + 5, 2001) - (f.year + 3) + 1), 1) >= 1.2 * any_value(baseline) AS hit FROM f LEFT JOIN dense ON entity = technology AND dense.year BETWEEN f.year + 3 AND f.year + 5 GROUP BY technology, f.year")
 def forecast_scoring(s, d):
+    """Forecasts of three years as of 2002: the outcome is three to five years after, as far as these have passed."""
     series = _series(s, d).select(F.col("entity").alias("technology"), "year", F.col("docs").alias("n"))
-    f = series.where("year <= 1998").groupBy("technology").agg((F.sum("n") / 4.0).alias("baseline")).select("technology", F.lit(1998).alias("year"), "baseline")
-    return sinks.scored_forecasts(f, series, 2, 1.2).select("technology", F.round("baseline", 6).alias("baseline"), F.round("outcome", 6).alias("outcome"), "hit")
+    made = F.explode(F.array(*[F.lit(y) for y in (1996, 1997, 1999)])).alias("year")
+    f = series.where("year BETWEEN 1995 AND 1996").groupBy("technology").agg((F.sum("n") / 2.0).alias("baseline")).select("technology", made, "baseline")
+    return sinks.scored_forecasts(f, series, 2002, times=1.2).select("technology", "year", F.round("baseline", 6).alias("baseline"), F.round("outcome", 6).alias("outcome"), "hit")
 
 
 @query(f"WITH {TRADE_SQL}, c AS (SELECT entity, source AS science, year, df FROM cube), h AS (SELECT entity, arg_min(science, row(-n, science)) AS home FROM (SELECT entity, science, sum(df) AS n FROM c WHERE year <= 1998 GROUP BY ALL) GROUP BY ALL) SELECT home, science AS target, sum(df)::BIGINT AS n FROM c JOIN h USING (entity) WHERE year BETWEEN 1999 AND 2001 AND science <> home GROUP BY ALL")

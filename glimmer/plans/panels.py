@@ -34,6 +34,14 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def ids(spark: SparkSession, d: str, name: str = "orders", key: str = "o_orderkey") -> DataFrame:
+    """(id): the keys of a table, from which rule queries make their cases."""
+    return table(spark, d, name).select(F.col(key).cast("long").alias("id"))
+
+
+ORDER_IDS = "(SELECT o_orderkey AS id FROM orders)"
+
+
 def trade_docs(spark: SparkSession, d: str) -> DataFrame:
     """(doc_id, source, year, grp): an order, its market segment, year and nation."""
     orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), "o_custkey", F.year("o_orderdate").alias("year"))

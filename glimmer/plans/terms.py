@@ -123,7 +123,7 @@ def method_object_cross(s, d):
     return pairs.cross_series(found, docs.groupBy("year").agg(F.count(F.lit(1)).alias("n")), Params()).withColumn("growth", F.round("growth", 6))
 
 
-@query(f"WITH {TEXT_SQL}, n AS (SELECT doc_id, array_to_string(list_filter(regexp_extract_all(lower(coalesce(split_part(text, chr(10), 1), '')), '[a-z0-9]+'), lambda w: w NOT IN {_B})[:10], ' ') AS t FROM tdocs) SELECT t AS title, min(doc_id) AS doc_id, count(*)::BIGINT AS n FROM n GROUP BY ALL")
+@query(f"WITH {TEXT_SQL}, n AS (SELECT doc_id, array_to_string(list_filter(regexp_extract_all(lower(coalesce(split_part(text, chr(10), 1), '')), '[a-zа-яё0-9]+'), lambda w: w NOT IN {_in(L.TITLE_STOP)})[:10], ' ') AS t FROM tdocs) SELECT t AS title, min(doc_id) AS doc_id, count(*)::BIGINT AS n FROM n GROUP BY ALL")
 def title_dedup(s, d):
     t = X.normalized_title(F.split("text", "\n")[0])
     return text_docs(s, d).select("doc_id", t.alias("title")).groupBy("title").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n"))
@@ -149,12 +149,14 @@ def inverted_index_rebuild(s, d):
 
 
 _HOST = r"regexp_replace(lower(regexp_extract(coalesce(url, ''), '^[a-zA-Z]+://([^/?#:]+)', 1)), '^www\.', '')"
-_TRACK = "^(" + "|".join(f"{t}[^=]*" if t.endswith("_") else t for t in L.TRACKING) + ")(=|$)"
+_AT = r"^[a-zA-Z][a-zA-Z0-9+.\-]*://"
 
 
-@query(rf"""WITH p AS (SELECT page_id, {_HOST} AS h, regexp_replace(coalesce(url, ''), '#.*$', '') AS u FROM pages), q AS (SELECT *, regexp_extract(lower(u), '(10\.[0-9]{{4,9}}/[^\s?&]+)', 1) AS doi, regexp_extract(u, '^[a-zA-Z]+://[^/?]+([^?]*)', 1) AS path,
-array_to_string(list_filter(string_split(regexp_extract(u, '\?(.*)$', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(lower(x), '{_TRACK}')), '&') AS k FROM p)
-SELECT page_id, CASE WHEN h = '' OR h IN {_in(L.REDIRECTS)} THEN NULL WHEN doi <> '' THEN 'https://doi.org/' || doi ELSE 'https://' || h || regexp_replace(path, '/+$', '') || CASE WHEN k <> '' THEN '?' || k ELSE '' END END AS url FROM q""")
+@query(rf"""WITH p AS (SELECT page_id, coalesce(url, '') AS u, regexp_replace(coalesce(url, ''), '#.*$', '') AS p FROM pages),
+q AS (SELECT *, lower(regexp_extract(p, '^([a-zA-Z][a-zA-Z0-9+.\-]*)://', 1)) AS scheme, regexp_replace(lower(regexp_extract(p, '{_AT}([^/?]*)', 1)), '^www\.', '') AS net, regexp_replace(regexp_extract(p, '{_AT}[^/?]*([^?]*)', 1), '/+$', '') AS path,
+ list_transform(list_filter(string_split(regexp_extract(p, '\?(.*)$', 1), '&'), lambda x: x <> ''), lambda x: [url_decode(replace(split_part(x, '=', 1), '+', ' ')), url_decode(replace(CASE WHEN contains(x, '=') THEN substr(x, instr(x, '=') + 1) ELSE '' END, '+', ' '))]) AS kv FROM p),
+k AS (SELECT *, array_to_string(list_transform(list_filter(kv, lambda x: NOT regexp_matches(lower(x[1]), '{L.TRACKING}')), lambda x: replace(url_encode(x[1]), '%20', '+') || '=' || replace(url_encode(x[2]), '%20', '+')), '&') AS asked FROM q)
+SELECT page_id, CASE WHEN regexp_matches(lower(u), '^(10\.|doi:)') THEN 'https://doi.org/' || ltrim(CASE WHEN contains(u, ':') THEN substr(u, instr(u, ':') + 1) ELSE u END, '/') WHEN scheme <> '' AND net <> '' AND net NOT IN {_in(L.REDIRECTS)} THEN scheme || '://' || net || CASE WHEN path = '' THEN '/' ELSE path END || CASE WHEN asked <> '' THEN '?' || asked ELSE '' END END AS url FROM k""")
 def canonical_urls(s, d):
     return table(s, d, "pages").select("page_id", U.canonical_url(F.col("url")).alias("url"))
 
@@ -176,9 +178,13 @@ def page_concentration(s, d):
     return evidence.concentration(rows, "grp").select("grp", "n", F.round("syndication_rate", 6).alias("syndication_rate"), F.round("origin_concentration", 6).alias("origin_concentration"))
 
 
-@query(r"SELECT s_suppkey, trim(regexp_replace(regexp_replace(regexp_replace(lower(s_name || ', Holdings Inc.'), '[^a-z0-9 ]+', ' ', 'g'), '\b(inc|incorporated|corp|corporation|llc|ltd|limited|plc|gmbh|co|company|lp|holdings|group)\b', ' ', 'g'), ' +', ' ', 'g')) AS name FROM supplier")
+_LEGAL = ", ['Inc.', 'GmbH', 'L.L.C.', 'PBC', 'Holdings Corp.', 'Group'][1 + s_suppkey % 6]"
+
+
+@query(rf"SELECT s_suppkey, array_to_string(regexp_extract_all(regexp_replace(lower(concat_ws(', ', s_name{_LEGAL})), '{L.LEGAL_FORMS}', ' ', 'g'), '[a-z0-9]+'), ' ') AS name FROM supplier")
 def company_names(s, d):
-    return table(s, d, "supplier").select("s_suppkey", X.company_name(F.concat("s_name", F.lit(", Holdings Inc."))).alias("name"))
+    form = F.array(*[F.lit(x) for x in ("Inc.", "GmbH", "L.L.C.", "PBC", "Holdings Corp.", "Group")])[(F.col("s_suppkey") % 6).cast("int")]
+    return table(s, d, "supplier").select("s_suppkey", X.company_name(F.concat_ws(", ", "s_name", form)).alias("name"))
 
 
 _NAMES3 = "n AS (SELECT DISTINCT lower(p_type) || ' ' || lower(p_name) AS p FROM part), x AS (SELECT p, string_split(p, ' ') AS w FROM n)"

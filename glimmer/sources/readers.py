@@ -85,9 +85,12 @@ def press(raw: DataFrame, blocked: tuple[str, ...] = ()) -> DataFrame:
 
 
 def form_d(issuers: DataFrame, offerings: DataFrame, submissions: DataFrame) -> DataFrame:
-    """Three tables by ACCESSIONNUMBER: primary issuers' first filings, without pooled funds; amounts that aren't numbers are 0."""
-    rows = issuers.where("IS_PRIMARYISSUER_FLAG = 'YES'").join(offerings, "ACCESSIONNUMBER").join(submissions, "ACCESSIONNUMBER").where("SUBMISSIONTYPE = 'D'").where("INDUSTRYGROUPTYPE <> 'Pooled Investment Fund'")
-    return rows.select(company_name(F.col("ENTITYNAME")).alias("company"), F.coalesce(F.col("TOTALAMOUNTSOLD").try_cast("double"), F.lit(0.0)).alias("amount"), F.try_to_timestamp("FILING_DATE", F.lit("dd-MMM-yyyy")).cast("date").alias("at"))
+    """Three tables by ACCESSIONNUMBER: primary issuers' filings that have a date, without amendments and pooled funds (a mark
+    that is missing is no mark); amounts that aren't numbers are 0."""
+    marked = lambda c: F.coalesce(F.lower(c) == "true", F.lit(False))
+    kept = offerings.where(~marked(F.col("ISAMENDMENT")) & ~marked(F.col("ISPOOLEDINVESTMENTFUNDTYPE")))
+    rows = issuers.where("IS_PRIMARYISSUER_FLAG = 'YES'").join(kept, "ACCESSIONNUMBER").join(submissions, "ACCESSIONNUMBER")
+    return rows.where(F.try_to_timestamp("FILING_DATE", F.lit("dd-MMM-yyyy")).isNotNull()).select(company_name(F.col("ENTITYNAME")).alias("company"), F.coalesce(F.col("TOTALAMOUNTSOLD").try_cast("double"), F.lit(0.0)).alias("amount"), F.try_to_timestamp("FILING_DATE", F.lit("dd-MMM-yyyy")).cast("date").alias("at"))
 
 
 def titles(raw: DataFrame) -> DataFrame:

@@ -24,12 +24,15 @@ def last_writes(log: DataFrame, key: list[str], order: str) -> DataFrame:
     return log.groupBy(*key).agg(F.max_by(F.struct(*rest), order).alias("r")).select(*key, "r.*")
 
 
-def scored_forecasts(forecasts: DataFrame, yearly: DataFrame, horizon: int = 2, times: float = 3.0) -> DataFrame:
-    """Forecasts (technology, year, baseline) against later counts (technology, year, n): hit if the mean of the outcome
-    years is `times` the baseline; NULL while no outcome year has passed."""
-    later = forecasts.join(yearly.withColumnsRenamed({"year": "y"}), "technology", "left").where(F.col("y").isNull() | (F.col("y").between(F.col("year") + 1, F.col("year") + horizon)))
-    own = later.groupBy("technology", "year", "baseline").agg(F.avg("n").alias("outcome"))
-    return forecasts.join(own, ["technology", "year", "baseline"], "left").select("technology", "year", "baseline", "outcome", (F.col("outcome") >= times * F.col("baseline")).alias("hit"))
+def scored_forecasts(forecasts: DataFrame, yearly: DataFrame, this_year: int, horizon: tuple[int, int] = (3, 5), times: float = 3.0) -> DataFrame:
+    """Forecasts (technology, year, baseline) against later counts (technology, year, n): hit if the mean over the outcome
+    years that have passed, from three to five years after, is `times` the baseline; NULL while none has. A year without
+    a count counts as none."""
+    passed = F.least(F.col("year") + horizon[1], F.lit(this_year - 1)) - (F.col("year") + horizon[0]) + 1
+    later = forecasts.join(yearly.withColumnsRenamed({"year": "y"}), "technology").where(F.col("y").between(F.col("year") + horizon[0], F.col("year") + horizon[1]) & (F.col("y") < this_year))
+    own = later.groupBy("technology", "year").agg(F.sum("n").alias("n"))
+    rows = forecasts.join(own, ["technology", "year"], "left").withColumn("outcome", F.when(passed > 0, F.coalesce("n", F.lit(0)) / passed))
+    return rows.select("technology", "year", "baseline", "outcome", (F.col("outcome") >= times * F.col("baseline")).alias("hit"))
 
 
 def cards(rows: DataFrame, series: DataFrame, sources: DataFrame, p: Params, key: str = "entity") -> DataFrame:

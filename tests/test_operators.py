@@ -60,8 +60,15 @@ def test_standard_needs_the_head(spark, phrase, want):
     "url, want",
     [
         ("https://WWW.Example.com/a/?utm_source=x&id=3#top", "https://example.com/a?id=3"),
-        ("https://dx.doi.org/10.1145/77.88", "https://doi.org/10.1145/77.88"),
-        ("https://t.co/abc", None),
+        ("https://dx.doi.org/10.1145/77.88", "https://dx.doi.org/10.1145/77.88"),
+        ("10.1000/abc", "https://doi.org/10.1000/abc"),
+        ("doi:10.1000/abc", "https://doi.org/10.1000/abc"),
+        ("HTTP://example.com?ref_src=a&source=b&campaign=c", "http://example.com/?source=b&campaign=c"),
+        ("https://example.com:8080/a%20b/?q=x+y%2F&flag", "https://example.com:8080/a%20b?q=x+y%2F&flag="),
+        ("https://news.google.com/rss/1", None),
+        ("https://news.url.google.com/x", None),
+        ("https://t.co/abc", "https://t.co/abc"),
+        ("no address", None),
         (None, None),
     ],
 )
