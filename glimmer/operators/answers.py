@@ -20,20 +20,6 @@ def duplicate_rate(rows: DataFrame, key: Column) -> DataFrame:
     return rows.agg((1 - F.try_divide(F.countDistinct(key), F.count(F.lit(1)))).alias("duplicate_rate"))
 
 
-def claim_match(title: Column, phrase: Column) -> Column:
-    """direct: the phrase stands in the title with word edges and not inside a hyphen compound; glued: it does without
-    its spaces; none."""
-    t, p = F.lower(title), F.lower(phrase)
-    around = F.concat(F.lit(" "), F.regexp_replace(t, r"[^\p{L}\p{N}\-]+", " "), F.lit(" "))
-    glued = F.concat(F.lit(" "), F.regexp_replace(t, r"[^\p{L}\p{N}]+", " "), F.lit(" "))
-    return F.when(F.contains(around, F.concat(F.lit(" "), p, F.lit(" "))), "direct").when(F.contains(glued, F.concat(F.lit(" "), F.replace(p, F.lit(" "), F.lit("")), F.lit(" "))), "glued").otherwise("none")
-
-
-def same_alias(a: Column, b: Column) -> Column:
-    """Equal multisets of words."""
-    return F.array_sort(F.split(F.lower(a), " ")) == F.array_sort(F.split(F.lower(b), " "))
-
-
 def quote_holds(quote: Column, sources: Column, least: int = 3) -> Column:
     """A quote of at least three words that is part of one of the source titles."""
     q = F.lower(F.trim(quote))
@@ -46,13 +32,10 @@ def shortlist(rows: DataFrame, k: int = 24) -> DataFrame:
 
 
 def percentile_in(scores: DataFrame, reference: DataFrame, value: str) -> DataFrame:
-    """Adds percentile: the share of reference values at most as large, by one merge of both in order."""
-    from pyspark.sql import Window as W
-
-    n = reference.agg(F.count(F.lit(1)).alias("__n"))
-    both = scores.withColumn("__r", F.lit(0)).unionByName(reference.select(F.col(value), F.lit(1).alias("__r")), allowMissingColumns=True)
-    upto = F.sum("__r").over(W.partitionBy(F.lit(0)).orderBy(value).rangeBetween(W.unboundedPreceding, 0))
-    return both.withColumn("__k", upto).where("__r = 0").join(F.broadcast(n)).withColumn("percentile", F.try_divide("__k", "__n")).drop("__k", "__n", "__r")
+    """Adds percentile: the share of reference values at most as large."""
+    seen = scores.select(F.col(value), F.lit(0).alias("__r")).unionByName(reference.select(F.col(value), F.lit(1).alias("__r"))).where(F.col(value).isNotNull())
+    found = R.cumulated(seen.groupBy(value).agg(F.sum("__r").alias("__r")), value, "__r").select(F.col(value).alias("__v"), F.try_divide(F.col("__before") + F.col("__r"), F.col("__all")).alias("percentile"))
+    return scores.join(found, F.col(value) == F.col("__v"), "left").drop("__v")
 
 
 def labels(positives: DataFrame, negatives: DataFrame) -> DataFrame:
@@ -72,12 +55,6 @@ def tiered(rows: DataFrame, flags: list[str], soft: str, k: int = 15) -> DataFra
     return rows.where(F.col("dup_of").isNull()).withColumn("tier", tier).where(F.col("tier").isNotNull()).orderBy("tier", F.desc("score"), "id").limit(k)
 
 
-def verdict_table(verdicts: DataFrame) -> DataFrame:
-    """(config, precision, on_topic, n) from (config, query, place, verdict): S alone, and S, I or M, among all."""
-    share = lambda v: F.avg(F.col("verdict").isin(*v).cast("double"))
-    return verdicts.groupBy("config").agg(share(["S"]).alias("precision"), share(["S", "I", "M"]).alias("on_topic"), F.count(F.lit(1)).alias("n"))
-
-
 def top_overlap(a: DataFrame, b: DataFrame, k: int = 10) -> DataFrame:
     """(query, overlap): the share of the top k of two rankings (query, place, id) that they have in common."""
     top = lambda df, n: df.where(F.col("place") <= k).groupBy("query").agg(F.collect_set("id").alias(n))
@@ -91,9 +68,17 @@ def import_votes(rows: DataFrame) -> DataFrame:
     return rows.select("id", (~drop).alias("keep"), F.when(~drop & ~F.col("is_technology"), "G").alias("mark"))
 
 
-def measurement_line(series: DataFrame) -> DataFrame:
-    """(entity, line): "year:docs" of a dense series, comma-joined."""
-    return series.groupBy("entity").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("year", "docs"))), lambda x: F.concat_ws(":", x["year"].cast("string"), x["docs"].cast("string"))), ",").alias("line"))
+def measurement_line(series: DataFrame, layers: DataFrame, first: int = 2, early: str = "arxiv", wiki: Column | None = None) -> DataFrame:
+    """(entity, line): documents a year, the first year of the earliest layer with `first` of them, documents of the other
+    layers, and whether there is an article. series: dense (entity, year, docs); layers: (entity, layer, year, docs)."""
+    years = series.groupBy("entity").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("year", "docs"))), lambda x: F.concat_ws(": ", x["year"].cast("string"), x["docs"].cast("string"))), ", ").alias("years"))
+    begun = layers.where((F.col("layer") == early) & (F.col("docs") >= first)).groupBy("entity").agg(F.min("year").alias("begun"))
+    per = layers.where(F.col("layer") != early).groupBy("entity", "layer").agg(F.sum("docs").alias("n"))
+    others = per.groupBy("entity").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("layer", "n"))), lambda x: F.concat_ws(": ", x["layer"], x["n"].cast("string"))), ", ").alias("others"))
+    rows = years.join(begun, "entity", "left").join(others, "entity", "left")
+    article = F.when(wiki if wiki is not None else F.lit(False), "yes").otherwise("no")
+    parts = F.array_compact(F.array(F.concat(F.lit("by year "), "years"), F.concat(F.lit(f"first in {early} "), F.coalesce(F.col("begun").cast("string"), F.lit("never"))), F.col("others"), F.concat(F.lit("article "), article)))
+    return rows.select("entity", F.array_join(parts, "; ").alias("line"))
 
 
 def layer_sources(docs: DataFrame, order: dict[str, Column], other: Column, top: int = 3) -> DataFrame:

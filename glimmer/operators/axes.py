@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from glimmer.operators.rank import quantiles
 from glimmer.operators.windows import Params
 
 
@@ -61,5 +62,5 @@ def acceleration(series: DataFrame, late: tuple[int, int], early: tuple[int, int
 def doc_novelty(docs: DataFrame, orphan_at: float = 0.95) -> DataFrame:
     """(entity, novelty_mean, novelty_p90, orphan_share, n) from (entity, novelty); an orphan is at or above the
     corpus's own quantile."""
-    edge = docs.agg(F.percentile("novelty", orphan_at).alias("edge"))
+    edge = quantiles(docs, "novelty", [orphan_at]).select(F.col("q")[0].alias("edge"))
     return docs.join(F.broadcast(edge)).groupBy("entity").agg(F.avg("novelty").alias("novelty_mean"), F.percentile("novelty", 0.9).alias("novelty_p90"), F.avg((F.col("novelty") >= F.col("edge")).cast("double")).alias("orphan_share"), F.count(F.lit(1)).alias("n"))

@@ -12,15 +12,16 @@ from glimmer.operators.vectors import greedy_kept
 
 def decile_strata(rows: DataFrame, value: str, key: str, n: int = 10) -> DataFrame:
     """Adds stratum (0 to n - 1) by quantile edges of the rank, first come by key on ties."""
-    place = F.row_number().over(W.partitionBy(F.lit(0)).orderBy(value, key))
-    count = F.count(F.lit(1)).over(W.partitionBy(F.lit(0)))
+    placed = R.numbered(rows, [F.col(value), F.col(key)], "__at")
+    count = placed.agg(F.count(F.lit(1)).alias("__count"))
     # Edges of n equal parts of the ranks 1..N, the lower edge of a part open.
-    return rows.withColumn("stratum", F.greatest(F.ceil((place - 1) * n / F.nullif(count - 1, F.lit(0))) - 1, F.lit(0)).cast("int")).fillna({"stratum": 0})
+    stratum = F.greatest(F.ceil((F.col("__at") - 1) * n / F.nullif(F.col("__count") - 1, F.lit(0))) - 1, F.lit(0)).cast("int")
+    return placed.join(F.broadcast(count)).withColumn("stratum", F.coalesce(stratum, F.lit(0))).drop("__at", "__count")
 
 
 def with_quota(rows: DataFrame, quotas: DataFrame, group: str, order: list[Column]) -> DataFrame:
     """Each group's first rows, as many as its quota (group, quota); groups without one get none."""
-    return R.top_per(rows.join(F.broadcast(quotas), group), [group], order, F.col("quota")).drop("quota")
+    return R.top_per(rows.join(quotas, group), [group], order, F.col("quota")).drop("quota")
 
 
 def nested_dedup(terms: DataFrame, near: float = 0.25) -> DataFrame:
@@ -45,8 +46,10 @@ def transferred(new: DataFrame, labelled: DataFrame, key: Column) -> DataFrame:
 def cascade(rows: DataFrame, widths: tuple[int, int], score: str, key: str) -> DataFrame:
     """Adds stage: the last stage a candidate reached. Forced rejections leave at once; each further stage takes the best
     of those that are left, so many as its width."""
-    left = F.row_number().over(W.partitionBy("rejected").orderBy(F.desc(score), key))
-    return rows.withColumn("stage", F.when(F.col("rejected"), 1).when(left <= widths[1], 3).when(left <= widths[0], 2).otherwise(1))
+    first = lambda n: rows.where(~F.col("rejected")).orderBy(F.desc(score), key).limit(n).select(key)
+    # As many rows as the widths say.
+    best = first(widths[0]).withColumn("__two", F.lit(True)).join(first(widths[1]).withColumn("__three", F.lit(True)), key, "left")
+    return rows.join(F.broadcast(best), key, "left").withColumn("stage", F.when(F.col("__three"), 3).when(F.col("__two"), 2).otherwise(1)).drop("__two", "__three")
 
 
 def completeness_state(failures: DataFrame) -> DataFrame:
@@ -89,12 +92,14 @@ def area_decision(votes: DataFrame, named: DataFrame, named_at: float, strong: f
 
 def answer(rows: DataFrame, shown: int = 15) -> DataFrame:
     """One row of three lists from ranked rows (key, order, code): shown, more, and excluded with reasons, and counts."""
+    first = lambda which: rows.where(which).orderBy(F.desc("order"), "key").limit(4 * shown)
+    top = first(F.col("code").isNull()).unionByName(first(F.col("code").isNotNull()))
     place = F.row_number().over(W.partitionBy(F.col("code").isNull()).orderBy(F.desc("order"), "key"))
-    part = rows.withColumn("place", place).withColumn("list", F.when(F.col("code").isNotNull(), "excluded").when(F.col("place") <= shown, "shown").when(F.col("place") <= 4 * shown, "more"))
+    part = top.withColumn("place", place).withColumn("list", F.when(F.col("code").isNotNull(), "excluded").when(F.col("place") <= shown, "shown").when(F.col("place") <= 4 * shown, "more"))
     few = part.where((F.col("list").isin("shown", "more")) | ((F.col("list") == "excluded") & (F.col("place") <= 4 * shown)))
     of = lambda name: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("list") == name, F.struct("place", "key")))), lambda x: x["key"].cast("string")), ",").alias(name)
     lists = few.agg(of("shown"), of("more"), of("excluded"))
-    return lists.join(F.broadcast(part.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("code").isNotNull()).alias("n_excluded"))))
+    return lists.join(F.broadcast(rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("code").isNotNull()).alias("n_excluded"))))
 
 
 def features(rows: DataFrame) -> DataFrame:
@@ -129,3 +134,49 @@ def fingerprint(config: dict) -> str:
     import json
 
     return hashlib.sha256(json.dumps(config, sort_keys=True, ensure_ascii=False).encode()).hexdigest()
+
+
+def industrial_candidates(rows: DataFrame, lexicon: str, assessed: DataFrame, mature: int = R.MATURE_YEAR, theory_max: float = 0.6, projects: int = 3, share: float = 0.3, k: int = 1500) -> DataFrame:
+    """The k best of those not assessed yet that belong to industry, by a word of the lexicon, or by public projects and the
+    share of industrial groups; without fragments, umbrella phrases, mature ones and theory.
+
+    rows: (phrase, fragment, umbrella, projects, industry_share, first_year, theory_share, expert_p, history_p).
+    """
+    left = rows.join(assessed.select("phrase").distinct(), "phrase", "left_anti").where(~F.col("fragment") & ~F.col("umbrella"))
+    left = left.withColumn("by_word", F.replace("phrase", F.lit("_"), F.lit(" ")).rlike(lexicon))
+    belongs = F.col("by_word") | ((F.coalesce("projects", F.lit(0)) >= projects) & F.coalesce(F.col("industry_share") >= share, F.lit(False)))
+    young, plain = ~F.coalesce(F.col("first_year") <= mature, F.lit(False)), ~F.coalesce(F.col("theory_share") >= theory_max, F.lit(False))
+    made = blended(left.where(belongs & young & plain), "expert_p", "history_p")
+    return made.where("blend IS NOT NULL").orderBy(F.desc(F.round("blend", 9)), "phrase").limit(k)
+
+
+#: Words that don't make a quote be about a phrase; suffixes that are cut off; what a record starts from.
+QUOTE_FILL = frozenset("ai llm llms for of the and based model models system systems learning large language".split())
+QUOTE_SUFFIXES = ("ies", "es", "s", "ing", "ed")
+RECORD_BASE, RECORD_SPAN, UNCONFIRMED_FACTOR = 0.55, 0.4, 0.7
+
+
+def _quote_stems(text: Column) -> Column:
+    def cut(w: Column) -> Column:
+        out = w
+        for suffix in reversed(QUOTE_SUFFIXES):
+            out = F.when((F.length(w) > 4) & w.endswith(suffix), F.substr(w, F.lit(1), F.length(w) - len(suffix))).otherwise(out)
+        return out
+
+    return F.array_distinct(F.transform(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9]+"), 0), cut))
+
+
+def quote_is_about(phrase: Column, quote: Column, similarity: Column, least: float = 0.40) -> Column:
+    """The quote is close to the phrase, or holds half of its telling words (or there are none)."""
+    w = F.filter(_quote_stems(F.replace(phrase, F.lit("_"), F.lit(" "))), lambda x: ~x.isin(*sorted(QUOTE_FILL)))
+    shared = F.size(F.array_intersect(w, _quote_stems(quote)))
+    return (similarity >= least) | (F.size(w) == 0) | (shared >= F.greatest(F.lit(1), F.floor((F.size(w) + 1) / 2).cast("int")))
+
+
+def passport_scores(rows: DataFrame) -> DataFrame:
+    """Adds score: of confirmed new records .55 and .4 of the rank of their growth among them; signals of the base whose
+    sources don't confirm an event keep .7 of theirs. rows: (kind, confirmed, growth, expert), kind "base" or another."""
+    new = rows.where((F.col("kind") != "base") & F.col("confirmed"))
+    ranked = R.percentile_ranked(new, "growth", "__pct").withColumn("score", RECORD_BASE + RECORD_SPAN * F.col("__pct")).drop("__pct")
+    old = rows.where(F.col("kind") == "base").withColumn("score", F.col("expert") * F.when(F.coalesce(~F.col("confirmed"), F.lit(False)), UNCONFIRMED_FACTOR).otherwise(1.0))
+    return ranked.unionByName(old)

@@ -8,6 +8,13 @@ from pyspark.sql import functions as F
 from glimmer.functions import text as X
 
 
+def dealt(docs: DataFrame) -> DataFrame:
+    """docs dealt anew where they lie in fewer partitions than there are cores: taking phrases out of texts is worth more
+    than a shuffle of a small table. A table of many partitions stays as it is."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs.repartition(4 * cores) if docs.rdd.getNumPartitions() < cores else docs
+
+
 def vocabulary(docs: DataFrame, phrases: Column, doc: str = "doc_id", min_df: int = 3) -> DataFrame:
     """(phrase, df): document frequency of candidate phrases, at least min_df."""
     return docs.select(F.explode(F.array_distinct(phrases)).alias("phrase")).groupBy("phrase").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") >= min_df)

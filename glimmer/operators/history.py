@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from glimmer.operators.rank import quantiles
 from glimmer.operators.score import during
 from glimmer.operators.windows import Params
 
@@ -66,9 +67,8 @@ def grades(scores: DataFrame, domain: str, least: int = 300) -> DataFrame:
     for s in GRADE_SHARES:
         total += s
         points.append(round(1 - total, 10))
-    quantiles = F.percentile("p", F.array(*[F.lit(x) for x in points]))
-    own = scores.groupBy(domain).agg(quantiles.alias("own"), F.count(F.lit(1)).alias("n"))
-    every = scores.agg(quantiles.alias("every"))
+    own = scores.groupBy(domain).agg(F.percentile("p", F.array(*[F.lit(x) for x in points])).alias("own"), F.count(F.lit(1)).alias("n"))
+    every = quantiles(scores, "p", points).withColumnRenamed("q", "every")
     rows = scores.join(own, domain, "left").join(F.broadcast(every)).withColumn("edges", F.when(F.col("n") >= least, F.col("own")).otherwise(F.col("every")))
     index = F.size(F.filter("edges", lambda e: e >= F.col("p")))
     return rows.select(*scores.columns, F.array(*[F.lit(g) for g in GRADES])[index].alias("grade"))
@@ -129,8 +129,8 @@ def ladder(firsts: DataFrame, at: Column) -> DataFrame:
 
 def z_score(rows: DataFrame, value: str, by: tuple[str, ...], name: str = "z") -> DataFrame:
     """Adds the z-score within groups, by the sample deviation; 0 where there is none."""
-    w = W.partitionBy(*by)
-    return rows.withColumn(name, F.coalesce((F.col(value) - F.avg(value).over(w)) / F.nullif(F.stddev_samp(value).over(w), F.lit(0.0)), F.lit(0.0)))
+    each = rows.groupBy(*by).agg(F.avg(value).alias("__m"), F.stddev_samp(value).alias("__s"))
+    return rows.join(each, list(by)).withColumn(name, F.coalesce((F.col(value) - F.col("__m")) / F.nullif(F.col("__s"), F.lit(0.0)), F.lit(0.0))).select(*rows.columns, name)
 
 
 def bursts(series: DataFrame, groups: DataFrame, recent: tuple[int, int], prior: tuple[int, int], most_prior: int, least_recent: int, max_entropy: float) -> DataFrame:

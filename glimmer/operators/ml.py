@@ -81,13 +81,17 @@ def calibration_table(rows: DataFrame, score: str, label: str, points: int = 21)
 
 
 def bootstrap(rows: DataFrame, value: str, label: str, times: int = 200, seed: int = 7) -> DataFrame:
-    """(low, high): the middle 95 % of label means above the median value, by Poisson weights per row and repetition."""
-    reps = rows.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(times - 1))))
-    u = (F.pmod(F.xxhash64("rep", F.lit(seed), *[F.col(c) for c in rows.columns]), F.lit(1 << 30)) / (1 << 30)).cast("double")
-    weight = F.when(u < 0.36788, 0).when(u < 0.73576, 1).when(u < 0.91970, 2).when(u < 0.98101, 3).when(u < 0.99634, 4).otherwise(5)
-    per = reps.withColumn("w", weight).groupBy("rep").agg(F.try_divide(F.sum(F.col("w") * F.col(label).cast("double")), F.sum("w")).alias("m"))
-    q = F.percentile("m", F.array(F.lit(0.025), F.lit(0.975)))
-    return per.agg(q.alias("q")).select(F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
+    """(low, high): the middle 95 % of label means, by Poisson weights for each row and repetition."""
+    y = F.col(label).cast("double")
+
+    def drawn(i: int) -> Column:
+        u = F.pmod(F.xxhash64(F.lit(i), F.lit(seed), *[F.col(c) for c in rows.columns]), F.lit(1 << 30)) / (1 << 30)
+        return F.when(u < 0.36788, 0).when(u < 0.73576, 1).when(u < 0.91970, 2).when(u < 0.98101, 3).when(u < 0.99634, 4).otherwise(5)
+
+    # All repetitions in one aggregation of two sums each: no row is written out more than once.
+    sums = rows.agg(*[x for i in range(times) for x in (F.sum(drawn(i) * y).alias(f"a{i}"), F.sum(drawn(i)).alias(f"b{i}"))])
+    means = sums.select(F.explode(F.array(*[F.try_divide(F.col(f"a{i}"), F.col(f"b{i}")) for i in range(times)])).alias("m"))
+    return means.agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("q")).select(F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
 
 
 def clusters(rows: DataFrame, k: int, vec_col: str = "embedding", seed: int = 3) -> DataFrame:

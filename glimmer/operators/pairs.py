@@ -82,7 +82,7 @@ def actors(works: DataFrame, country: str = "CN", top: int = 6) -> DataFrame:
     return rows.join(top_list(own, "key", [F.desc("works"), F.asc("org")], "org", top, "best"), "key")
 
 
-def set_overlap(members: DataFrame, least: float = 0.5, max_shared: int | None = None) -> DataFrame:
+def set_overlap(members: DataFrame, least: float = 0.5) -> DataFrame:
     """(a, b, shared, overlap): sets (card, doc_id) that share at least that part of the smaller one."""
     size = members.groupBy("card").agg(F.countDistinct("doc_id").alias("n"))
     x, y = members.select(F.col("card").alias("a"), "doc_id").distinct(), members.select(F.col("card").alias("b"), "doc_id").distinct()

@@ -19,24 +19,55 @@ def percentile_rank(value: str, by: tuple[str, ...] = ()) -> Column:
     return F.when(F.col(value).isNotNull(), (F.rank().over(part.orderBy(value)) + (F.count(F.lit(1)).over(peers) - 1) / 2) / F.count(F.lit(1)).over(part))
 
 
-def percentile_ranked(rows: DataFrame, value: str, name: str = "pct", buckets: int = 256) -> DataFrame:
-    """rows with percentile_rank of a whole table, without a window over it.
+def cumulated(seen: DataFrame, value: str, weight: str, buckets: int = 256) -> DataFrame:
+    """(value, weight, __before, __all): the weight of smaller values and of all, without a window over the whole table.
 
-    Distinct values are counted, cut into buckets at approximate quantiles, ranked within their bucket, and moved by the
-    exact counts of the buckets below: a value that a third of all rows share is one row, and no task sees all.
+    Distinct values are cut into buckets at approximate quantiles, summed up within their bucket, and moved by the exact
+    sums of the buckets below: a value that a third of all rows share is one row, and no task sees all.
     """
-    seen = rows.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("__n"))
     points = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
     edges = seen.agg(F.percentile_approx(F.col(value).cast("double"), points, F.lit(10_000)).alias("__edges"))
     dealt = seen.join(F.broadcast(edges)).withColumn("__b", F.size(F.filter("__edges", lambda e: e < F.col(value).cast("double")))).drop("__edges")
-    sizes = dealt.groupBy("__b").agg(F.sum("__n").alias("__k"))
+    sizes = dealt.groupBy("__b").agg(F.sum(weight).alias("__k"))
     # At most `buckets` rows.
     below = sizes.select("__b", F.coalesce(F.sum("__k").over(W.partitionBy(F.lit(0)).orderBy("__b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__below"), F.sum("__k").over(W.partitionBy(F.lit(0))).alias("__all"))
-    inside = F.coalesce(F.sum("__n").over(W.partitionBy("__b").orderBy(value).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    ranked = dealt.withColumn("__before", inside).join(F.broadcast(below), "__b").select(F.col(value).alias("__v"), ((F.col("__below") + F.col("__before") + (F.col("__n") + 1) / 2) / F.col("__all")).alias(name))
+    inside = F.coalesce(F.sum(weight).over(W.partitionBy("__b").orderBy(value).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return dealt.withColumn("__inside", inside).join(F.broadcast(below), "__b").select(value, weight, (F.col("__below") + F.col("__inside")).alias("__before"), "__all")
+
+
+def percentile_ranked(rows: DataFrame, value: str, name: str = "pct", buckets: int = 256) -> DataFrame:
+    """rows with percentile_rank of a whole table."""
+    seen = rows.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("__n"))
+    ranked = cumulated(seen, value, "__n", buckets).select(F.col(value).alias("__v"), ((F.col("__before") + (F.col("__n") + 1) / 2) / F.col("__all")).alias(name))
     return rows.join(ranked, F.col(value) == F.col("__v"), "left").drop("__v")
 
 
+def quantiles(rows: DataFrame, value: str, points: list[float], buckets: int = 256) -> DataFrame:
+    """One row (q): the exact quantiles, interpolated between neighbours, of a whole table."""
+    seen = rows.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("__v")).groupBy("__v").agg(F.count(F.lit(1)).alias("__n"))
+    at = F.array(*[F.lit(float(p)) for p in points])
+    asked = cumulated(seen, "__v", "__n", buckets).withColumn("__at", F.explode(F.transform(at, lambda p, i: F.struct(i.alias("i"), p.alias("p")))))
+    place = F.col("__at.p") * (F.col("__all") - 1)
+    holds = lambda k: (F.col("__before") <= k) & (k < F.col("__before") + F.col("__n"))
+    # Two rows for each quantile are left at most.
+    near = asked.where(holds(F.floor(place)) | holds(F.ceil(place)))
+    part = near.groupBy(F.col("__at.i").alias("i")).agg(F.min("__v").alias("low"), F.max("__v").alias("high"), F.max(place - F.floor(place)).alias("f"))
+    value_at = F.col("low") + (F.col("high") - F.col("low")) * F.col("f")
+    return part.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", value_at.alias("x")))), lambda r: r["x"]).alias("q"))
+
+
+def numbered(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """rows with their place (from 1) in a whole order: a distributed sort, and the sizes of its partitions."""
+    from glimmer.operators.graph import settled
+
+    done = settled(rows.orderBy(*order).withColumn("__place", F.monotonically_increasing_id()))
+    part = F.shiftright("__place", 33)
+    # One row for each partition of the sort.
+    sizes = done.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__n"))
+    before = sizes.select("__part", F.coalesce(F.sum("__n").over(W.partitionBy(F.lit(0)).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__k"))
+    return done.withColumn("__part", part).join(F.broadcast(before), "__part").withColumn(name, (F.col("__k") + F.col("__place").bitwiseAND(F.lit((1 << 33) - 1)) + 1).cast("long")).drop("__part", "__place", "__k")
+
+
 def weakness() -> Column:
     """0 to 1 from expert_p_axes, history_p_axes, expert, incremental_lex, kind, verdict."""
     e, h = F.col("expert_p_axes"), F.col("history_p_axes")
@@ -98,7 +129,7 @@ def diversified(rows: DataFrame, score: str, head: str, key: str, penalty: float
     """Adds adjusted and place: the greedy choice that discounts a head's later rows is, for rows sorted within their
     head, one sort by the discounted score."""
     nth = F.row_number().over(W.partitionBy(head).orderBy(F.desc(score), F.asc(key)))
-    return rows.withColumn("adjusted", F.round(F.col(score) * F.pow(F.lit(penalty), nth - 1), 9)).withColumn("place", F.row_number().over(W.partitionBy(F.lit(0)).orderBy(F.desc("adjusted"), F.asc(key))))
+    return numbered(rows.withColumn("adjusted", F.round(F.col(score) * F.pow(F.lit(penalty), nth - 1), 9)), [F.desc("adjusted"), F.asc(key)], "place")
 
 
 def retrieval_metrics(ranks: DataFrame, k: int = 10) -> DataFrame:

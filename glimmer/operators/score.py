@@ -94,3 +94,19 @@ def scored(cube: DataFrame, totals: DataFrame, groups: DataFrame, sizes: DataFra
     out = volumes(sums).join(growth(sums), "entity").join(first_year(cube, 2, p.cutoff), "entity").join(spread(groups, sizes, p.min_group_docs, p.min_spread_docs), "entity", "left")
     out = out.withColumns({"generic": F.lit(False), "super_share": F.lit(0.0)})
     return out.withColumn("candidate", is_candidate(p)).withColumn("score", hand_score(p))
+
+
+def business_scored(rows: DataFrame, min_volume: int, min_growth: float, new_since: int, max_rate: float, fragment_share: float = 0.8) -> DataFrame:
+    """Adds volume, candidate, layers and score to terms seen by communities, startups and press.
+
+    rows: (hn_recent, hn_base, yc_recent, press_recent, launches, hn_rate, growth, first_year, sci_recent, generic, super_share).
+    """
+    volume = F.col("hn_recent") + F.col("yc_recent") + F.col("press_recent")
+    fresh = F.col("first_year") >= new_since
+    candidate = (volume >= min_volume) & (F.coalesce(F.col("growth") >= min_growth, F.lit(False)) | fresh | (F.col("yc_recent") >= 2)) & (F.col("hn_rate") <= max_rate) & ~F.col("generic") & (F.col("super_share") < fragment_share)
+    there = lambda c: (F.coalesce(F.col(c), F.lit(0)) > 0).cast("int")
+    layers = there("sci_recent") + there("hn_recent") + there("yc_recent") + there("press_recent")
+    grown = F.least(F.greatest(F.coalesce("growth", F.lit(0.0)), F.lit(0.0)), F.lit(6.0))
+    beyond = F.least(F.greatest(layers - 1, F.lit(0)), F.lit(3))
+    score = grown + fresh.cast("double") + 0.7 * F.log1p("yc_recent") + 0.3 * F.log1p("launches") + 0.5 * beyond - 0.5 * F.log10(F.greatest(volume / 200, F.lit(1.0)))
+    return rows.withColumns({"volume": volume.cast("long"), "candidate": candidate, "layers": layers, "score": score})

@@ -14,6 +14,8 @@ from glimmer.operators.graph import connected_components
 
 #: Rows of one side that meet a block of the other in one product.
 BLOCK = 2048
+#: Blocks of a side in a cell of the grid.
+CELL = 8
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -60,13 +62,14 @@ def _compared(k: int | None, least: float | None, ordered: bool):
 def compare(left: DataFrame, right: DataFrame, id_col: str, vec_col: str, k: int | None = None, least: float | None = None, ordered: bool = False) -> DataFrame:
     """(a, b, similarity): cosine of rows of left with rows of right, blocked matrix products.
 
-    Blocks of BLOCK rows meet through a grid of cells, so that each pair of blocks is one row; only what passes
-    leaves a block. With k, each block leaves its k best per row (and ties); the caller ranks them.
+    Blocks of BLOCK rows meet through a grid of cells that grows with both sides, so that a cell holds CELL blocks of each
+    whatever the input; only what passes leaves a block. With k, each block leaves its k best per row (and ties); the
+    caller ranks them.
     """
     x, y = _blocks(left, id_col, vec_col), _blocks(right, id_col, vec_col).select(F.col("ids").alias("b_ids"), F.col("vecs").alias("b_vecs"))
-    cells = 8
-    spread = lambda df, at, over: df.withColumn(at, F.pmod(F.xxhash64(df.columns[0]), F.lit(cells)).cast("int")).withColumn(over, F.explode(F.sequence(F.lit(0), F.lit(cells - 1))))
-    met = spread(x, "i", "j").join(spread(y, "j", "i"), ["i", "j"])
+    m, n = (max(8, -(-df.count() // (BLOCK * CELL))) for df in (left, right))
+    spread = lambda df, at, over, own, other: df.withColumn(at, F.pmod(F.xxhash64(df.columns[0]), F.lit(own)).cast("int")).withColumn(over, F.explode(F.sequence(F.lit(0), F.lit(other - 1))))
+    met = spread(x, "i", "j", m, n).join(spread(y, "j", "i", n, m), ["i", "j"])
     return met.select("ids", "vecs", "b_ids", "b_vecs").mapInArrow(_compared(k, least, ordered), "a long, b long, similarity double")
 
 
@@ -129,10 +132,11 @@ def similarity_components(rows: DataFrame, least: float) -> DataFrame:
     return found.join(size, "component").select(F.col("node").alias("vec_id"), "component", "size")
 
 
-def greedy_kept(items: DataFrame, conflicts: DataFrame, max_rounds: int = 200) -> DataFrame:
+def greedy_kept(items: DataFrame, conflicts: DataFrame) -> DataFrame:
     """(id, kept): walking items (id, rank) by rank, one is kept unless it conflicts (a, b) with one kept before.
 
-    In rounds, without a driver loop over rows: an item with no undecided better neighbour is decided at once.
+    In rounds, without a driver loop over rows: an item with no undecided better neighbour is decided at once. As many
+    rounds as the longest chain of conflicts has links that depend on one another.
     """
     from glimmer.operators.graph import settled
 
@@ -140,11 +144,9 @@ def greedy_kept(items: DataFrame, conflicts: DataFrame, max_rounds: int = 200) -
     both = conflicts.select("a", "b").unionByName(conflicts.select(F.col("b").alias("a"), F.col("a").alias("b")))
     edge = settled(both.join(r.toDF("a", "ra"), "a").join(r.toDF("b", "rb"), "b").where("rb < ra OR (rb = ra AND b < a)").select("a", "b").distinct())
     state = settled(r.select("id", F.lit(None).cast("boolean").alias("kept")))
-    for _ in range(max_rounds):
-        if not state.where("kept IS NULL").limit(1).count():
-            return state
+    while state.where("kept IS NULL").limit(1).count():
         seen = edge.join(state.toDF("b", "kb"), "b").groupBy("a").agg(F.max(F.coalesce("kb", F.lit(False))).alias("blocked"), F.max(F.col("kb").isNull()).alias("waiting")).withColumnRenamed("a", "id")
         now = state.join(seen, "id", "left")
         new = F.when(F.col("kept").isNotNull(), F.col("kept")).when(F.coalesce("blocked", F.lit(False)), F.lit(False)).when(~F.coalesce("waiting", F.lit(False)), F.lit(True))
         state = settled(now.select("id", new.alias("kept")))
-    raise RuntimeError("greedy selection did not settle")
+    return state

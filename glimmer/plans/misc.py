@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from glimmer.operators import answers as A
-from glimmer.operators import axes, cube, ml
+from glimmer.operators import axes, cube, grouping, ml
 from glimmer.operators import rank as R
 from glimmer.plans.panels import TRADE_SQL, ids, query, table, trade_found, trade_totals
 from glimmer.sources import readers, sinks
@@ -109,15 +109,6 @@ def semantic_shortlist(s, d):
     return A.shortlist(rows).select("id", F.col("phrase0").alias("phrase"), F.round(F.col("burst") * F.col("specificity"), 6).alias("score"))
 
 
-_T = ("A deep-edge computing chip", "Edge computing for all", "On edgecomputing hardware", "Edge-computing at last", "Nothing here", "The EDGE COMPUTING, again")
-
-
-@query("SELECT id, ['none', 'direct', 'glued', 'none', 'none', 'direct'][1 + id % 6] AS claim FROM (SELECT c_custkey AS id FROM customer) t")
-def claim_match(s, d):
-    rows = ids(s, d, "customer", "c_custkey").withColumn("title", F.array(*[F.lit(t) for t in _T])[(F.col("id") % 6).cast("int")])
-    return rows.select("id", A.claim_match(F.col("title"), F.lit("edge computing")).alias("claim"))
-
-
 @query("WITH q AS (SELECT doc_id, lower(trim(substr(text, 1 + (doc_id % 5), 20))) AS q, text FROM documents) SELECT doc_id, len(regexp_split_to_array(q, '[ \\t\\n\\r\\f\\v]+')) >= 3 AND contains(lower(text), q) AS holds FROM q")
 def quote_check(s, d):
     rows = table(s, d, "documents").select("doc_id", "text", F.substr("text", (1 + F.col("doc_id") % 5).cast("int"), F.lit(20)).alias("q"))
@@ -151,9 +142,17 @@ def _verdicts(s, d):
     return ids(s, d, "customer", "c_custkey").selectExpr("concat('c', id % 3) AS config", "id div 30 AS query", "id div 3 % 10 AS place", "element_at(array('S', 'I', 'M', 'X', 'X'), cast(1 + id * 7 % 5 AS int)) AS verdict", "id * 13 % 40 AS item")
 
 
-@query(f"WITH {_VERD} SELECT config, round(avg((verdict = 'S')::INT), 6) AS precision, round(avg((verdict <> 'X')::INT), 6) AS on_topic, count(*)::BIGINT AS n FROM vd GROUP BY ALL")
+_SHARES = "count(DISTINCT query)::BIGINT AS lists, " + ", ".join(f"round(avg((verdict IN {v})::INT), 3) AS {n}" for n, v in (("precision", "('S')"), ("on_topic", "('S', 'I', 'M')"), ("i", "('I')"), ("m", "('M')"), ("x", "('X')")))
+
+
+@query(f"WITH {_VERD} SELECT config, {_SHARES} FROM vd WHERE place < 8 GROUP BY ALL")
 def judge_precision(s, d):
-    return A.verdict_table(_verdicts(s, d)).select("config", F.round("precision", 6).alias("precision"), F.round("on_topic", 6).alias("on_topic"), "n")
+    return grouping.verdicts_by(_verdicts(s, d), ["config"], 8)
+
+
+@query(f"WITH {_VERD} SELECT config, query, {_SHARES} FROM vd WHERE place < 8 GROUP BY ALL")
+def judge_precision_by_query(s, d):
+    return grouping.verdicts_by(_verdicts(s, d), ["config", "query"], 8)
 
 
 @query(f"WITH {_VERD} SELECT query, round(count(*) / 10, 6) AS overlap FROM (SELECT query, item FROM vd WHERE config = 'c0' INTERSECT SELECT query, item FROM vd WHERE config = 'c1') GROUP BY ALL UNION ALL SELECT DISTINCT query, 0.0 FROM vd WHERE query NOT IN (SELECT query FROM (SELECT query, item FROM vd WHERE config = 'c0' INTERSECT SELECT query, item FROM vd WHERE config = 'c1'))")
@@ -172,9 +171,11 @@ def import_votes(s, d):
     return A.import_votes(ids(s, d, "customer", "c_custkey").selectExpr("id", "id div 3 % 2 = 0 AS is_technology", "element_at(array('rubric', 'task', 'term'), cast(1 + id % 3 AS int)) AS kind"))
 
 
-@query(f"WITH {TRADE_SQL} SELECT entity, string_agg(year::VARCHAR || ':' || docs::VARCHAR, ',' ORDER BY year) AS line FROM dense GROUP BY ALL")
+@query(f"""WITH {TRADE_SQL}, y AS (SELECT entity, string_agg(year::VARCHAR || ': ' || docs::VARCHAR, ', ' ORDER BY year) AS years FROM dense GROUP BY ALL), b AS (SELECT entity, min(year) AS begun FROM cube WHERE source = 'BUILDING' AND df >= 2 GROUP BY ALL), p AS (SELECT entity, source, sum(df) AS n FROM cube WHERE source <> 'BUILDING' GROUP BY ALL), o AS (SELECT entity, string_agg(source || ': ' || n::BIGINT::VARCHAR, ', ' ORDER BY source) AS others FROM p GROUP BY ALL)
+SELECT entity, 'by year ' || years || '; first in BUILDING ' || coalesce(begun::VARCHAR, 'never') || coalesce('; ' || others, '') || '; article ' || CASE WHEN entity % 3 = 0 THEN 'yes' ELSE 'no' END AS line FROM y LEFT JOIN b USING (entity) LEFT JOIN o USING (entity)""")
 def measurement_lines(s, d):
-    return A.measurement_line(_series(s, d))
+    layers = cube.count_cube(trade_found(s, d)).select("entity", F.col("source").alias("layer"), "year", F.col("df").alias("docs"))
+    return A.measurement_line(_series(s, d), layers, 2, "BUILDING", F.col("entity") % 3 == 0)
 
 
 @query(f"""WITH {TRADE_SQL}, a AS (SELECT entity, year, docs, CASE WHEN year = 2001 THEN docs * 12.0::DOUBLE / 7 ELSE docs END AS d FROM dense), m AS (SELECT entity, sum(docs)::BIGINT AS total, coalesce(sum(d) FILTER (year BETWEEN 1999 AND 2001), 0) / 3 AS r, coalesce(sum(d) FILTER (year BETWEEN 1996 AND 1998), 0) / 3 AS p, (2001 - min(year) FILTER (docs >= 3))::INT AS age, arg_max(year, row(docs, -year)) FILTER (year < 2001)::INT AS peak_year, sum(docs) FILTER (year = 2001) AS l FROM a GROUP BY ALL)

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from glimmer.operators.cube import dealt
 from glimmer.operators.windows import Params
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,7 +84,7 @@ dense AS (SELECT entity, year, coalesce(sum(df), 0)::BIGINT AS docs, coalesce(su
 
 def text_docs(spark: SparkSession, d: str) -> DataFrame:
     """(doc_id, text, lang, source, year): documents with a year by their id."""
-    return table(spark, d, "documents").select("doc_id", "text", "lang", "source", (F.lit(2012) + F.pmod(F.floor(F.col("doc_id") / 20), F.lit(15))).cast("int").alias("year"))
+    return dealt(table(spark, d, "documents").select("doc_id", "text", "lang", "source", (F.lit(2012) + F.pmod(F.floor(F.col("doc_id") / 20), F.lit(15))).cast("int").alias("year")))
 
 
 TEXT_SQL = "tdocs AS (SELECT doc_id, text, lang, source, (2012 + (doc_id // 20) % 15)::INT AS year FROM documents)"
