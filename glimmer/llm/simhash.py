@@ -10,7 +10,9 @@ then by the fingerprints themselves.
 How it scales. Texts are hashed once; equal fingerprints are one class from then on, so that copies, however
 many, are one row. A grid point's members are compared in numpy and only a spanning forest of verified links
 leaves the task; components are found by star rounds on that forest. A crowded point costs comparisons, never
-rows, and points beyond `crowd` members are searched breadth first, each member against those not yet reached.
+rows: its members are dealt once more, to grid points within 1 of either quarter of the other half (of two within 4
+bits one quarter is within Manhattan distance 2), and only what meets there is compared. What is crowded still are
+fingerprints alike but for a few bits, most of them linked, which are searched breadth first.
 
 Defined results: a null text is an empty one, its fingerprint is zero and linked like any other; repeated
 rows are members of the same class; a null id is never a component's id while another id is in it; an empty
@@ -35,7 +37,7 @@ from glimmer.operators.graph import connected_components
 RADIUS, SHINGLE, SEED = 4, 4, 42
 #: For the pipeline: the shingle sizes of a text's fingerprints, of which any may be near another text's; a size that
 #: is named again stands for another, independent view of the same shingles.
-STAGE = (SHINGLE, 5, 5, 5)
+STAGE = (5,) * 9
 CROWD = 2048
 
 
@@ -178,7 +180,7 @@ def _near(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
 
 
 def _spread(prints: np.ndarray, radius: int) -> tuple[list, list]:
-    """Links of one crowded point, breadth first: what is reached is not compared again."""
+    """Links among fingerprints, breadth first: what is reached is not compared again."""
     left, rows, cols = prints, [], []
     while len(left):
         queue, left = [left[0]], left[1:]
@@ -194,27 +196,62 @@ def _spread(prints: np.ndarray, radius: int) -> tuple[list, list]:
     return rows, cols
 
 
-def links(points: np.ndarray, prints: np.ndarray, radius: int = RADIUS, crowd: int = CROWD) -> tuple[np.ndarray, np.ndarray]:
-    """Verified links among fingerprints that share a grid point; points must be grouped."""
-    first = np.flatnonzero(np.r_[True, points[1:] != points[:-1]]) if len(points) else np.zeros(0, np.int64)
-    size = np.diff(np.r_[first, len(points)])
+def _crowded(prints: np.ndarray, half: int, radius: int, crowd: int) -> tuple[list, list]:
+    """Links of one crowded point of a half, by the quarters of the other half."""
+    vectors = (_embedded(prints) >> np.uint64(32 * (1 - half))) & np.uint64(0xFFFFFFFF)
     rows, cols = [], []
-    for at in np.flatnonzero(size > crowd):
-        r, c = _spread(np.unique(prints[first[at] : first[at] + size[at]]), radius)
+    for quarter in (0, 1):
+        own = (vectors >> np.uint64(16 * quarter)) & np.uint64(0xFFFF)
+        keys, owners = [own], [np.arange(len(prints))]
+        for lane in range(8):
+            unit, value = np.uint64(1 << (2 * lane)), (own >> np.uint64(2 * lane)) & np.uint64(3)
+            for fits, moved in ((value < 2, own + unit), (value > 0, own - unit)):
+                at = np.flatnonzero(fits)
+                keys.append(moved[at])
+                owners.append(at)
+        keys, owners = np.concatenate(keys), np.concatenate(owners)
+        order = np.argsort(keys, kind="stable")
+        keys, members = keys[order], prints[owners[order]]
+        first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+        size = np.diff(np.r_[first, len(keys)])
+        for at in np.flatnonzero(size > crowd):
+            r, c = _spread(members[first[at] : first[at] + size[at]], radius)
+            rows += r
+            cols += c
+        few = np.repeat((size <= crowd) & (size > 1), size)
+        r, c = _stepped(keys[few], members[few], radius)
         rows += r
         cols += c
-    few = np.repeat((size <= crowd) & (size > 1), size)
-    points, prints = points[few], prints[few]
-    step, at = 1, np.arange(len(points))
+    return rows, cols
+
+
+def _stepped(points: np.ndarray, prints: np.ndarray, radius: int) -> tuple[list, list]:
+    """Links among fingerprints that share a point, each compared with those at 1, 2, 3, ... places from it."""
+    rows, cols, step, at = [], [], 1, np.arange(len(points))
     while True:
         at = at[at + step < len(points)]
         at = at[points[at] == points[at + step]]
         if not len(at):
-            break
+            return rows, cols
         near = at[_near(prints[at], prints[at + step], radius)]
         rows.append(prints[near])
         cols.append(prints[near + step])
         step += 1
+
+
+def links(points: np.ndarray, prints: np.ndarray, radius: int = RADIUS, crowd: int = CROWD) -> tuple[np.ndarray, np.ndarray]:
+    """Verified links among fingerprints that share a grid point; points must be grouped."""
+    first = np.flatnonzero(np.r_[True, points[1:] != points[:-1]]) if len(points) else np.zeros(0, np.int64)
+    size = np.diff(np.r_[first, len(points)])
+    rows, cols = [], []
+    for at in np.flatnonzero(size > crowd):
+        r, c = _crowded(np.unique(prints[first[at] : first[at] + size[at]]), int(points[first[at]] >> 32) & 1, radius, crowd)
+        rows += r
+        cols += c
+    few = np.repeat((size <= crowd) & (size > 1), size)
+    r, c = _stepped(points[few], prints[few], radius)
+    rows += r
+    cols += c
     if not rows:
         return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     return np.concatenate(rows), np.concatenate(cols)

@@ -39,7 +39,7 @@ def brute_components(prints):
     return {f: root(f) for f in prints}
 
 
-def brute_groups(rows, views=((4, 0), (5, 0), (5, 1), (5, 2))):
+def brute_groups(rows, views=tuple((5, k) for k in range(9))):
     """The smallest id of each group linked by any view: rows are (id, text)."""
     label = {i: i for i, _ in rows}
 
@@ -100,6 +100,18 @@ def test_links_have_all_components(crowd):
     assert dict(zip(node.tolist(), root.tolist())) == want
 
 
+def test_crowded_points_lose_no_link():
+    """Thousands of fingerprints that share one half and differ anyhow in the other, among them near ones."""
+    r = np.random.default_rng(7)
+    other = r.integers(0, 1 << 32, 1500, dtype=np.uint64) << np.uint64(32)
+    flip = lambda k: np.bitwise_or.reduce(np.uint64(1) << r.integers(32, 64, (k, 1500)).astype(np.uint64), axis=0)
+    prints = np.unique(np.concatenate([other, other ^ flip(2), other ^ flip(3), other ^ flip(5)])) | np.uint64(0xFFFF)
+    a, b = simhash._crowded(prints, 0, 4, 50)
+    node, root = simhash.forest(np.concatenate(a), np.concatenate(b))
+    want = {f: c for f, c in brute_components([int(x) for x in prints]).items() if f != c}
+    assert dict(zip(node.tolist(), root.tolist())) == want and len(want) > 1500
+
+
 def test_manhattan_is_a_lower_bound():
     r = np.random.default_rng(2)
     a, b = (r.integers(0, 1 << 63, 5000, dtype=np.uint64) for _ in range(2))
