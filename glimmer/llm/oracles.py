@@ -42,17 +42,17 @@ b AS (SELECT a.doc_id, t, len(ws) AS n_words, length(array_to_string(ws, '')) AS
   length(t) - length(regexp_replace(t, '[A-Z]', '', 'g')) AS n_upper, coalesce(cov.n, 0) AS n_repeat_words FROM a LEFT JOIN cov USING (doc_id)),
 c AS (SELECT *, len(ls) AS n_lines, len(ls) - len(list_distinct(ls)) AS n_dup_lines FROM b),
 d AS (SELECT *, CAST((n_words < 50)::INT + 2 * (100 * n_repeat_words > 50 * n_words)::INT + 4 * (5 * n_symbols > n_words)::INT
-  + 8 * (word_chars < 3 * n_words OR word_chars > 12 * n_words)::INT + 16 * (2 * n_dup_lines > n_lines)::INT + 32 * (2 * n_upper > word_chars)::INT AS BIGINT) AS failed_bits FROM c)
+  + 8 * (word_chars < 3 * n_words OR word_chars > 12 * n_words)::INT + 16 * (2 * n_dup_lines > n_lines)::INT + 32 * (2 * n_upper > word_chars)::INT + 64 * (n_words = 0)::INT AS BIGINT) AS failed_bits FROM c)
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
-  CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, failed_bits % 4 <> 0 AS base_failed, failed_bits = 0 AS kept, failed_bits,
-  failed_bits & 3 = 0 AS kept_base_1, failed_bits & 15 = 0 AS kept_prose_1, failed_bits & 63 = 0 AS kept_prose_2 FROM d
+  CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, failed_bits % 4 <> 0 AS base_failed, failed_bits & 63 = 0 AS kept, failed_bits,
+  failed_bits & 3 = 0 AS kept_base_1, failed_bits & 15 = 0 AS kept_prose_1, failed_bits & 63 = 0 AS kept_prose_2, failed_bits & 126 = 0 AS kept_corpus_1 FROM d
 """
 
 #: Policies as (name, version, mask) and rules as (name, bit).
 ABLATIONS = f"""
 WITH led AS (SELECT failed_bits AS b FROM ({OP7})),
-p(policy, version, mask) AS (VALUES ('base', 1, 3), ('prose', 1, 15), ('prose', 2, 63)),
-r(rule, bit) AS (VALUES ('too_few_words', 1), ('repeated_windows', 2), ('symbols', 4), ('word_length', 8), ('duplicate_lines', 16), ('shouting', 32))
+p(policy, version, mask) AS (VALUES ('base', 1, 3), ('prose', 1, 15), ('prose', 2, 63), ('corpus', 1, 126)),
+r(rule, bit) AS (VALUES ('too_few_words', 1), ('repeated_windows', 2), ('symbols', 4), ('word_length', 8), ('duplicate_lines', 16), ('shouting', 32), ('no_words', 64))
 SELECT policy, version, rule, count(*) FILTER (b & mask = 0)::BIGINT AS n_kept, count(*) FILTER (b & mask & bit <> 0)::BIGINT AS n_failed,
   count(*) FILTER (b & mask = bit)::BIGINT AS n_failed_alone, count(*) FILTER (b & mask & ~bit = 0)::BIGINT AS n_kept_without
 FROM led, p JOIN r ON mask & bit <> 0 GROUP BY policy, version, rule

@@ -38,6 +38,7 @@ RULES = (
     Rule(3, "word_length", "word_chars < 3 * n_words OR word_chars > 12 * n_words"),
     Rule(4, "duplicate_lines", "2 * n_dup_lines > n_lines"),
     Rule(5, "shouting", "2 * n_upper > word_chars"),
+    Rule(6, "no_words", "n_words = 0"),
 )
 
 
@@ -58,8 +59,10 @@ POLICIES = (
     BASE,
     Policy("prose", 1, (*BASE.rules, "symbols", "word_length")),
     Policy("prose", 2, (*BASE.rules, "symbols", "word_length", "duplicate_lines", "shouting")),
+    # For a corpus: short texts may be good ones.
+    Policy("corpus", 1, ("no_words", "repeated_windows", "symbols", "word_length", "duplicate_lines", "shouting")),
 )
-CURRENT = POLICIES[-1]
+CURRENT, CORPUS = POLICIES[2:]
 
 
 def _measured(docs: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...]) -> DataFrame:
@@ -131,5 +134,5 @@ def ablations(rows: DataFrame, policies: tuple[Policy, ...] = POLICIES, rules: t
 
 def keep_good(docs: DataFrame, policy: Policy = CURRENT) -> DataFrame:
     """The rows of docs, all columns as they were, that the policy keeps."""
-    judged = judge(ledger(docs.withColumn("__row", F.struct(*docs.columns)), keep=("__row",)), policy)
-    return judged.where("kept").select("__row.*")
+    judged = ledger(docs.withColumn("__row", F.struct(*docs.columns)), keep=("__row",))
+    return judged.where(~failed(policy)).select("__row.*")

@@ -184,3 +184,9 @@ def test_one_reading_scores_as_two(documents, awkward):
     docs = documents(texts)
     one, two = ({r["doc_id"]: r["log_probability"] for r in d.collect()} for d in (lm.fit_and_score(docs), lm.score(docs, lm.fit(docs))))
     assert one.keys() == two.keys() and all(abs(one[k] - two[k]) <= 0.02 * abs(two[k]) for k in one)
+
+
+def test_null_and_repeated_ids(documents):
+    rows = lm.fit_and_score(documents(["a b c", "a b c", None, "b"], [None, 3, 3, None])).collect()
+    got = sorted((r["doc_id"] is None, r["n_words"], round(r["log_probability"], 6)) for r in rows)
+    assert [x[:2] for x in got] == [(False, 0), (False, 3), (True, 1), (True, 3)] and got[1][2] == got[3][2]

@@ -50,3 +50,8 @@ def test_shared_ids_go_together_and_empty(documents):
     ids = [r["doc_id"] for r in rows]
     assert 0 < len(ids) <= 60
     assert mixing.mix_sources(documents([])).count() == 0
+
+
+def test_null_and_repeated_ids(documents):
+    rows = mixing.mix_sources(documents(["a b c d"] * 6, [None, None, 3, 3, 4, 5]), mixing.Mix(budget_permille=1000, epochs=1)).collect()
+    assert sum(r["doc_id"] is None for r in rows) == sum(r["doc_id"] == 3 for r in rows) == 2 and len(rows) == 6
