@@ -26,17 +26,16 @@ MIX = replace(mixing.PRODUCTION, budget_permille=900, epochs=1)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the current policy rejects go; a null or empty text is one of them (too few words). Rows are judged
-    each on their own, so that repeated rows and null ids are kept or go by their texts."""
-    return quality.keep_good(docs.select(*COLUMNS))
+    """Documents that the policy for a corpus rejects go; a null text or one without words is one of them, a short one isn't.
+    Rows are judged each on their own, so that repeated rows and null ids are kept or go by their texts."""
+    return quality.keep_good(docs.select(*COLUMNS), quality.CORPUS)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by near fingerprints, directly or over others, the one of the smallest id stays. A document has
-    one fingerprint of four-word shingles and three of five-word ones; any may be near another's.
+    nine fingerprints, by independent hashes of its five-word shingles; any may be near another's.
 
-    Fingerprints within 4 bits don't find all texts of similarity 0.8: nearly all of 0.95 and more are found, most of
-    0.9 to 0.95, a third of 0.85 to 0.9. A row without an id stays only where no linked row has one; of rows
+    Fingerprints within 4 bits don't find all texts of similarity 0.8; the README has the shares. A row without an id stays only where no linked row has one; of rows
     with one id and one text one stays; null texts are empty ones, all alike.
     """
     return simhash.drop_near_copies(docs.select(*COLUMNS))
