@@ -257,52 +257,66 @@ def links(points: np.ndarray, prints: np.ndarray, radius: int = RADIUS, crowd: i
     return np.concatenate(rows), np.concatenate(cols)
 
 
+def _forests(found: Iterator[tuple[np.ndarray, np.ndarray]], most: int = 1 << 18) -> Iterator[pa.RecordBatch]:
+    """Star links with the components of the links found, reduced whenever there are many."""
+    gathered, n = [], 0
+
+    def reduced() -> tuple[np.ndarray, np.ndarray]:
+        return forest(*(np.concatenate(x) for x in zip(*gathered)))
+
+    for a, b in found:
+        if len(a):
+            gathered.append((a, b))
+            n += len(a)
+        if n > most:
+            gathered = [reduced()]
+            n = len(gathered[0][0])
+            if n > most:
+                yield pa.RecordBatch.from_arrays([*map(pa.array, gathered[0])], ["a", "b"])
+                gathered, n = [], 0
+    if gathered:
+        yield pa.RecordBatch.from_arrays([*map(pa.array, reduced())], ["a", "b"])
+
+
 def _met(radius: int, crowd: int):
     """Links within each grid point of a partition sorted by point; the last point waits for the next batch."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         point, prints = np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        gathered, n = [], 0
-
-        def out(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-            node, root = forest(a.view(np.int64), b.view(np.int64))
-            return pa.RecordBatch.from_arrays([pa.array(node), pa.array(root)], ["a", "b"])
-
-        def done(points, fps):
-            nonlocal n
-            a, b = links(points, fps, radius, crowd)
-            if len(a):
-                gathered.append((a, b))
-                n += len(a)
-
+        done = lambda points, fps: tuple(x.view(np.int64) for x in links(points, fps, radius, crowd))
         for batch in batches:
             point = np.r_[point, np.asarray(batch.column("point").to_numpy(), np.int64)]
             prints = np.r_[prints, np.asarray(batch.column("fp").to_numpy(), np.int64).view(np.uint64)]
             whole = int(np.searchsorted(point, point[-1])) if len(point) else 0
             if whole > 1 << 16:
-                done(point[:whole], prints[:whole])
+                yield done(point[:whole], prints[:whole])
                 point, prints = point[whole:], prints[whole:]
-            if n > 1 << 18:
-                a, b = (np.concatenate(x) for x in zip(*gathered))
-                node, root = forest(a.view(np.int64), b.view(np.int64))
-                gathered, n = [(node.view(np.uint64), root.view(np.uint64))], 0
-                if len(node) > 1 << 18:
-                    yield out(*gathered[0])
-                    gathered = []
-        done(point, prints)
-        if gathered:
-            yield out(*(np.concatenate(x) for x in zip(*gathered)))
+        yield done(point, prints)
 
-    return run
+    return lambda batches: _forests(found(batches))
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each node is tied to the roots that it has in any partition; star links of what that joins."""
+
+    def found() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for batch in batches:
+            roots = batch.column("roots")
+            sizes = np.diff(np.asarray(roots.offsets))
+            yield np.repeat(np.asarray(batch.column("a").to_numpy(), np.int64), sizes), np.asarray(roots.flatten().to_numpy(), np.int64)
+
+    return _forests(found())
 
 
 def near_links(prints: DataFrame, radius: int = RADIUS, crowd: int = CROWD) -> DataFrame:
     """(a, b): links between fingerprints (columns fp and seen, the view; distinct) with the components of all pairs of a
-    view within radius."""
+    view within radius. A fingerprint that links in many partitions, in each to that one's root, is brought down to
+    one row (it visits some 50 points, so it has 50 roots at most) before anything is joined."""
     if not 0 <= radius <= RADIUS:
         raise ValueError(f"the grid reaches {RADIUS} bits")
     dealt = prints.select("fp", F.col("seen").cast("long").alias("seen")).mapInArrow(_dealt, "point bigint, fp bigint")
-    return dealt.repartition("point").sortWithinPartitions("point").mapInArrow(_met(radius, crowd), "a bigint, b bigint")
+    found = dealt.repartition("point").sortWithinPartitions("point").mapInArrow(_met(radius, crowd), "a bigint, b bigint")
+    return found.groupBy("a").agg(F.collect_set("b").alias("roots")).mapInArrow(_joined, "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingles: tuple[int, ...] = (SHINGLE,), radius: int = RADIUS) -> DataFrame:
