@@ -172,12 +172,18 @@ def first_match(group: Column, rules: list[tuple[str, str]], default: str) -> Co
     return out
 
 
-def areas(text: Column, lexicon: dict[str, str], shares: dict[str, Column], labels: Column, strict: Iterable[str] = (), least: float = 0.30) -> Column:
-    """array<string>: areas by a subject word, a share of a rubric, or a label; strict ones need a label beside the share."""
-    made = []
+def areas(text: Column, lexicon: dict[str, str], shares: dict[str, Column], labels: Column, strict: Iterable[str] = (), least: float = 0.30, never: dict[str, str] | None = None, own_text: dict[str, Column] | None = None) -> Column:
+    """array<string>: areas by a subject word, a share of a rubric, or a label.
+
+    Strict ones need a label beside the share. never: words that rule an area out; own_text: areas whose subject words are
+    looked for in another text, such as the name alone. Underscores are spaces.
+    """
+    plain = lambda x: F.lower(F.replace(F.coalesce(x, F.lit("")), F.lit("_"), F.lit(" ")))
+    labels, made = F.coalesce(labels, F.expr("cast(array() as array<string>)")), []
     for a, pattern in lexicon.items():
-        lex, rub, own = F.lower(text).rlike(pattern), F.coalesce(shares.get(a, F.lit(0.0)), F.lit(0.0)) >= least, F.array_contains(labels, a)
-        made.append(F.when(lex | ((rub & own) if a in strict else (rub | own)), a))
+        lex, rub, own = plain((own_text or {}).get(a, text)).rlike(pattern), F.coalesce(shares.get(a, F.lit(0.0)), F.lit(0.0)) >= least, F.array_contains(labels, a)
+        fine = lex | ((rub & own) if a in strict else (rub | own))
+        made.append(F.when(fine & ~plain(text).rlike(never[a]) if a in (never or {}) else fine, a))
     return F.array_compact(F.array(*made))
 
 

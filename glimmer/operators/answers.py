@@ -20,10 +20,41 @@ def duplicate_rate(rows: DataFrame, key: Column) -> DataFrame:
     return rows.agg((1 - F.try_divide(F.countDistinct(key), F.count(F.lit(1)))).alias("duplicate_rate"))
 
 
+def _echoed(text: Column) -> Column:
+    return F.array_join(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9]+"), 0), " ")
+
+
+def _quoted(text: Column) -> Column:
+    return F.array_join(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-zа-я0-9]+"), 0), " ")
+
+
+def echo_holds(echo: Column, phrase: Column) -> Column:
+    """A model's line repeats the phrase it was asked about, alone or before the first dash between spaces."""
+    said, own = F.coalesce(echo, F.lit("")), _echoed(phrase)
+    return (_echoed(F.split(said, r"\s[\u2014\u2013-]\s", 2)[0]) == own) | (_echoed(said) == own)
+
+
 def quote_holds(quote: Column, sources: Column, least: int = 3) -> Column:
-    """A quote of at least three words that is part of one of the source titles."""
-    q = F.lower(F.trim(quote))
-    return (F.size(F.split(q, r"\s+")) >= least) & F.exists(sources, lambda s: F.contains(F.lower(s), q))
+    """A quote of at least three words that stands in one of the source titles, whatever the case and punctuation."""
+    q = _quoted(quote)
+    return (F.size(F.split(q, " ")) >= least) & F.exists(F.coalesce(sources, F.expr("cast(array() as array<string>)")), lambda s: F.contains(_quoted(s), q))
+
+
+#: Fixed value: the verdict on a technology that everybody has.
+EVERYDAY = "массовая"
+
+
+def checked(rows: DataFrame) -> DataFrame:
+    """Judged lines that repeat their phrase and have both verdicts, with quote_ok, the url if a source has it (else empty) and
+    accepted: a signal on the topic, and where it was verified, confirmed by its sources, quoted word by word and not everyday.
+
+    rows: (phrase, echo, signal, on_topic, verified, sources_confirm, mass, quote, url, titles, urls).
+    """
+    no = lambda c: F.coalesce(F.col(c), F.lit(False))
+    fine = rows.where(echo_holds(F.col("echo"), F.col("phrase")) & F.col("signal").isNotNull() & F.col("on_topic").isNotNull())
+    fine = fine.withColumns({"quote_ok": quote_holds(F.col("quote"), F.col("titles")), "url": F.when(F.coalesce(F.array_contains("urls", F.col("url")), F.lit(False)), F.col("url")).otherwise("")})
+    proven = no("sources_confirm") & F.col("quote_ok") & F.coalesce(F.col("mass") != EVERYDAY, F.lit(True))
+    return fine.withColumn("accepted", F.col("signal") & F.col("on_topic") & (~no("verified") | proven))
 
 
 def shortlist(rows: DataFrame, k: int = 24) -> DataFrame:
@@ -94,11 +125,27 @@ def layer_sources(docs: DataFrame, order: dict[str, Column], other: Column, top:
 
 
 def source_metrics(series: DataFrame, last: int, factor: float) -> DataFrame:
-    """(entity, total, recent_mean, prior_mean, growth, age, peak_year, last_share): the last year annualised by factor."""
+    """(entity, total, recent_mean, prior_mean, growth, age, peak_ratio, peak_year, last_share) from a dense series.
+
+    The last year is partial and annualised by factor; the prior years are seven to five years before it. Age is from the
+    first year of three documents, 0 without one; the peak and the last share are of completed years.
+    """
     d = F.when(F.col("year") == last, F.col("docs") * factor).otherwise(F.col("docs").cast("double"))
-    mean = lambda a, b: F.sum(F.when(F.col("year").between(a, b), d).otherwise(0.0)) / (b - a + 1)
-    rows = series.groupBy("entity").agg(F.sum("docs").alias("total"), mean(last - 2, last).alias("recent_mean"), mean(last - 5, last - 3).alias("prior_mean"), (last - F.min(F.when(F.col("docs") >= 3, F.col("year")))).cast("int").alias("age"), F.max_by("year", F.when(F.col("year") < last, F.struct(F.col("docs"), -F.col("year")))).alias("peak_year"), F.sum(F.when(F.col("year") == last, F.col("docs")).otherwise(0)).alias("l"))
-    return rows.select("entity", "total", "recent_mean", "prior_mean", F.ln((F.col("recent_mean") + 1) / (F.col("prior_mean") + 1)).alias("growth"), "age", "peak_year", F.try_divide("l", "total").alias("last_share"))
+    mean = lambda a, b: F.sum(F.when(F.col("year").between(a, b), d).otherwise(0.0)) / 3
+    done = F.when((F.col("year") < last) & (F.col("docs") > 0), F.struct(F.col("docs").alias("docs"), (-F.col("year")).alias("y")))
+    full = F.sum(F.when(F.col("year") == last - 1, F.col("docs")).otherwise(0))
+    rows = series.groupBy("entity").agg(F.sum("docs").alias("total"), mean(last - 2, last).alias("recent_mean"), mean(last - 7, last - 5).alias("prior_mean"), F.coalesce(last - F.min(F.when(F.col("docs") >= 3, F.col("year"))), F.lit(0)).cast("int").alias("age"), F.max(done).alias("p"), full.alias("l"))
+    peak = F.coalesce(F.col("p.docs"), F.lit(0))
+    return rows.select("entity", "total", "recent_mean", "prior_mean", F.ln((F.col("recent_mean") + 1) / (F.col("prior_mean") + 1)).alias("growth"), "age", ((F.col("l") + 1) / (peak + 1)).alias("peak_ratio"), (-F.col("p.y")).alias("peak_year"), F.coalesce(F.try_divide("l", "total"), F.lit(0.0)).alias("last_share"))
+
+
+def source_shares(found: DataFrame) -> DataFrame:
+    """(entity, preprint_share, company_share, n_fields) from documents (entity, doc_id, kind, institutions, field): of all
+    documents; of pairs of a document and a type of its institutions; distinct fields."""
+    own = found.groupBy("entity", "doc_id").agg(F.max((F.col("kind") == "preprint").cast("int")).alias("p"), F.array_distinct(F.flatten(F.collect_list(F.coalesce("institutions", F.expr("cast(array() as array<string>)"))))).alias("i"))
+    shares = own.groupBy("entity").agg((F.sum(F.coalesce("p", F.lit(0))) / F.count(F.lit(1))).alias("preprint_share"), F.coalesce(F.try_divide(F.sum(F.array_contains("i", "company").cast("int")), F.sum(F.size("i"))), F.lit(0.0)).alias("company_share"))
+    fields = found.where("field IS NOT NULL").groupBy("entity").agg(F.countDistinct("field").alias("n_fields"))
+    return shares.join(fields, "entity", "left").withColumn("n_fields", F.coalesce("n_fields", F.lit(0)).cast("long"))
 
 
 def benchmark_metrics(rows: DataFrame) -> DataFrame:

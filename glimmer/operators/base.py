@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from glimmer.operators import rank as R
+from glimmer.operators.grouping import contained
 from glimmer.operators.vectors import greedy_kept
 
 
@@ -37,6 +38,26 @@ def nested_dedup(terms: DataFrame, near: float = 0.25) -> DataFrame:
     return terms.join(kept.where("kept").select(F.col("id").alias("term")), "term", "left_semi")
 
 
+def overlapping_dedup(terms: DataFrame, near: float = 0.5, share: float = 0.5) -> DataFrame:
+    """Terms (term, score, support) without those that a better one of about their support covers: one holds the other as
+    characters, or they share so large a part of the words of the shorter.
+
+    Pairs are met by a word and the power of two of their support: far supports meet nowhere. near is 0.5 at most. A word
+    that n terms of one support have makes pairs of them, so terms are candidates, not a whole vocabulary.
+    """
+    own = terms.select("term", F.col("support").cast("double").alias("n"), F.array_distinct(F.split("term", r"\s+")).alias("w"))
+    # Supports within half of the larger are in the same or in neighbouring powers of two.
+    level = F.floor(F.log2(F.greatest(F.col("n"), F.lit(1.0)))).cast("int")
+    side = lambda x, levels: own.select(F.col("term").alias(x), F.col("n").alias(f"n{x}"), F.col("w").alias(f"w{x}"), F.explode("w").alias("word"), levels.alias("level"))
+    met = side("a", level).join(side("b", F.array(level, level + 1)).withColumn("level", F.explode("level")), ["word", "level"]).where("a <> b").dropDuplicates(["a", "b"])
+    covers = F.size(F.array_intersect("wa", "wb")) >= share * F.least(F.size("wa"), F.size("wb"))
+    close = F.abs(F.col("na") - F.col("nb")) <= near * F.greatest("na", "nb")
+    inside = contained(terms, "term").join(own.select(F.col("term").alias("a"), F.col("n").alias("na")), "a").join(own.select(F.col("term").alias("b"), F.col("n").alias("nb")), "b")
+    conflicts = met.where(covers & close).select("a", "b").unionByName(inside.where(close).select("a", "b"))
+    kept = greedy_kept(terms.select(F.col("term").alias("id"), (-F.col("score")).alias("rank")), conflicts)
+    return terms.join(kept.where("kept").select(F.col("id").alias("term")), "term", "left_semi")
+
+
 def transferred(new: DataFrame, labelled: DataFrame, key: Column) -> DataFrame:
     """new with the verdict of an older version's row of the same key; the latest version's verdict wins."""
     old = labelled.withColumn("__key", key).groupBy("__key").agg(F.max_by("verdict", "version").alias("verdict"))

@@ -91,3 +91,29 @@ def claim_state(title: Column, original: Column, canonical: Column, merged: Colu
         .when(latin(named) != latin(line), "CROSS_LANGUAGE_UNVERIFIED")
         .otherwise("NOT_NAMED")
     )
+
+
+def concrete_documents(papers: DataFrame, repositories: DataFrame, retrieved: str | None, stale: bool = False) -> DataFrame:
+    """Papers and repositories of a candidate as documents of one form, with where they came from and their tier of trust.
+
+    papers: (phrase, id, doi, title, venue, kind, published, language, text, via); repositories: (phrase, full_name,
+    description, url, created, stars, via). via is the merged name that brought a document, NULL if the candidate's own.
+    """
+    from glimmer.operators.evidence import trust_tier
+
+    title = F.substring(F.concat(F.coalesce("full_name", F.lit("")), F.lit(": "), F.coalesce("description", F.lit(""))), 1, 200)
+    works = papers.select(
+        "phrase", F.coalesce("title", F.lit("")).alias("title"), F.coalesce(F.nullif("doi", F.lit("")), F.col("id")).alias("url"), F.coalesce("venue", F.lit("OpenAlex")).alias("source_name"),
+        F.when(F.col("kind") == "preprint", "preprint").otherwise("paper").alias("kind"), "published", F.coalesce(F.nullif("language", F.lit("")), F.lit("en")).alias("language"),
+        F.substring(F.coalesce("text", F.lit("")), 1, 700).alias("snippet"), F.lit(None).cast("long").alias("stars"), "via",
+    )
+    code = repositories.select(
+        "phrase", title.alias("title"), "url", F.lit("GitHub").alias("source_name"), F.lit("repository").alias("kind"), F.nullif(F.substring("created", 1, 10), F.lit("")).alias("published"),
+        F.lit("en").alias("language"), F.lit("").alias("snippet"), F.coalesce("stars", F.lit(0)).cast("long").alias("stars"), "via",
+    )
+    own = F.coalesce("phrase", F.lit(""))
+    via = F.coalesce(F.nullif("via", F.lit("")), own)
+    return works.unionByName(code).withColumns({
+        "attachment": via, "attachment_normalized": F.array_join(tokens(via), " "), "attachment_source": F.when(via == own, "own").otherwise("merged"),
+        "tier": trust_tier(F.col("url"), F.col("kind"), F.col("source_name")), "retrieved": F.lit(retrieved).cast("string"), "status": F.lit("STALE_CACHE" if stale else "OK"),
+    }).drop("via")

@@ -19,27 +19,30 @@ def percentile_rank(value: str, by: tuple[str, ...] = ()) -> Column:
     return F.when(F.col(value).isNotNull(), (F.rank().over(part.orderBy(value)) + (F.count(F.lit(1)).over(peers) - 1) / 2) / F.count(F.lit(1)).over(part))
 
 
-def cumulated(seen: DataFrame, value: str, weight: str, buckets: int = 256) -> DataFrame:
-    """(value, weight, __before, __all): the weight of smaller values and of all, without a window over the whole table.
+def cumulated(seen: DataFrame, value: str, weight: str, buckets: int = 256, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, value, weight, __before, __all): the weight of smaller values and of all, without a window over the whole table.
 
     Distinct values are cut into buckets at approximate quantiles, summed up within their bucket, and moved by the exact
-    sums of the buckets below: a value that a third of all rows share is one row, and no task sees all.
+    sums of the buckets below: a value that a third of all rows share is one row, and no task sees all. by: columns
+    of few values, not null, each of which is a table of its own.
     """
     points = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
-    edges = seen.agg(F.percentile_approx(F.col(value).cast("double"), points, F.lit(10_000)).alias("__edges"))
-    dealt = seen.join(F.broadcast(edges)).withColumn("__b", F.size(F.filter("__edges", lambda e: e < F.col(value).cast("double")))).drop("__edges")
-    sizes = dealt.groupBy("__b").agg(F.sum(weight).alias("__k"))
-    # At most `buckets` rows.
-    below = sizes.select("__b", F.coalesce(F.sum("__k").over(W.partitionBy(F.lit(0)).orderBy("__b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__below"), F.sum("__k").over(W.partitionBy(F.lit(0))).alias("__all"))
-    inside = F.coalesce(F.sum(weight).over(W.partitionBy("__b").orderBy(value).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return dealt.withColumn("__inside", inside).join(F.broadcast(below), "__b").select(value, weight, (F.col("__below") + F.col("__inside")).alias("__before"), "__all")
-
-
-def percentile_ranked(rows: DataFrame, value: str, name: str = "pct", buckets: int = 256) -> DataFrame:
-    """rows with percentile_rank of a whole table."""
-    seen = rows.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("__n"))
-    ranked = cumulated(seen, value, "__n", buckets).select(F.col(value).alias("__v"), ((F.col("__before") + (F.col("__n") + 1) / 2) / F.col("__all")).alias(name))
-    return rows.join(ranked, F.col(value) == F.col("__v"), "left").drop("__v")
+    edges = F.broadcast(seen.groupBy(*by).agg(F.percentile_approx(F.col(value).cast("double"), points, F.lit(10_000)).alias("__edges")))
+    dealt = (seen.join(edges, list(by)) if by else seen.join(edges)).withColumn("__b", F.size(F.filter("__edges", lambda e: e < F.col(value).cast("double")))).drop("__edges")
+    sizes = dealt.groupBy(*by, "__b").agg(F.sum(weight).alias("__k"))
+    # At most `buckets` rows each.
+    whole = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))
+    below = sizes.select(*by, "__b", F.coalesce(F.sum("__k").over(whole.orderBy("__b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__below"), F.sum("__k").over(whole).alias("__all"))
+    inside = F.coalesce(F.sum(weight).over(W.partitionBy(*by, "__b").orderBy(value).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return dealt.withColumn("__inside", inside).join(F.broadcast(below), [*by, "__b"]).select(*by, value, weight, (F.col("__below") + F.col("__inside")).alias("__before"), "__all")
+
+
+def percentile_ranked(rows: DataFrame, value: str, name: str = "pct", buckets: int = 256, by: tuple[str, ...] = ()) -> DataFrame:
+    """rows with percentile_rank of a whole table, or of each value of by."""
+    seen = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("__n"))
+    ranked = cumulated(seen, value, "__n", buckets, by).select(*[F.col(c).alias(f"__by_{c}") for c in by], F.col(value).alias("__v"), ((F.col("__before") + (F.col("__n") + 1) / 2) / F.col("__all")).alias(name))
+    same = [F.col(c) == F.col(f"__by_{c}") for c in by]
+    return rows.join(ranked, [*same, F.col(value) == F.col("__v")], "left").drop("__v", *[f"__by_{c}" for c in by])
 
 
 def quantiles(rows: DataFrame, value: str, points: list[float], buckets: int = 256) -> DataFrame:

@@ -109,7 +109,10 @@ def semantic_shortlist(s, d):
     return A.shortlist(rows).select("id", F.col("phrase0").alias("phrase"), F.round(F.col("burst") * F.col("specificity"), 6).alias("score"))
 
 
-@query("WITH q AS (SELECT doc_id, lower(trim(substr(text, 1 + (doc_id % 5), 20))) AS q, text FROM documents) SELECT doc_id, len(regexp_split_to_array(q, '[ \\t\\n\\r\\f\\v]+')) >= 3 AND contains(lower(text), q) AS holds FROM q")
+_WORDS_SQL = "array_to_string(regexp_extract_all(lower(coalesce({}, '')), '[a-zа-я0-9]+'), ' ')"
+
+
+@query(f"WITH q AS (SELECT doc_id, {_WORDS_SQL.format('substr(text, 1 + (doc_id % 5), 20)')} AS q, {_WORDS_SQL.format('text')} AS t FROM documents) SELECT doc_id, len(string_split(q, ' ')) >= 3 AND contains(t, q) AS holds FROM q")
 def quote_check(s, d):
     rows = table(s, d, "documents").select("doc_id", "text", F.substr("text", (1 + F.col("doc_id") % 5).cast("int"), F.lit(20)).alias("q"))
     return rows.select("doc_id", A.quote_holds(F.col("q"), F.array("text")).alias("holds"))
@@ -178,11 +181,12 @@ def measurement_lines(s, d):
     return A.measurement_line(_series(s, d), layers, 2, "BUILDING", F.col("entity") % 3 == 0)
 
 
-@query(f"""WITH {TRADE_SQL}, a AS (SELECT entity, year, docs, CASE WHEN year = 2001 THEN docs * 12.0::DOUBLE / 7 ELSE docs END AS d FROM dense), m AS (SELECT entity, sum(docs)::BIGINT AS total, coalesce(sum(d) FILTER (year BETWEEN 1999 AND 2001), 0) / 3 AS r, coalesce(sum(d) FILTER (year BETWEEN 1996 AND 1998), 0) / 3 AS p, (2001 - min(year) FILTER (docs >= 3))::INT AS age, arg_max(year, row(docs, -year)) FILTER (year < 2001)::INT AS peak_year, sum(docs) FILTER (year = 2001) AS l FROM a GROUP BY ALL)
-SELECT entity, total, round(r, 6) AS recent_mean, round(p, 6) AS prior_mean, round(ln((r + 1) / (p + 1)), 6) + 0.0 AS growth, age, peak_year, round(l / nullif(total, 0), 6) AS last_share FROM m""")
+@query(f"""WITH {TRADE_SQL}, a AS (SELECT entity, year, docs, CASE WHEN year = 2001 THEN docs * 12.0::DOUBLE / 7 ELSE docs END AS d FROM dense),
+m AS (SELECT entity, sum(docs)::BIGINT AS total, coalesce(sum(d) FILTER (year BETWEEN 1999 AND 2001), 0) / 3 AS r, coalesce(sum(d) FILTER (year BETWEEN 1994 AND 1996), 0) / 3 AS p, coalesce(2001 - min(year) FILTER (docs >= 3), 0)::INT AS age, arg_max(year, row(docs, -year)) FILTER (year < 2001 AND docs > 0)::INT AS peak_year, coalesce(max(docs) FILTER (year < 2001), 0) AS top, sum(docs) FILTER (year = 2000) AS l FROM a GROUP BY ALL)
+SELECT entity, total, round(r, 6) AS recent_mean, round(p, 6) AS prior_mean, round(ln((r + 1) / (p + 1)), 6) + 0.0 AS growth, age, round((l + 1) / (top + 1), 6) AS peak_ratio, peak_year, round(coalesce(l / nullif(total, 0), 0), 6) AS last_share FROM m""")
 def source_metrics(s, d):
     r = lambda c: F.round(c, 6).alias(c)
-    return A.source_metrics(_series(s, d), 2001, 12.0 / 7).select("entity", "total", r("recent_mean"), r("prior_mean"), (F.round("growth", 6) + F.lit(0.0)).alias("growth"), "age", "peak_year", r("last_share"))
+    return A.source_metrics(_series(s, d), 2001, 12.0 / 7).select("entity", "total", r("recent_mean"), r("prior_mean"), (F.round("growth", 6) + F.lit(0.0)).alias("growth"), "age", r("peak_ratio"), "peak_year", r("last_share"))
 
 
 @query("WITH r AS (SELECT id, ['confirmed', 'watchlist', 'unverified'][1 + id % 3] AS state, id * 7 % 10 < 6 AS label FROM (SELECT c_custkey AS id FROM customer) t) SELECT round(avg(label::INT) FILTER (state = 'confirmed'), 6) AS confirmed_precision, round(avg(label::INT) FILTER (state = 'watchlist'), 6) AS watchlist_useful, count(*) FILTER (state = 'confirmed' AND NOT label)::BIGINT AS noise_confirmed FROM r")

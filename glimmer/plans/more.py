@@ -64,17 +64,20 @@ def science_of_group(s, d):
     return g.select("id", N.first_match(F.col("g"), _SCI, "informatics").alias("science"))
 
 
-_LEX = {"infra": r"\b(memory|ethernet|chip)\b", "agents": r"\b(agent|agentic)\b", "models": r"\b(model|models|network)\b"}
+_LEX = {"infra": r"\b(memory|ethernet|chip)\b", "agents": r"\b(agent|agentic)\b", "models": r"\b(model|models|network)\b", "edge": r"\b(shot|server|context)\b"}
+_NEVER = r"\b(series|market)\b"
 
 
-@query(f"""WITH {_PH}, x AS (SELECT phrase, length(phrase) % 7 / 10.0 AS sh, CASE WHEN length(phrase) % 2 = 0 THEN ['infra', 'models'] ELSE ['agents'] END AS l FROM ph),
-a AS (SELECT phrase, list_filter([CASE WHEN regexp_matches(phrase, '{_LEX['infra']}') OR (sh >= 0.3 AND list_contains(l, 'infra')) THEN 'infra' END, CASE WHEN regexp_matches(phrase, '{_LEX['agents']}') OR sh >= 0.3 OR list_contains(l, 'agents') THEN 'agents' END, CASE WHEN regexp_matches(phrase, '{_LEX['models']}') OR list_contains(l, 'models') THEN 'models' END], lambda v: v IS NOT NULL) AS a FROM x)
-SELECT phrase, array_to_string(a, ',') AS areas, CASE WHEN list_contains(a, 'models') THEN 'models' WHEN list_contains(a, 'infra') THEN 'infra' WHEN list_contains(a, 'agents') THEN 'agents' ELSE 'other' END AS main FROM a""")
+@query(f"""WITH {_PH}, x AS (SELECT phrase, replace(phrase, '_', ' ') AS t, length(phrase) % 7 / 10.0 AS sh, CASE WHEN length(phrase) % 2 = 0 THEN ['infra', 'models'] ELSE ['agents'] END AS l FROM ph),
+a AS (SELECT phrase, list_filter([CASE WHEN regexp_matches(t, '{_LEX['infra']}') OR (sh >= 0.3 AND list_contains(l, 'infra')) THEN 'infra' END, CASE WHEN (regexp_matches(t, '{_LEX['agents']}') OR sh >= 0.3 OR list_contains(l, 'agents')) AND NOT regexp_matches(t, '{_NEVER}') THEN 'agents' END, CASE WHEN regexp_matches(t, '{_LEX['models']}') OR list_contains(l, 'models') THEN 'models' END, CASE WHEN regexp_matches(string_split(t, ' ')[1] || ' ' || coalesce(string_split(t, ' ')[2], ''), '{_LEX['edge']}') THEN 'edge' END], lambda v: v IS NOT NULL) AS a FROM x)
+SELECT phrase, array_to_string(a, ',') AS areas, CASE WHEN list_contains(a, 'models') THEN 'models' WHEN list_contains(a, 'infra') THEN 'infra' WHEN list_contains(a, 'agents') THEN 'agents' WHEN list_contains(a, 'edge') THEN 'edge' ELSE 'other' END AS main FROM a""")
 def area_lexicon(s, d):
-    share = F.length("phrase") % 7 / 10.0
+    """One strict area, one that words rule out, and one whose subject words count in the first two words only."""
+    share, words = F.length("phrase") % 7 / 10.0, F.split(F.replace(F.col("phrase"), F.lit("_"), F.lit(" ")), " ")
     labels = F.when(F.length("phrase") % 2 == 0, F.array(F.lit("infra"), F.lit("models"))).otherwise(F.array(F.lit("agents")))
-    rows = _phrases(s, d).withColumn("a", N.areas(F.col("phrase"), _LEX, {"infra": share, "agents": share}, labels, ("infra",)))
-    return rows.select("phrase", F.array_join("a", ",").alias("areas"), N.main_area(F.col("a"), ["models", "infra", "agents"]).alias("main"))
+    found = N.areas(F.col("phrase"), _LEX, {"infra": share, "agents": share}, labels, ("infra", "edge"), never={"agents": _NEVER}, own_text={"edge": F.array_join(F.slice(words, 1, 2), " ")})
+    rows = _phrases(s, d).withColumn("a", found)
+    return rows.select("phrase", F.array_join("a", ",").alias("areas"), N.main_area(F.col("a"), ["models", "infra", "agents", "edge"]).alias("main"))
 
 
 @query(f"WITH {TRADE_SQL}, v AS (SELECT entity, sum(docs) AS v FROM dense GROUP BY ALL), r AS (SELECT entity, row_number() OVER (ORDER BY v, entity) AS p, count(*) OVER () AS n FROM v) SELECT entity, greatest(ceil((p - 1) * 10 / (n - 1)) - 1, 0)::INT AS stratum FROM r")

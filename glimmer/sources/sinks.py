@@ -41,3 +41,22 @@ def cards(rows: DataFrame, series: DataFrame, sources: DataFrame, p: Params, key
     own = sources.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("layer", "rank", "title"))).alias("sources"))
     facts = F.array_compact(F.array(F.when(F.col("first_year") > 0, F.concat(F.lit("since "), F.col("first_year").cast("string"))), F.when(F.col("growth") >= 1, F.lit("at least doubled")), F.when(F.col("n_sources") > 1, F.concat(F.col("n_sources").cast("string"), F.lit(" sources")))))
     return rows.join(line, key, "left").join(own, key, "left").select(key, facts.alias("facts"), "line", "sources")
+
+
+def ladder(layers: dict[str, tuple[Column, str]]) -> Column:
+    """array<struct<layer, present, value>>: which layers a technology has reached, with their counts in words; a layer that
+    wasn't measured (NULL) isn't present."""
+    some = lambda n: F.coalesce(n > 0, F.lit(False))
+    return F.array(*[F.struct(F.lit(k).alias("layer"), some(n).alias("present"), F.when(some(n), F.concat_ws(" ", n.cast("long").cast("string"), F.lit(unit))).otherwise("none").alias("value")) for k, (n, unit) in layers.items()])
+
+
+def share_line(series: DataFrame, by: str = "entity") -> DataFrame:
+    """(by, line): shares of a dense series (by, year, share) in ten thousandths, to three places, in order of years."""
+    points = F.array_sort(F.collect_list(F.struct("year", F.round(F.col("share") * 10_000, 3).alias("v"))))
+    return series.groupBy(by).agg(F.transform(points, lambda x: x["v"]).alias("line"))
+
+
+def largest(parts: Column, top: int = 7) -> Column:
+    """The parts of a score, array<struct<label, value>>, largest in size, to three places; ties by label, NULLs left out."""
+    order = F.transform(F.filter(parts, lambda x: x["value"].isNotNull()), lambda x: F.struct((-F.abs(x["value"])).alias("size"), x["label"].alias("label"), F.round(x["value"], 3).alias("value")))
+    return F.transform(F.slice(F.array_sort(order), 1, top), lambda x: F.struct(x["label"].alias("label"), x["value"].alias("value")))
