@@ -32,9 +32,10 @@ def mentions(docs: DataFrame, phrases: Column, vocab: DataFrame, keep: tuple[str
     return docs.select(*keep, F.explode(F.array_distinct(phrases)).alias("phrase")).join(keyed, "phrase").select(*keep, "entity_key").distinct()
 
 
-def count_cube(found: DataFrame, by: tuple[str, ...] = ("entity", "source", "year"), doc: str = "doc_id") -> DataFrame:
-    """(by..., df): distinct documents; found may repeat a document's entity."""
-    return found.select(doc, *by).distinct().groupBy(*by).agg(F.count(F.lit(1)).alias("df"))
+def count_cube(found: DataFrame, by: tuple[str, ...] = ("entity", "source", "year"), doc: str = "doc_id", once: bool = False) -> DataFrame:
+    """(by..., df): distinct documents; found may repeat a document's entity. once: it doesn't, so that only partial counts
+    are shuffled and not its rows."""
+    return (found.select(*by) if once else found.select(doc, *by).distinct()).groupBy(*by).agg(F.count(F.lit(1)).alias("df"))
 
 
 def denominators(docs: DataFrame) -> DataFrame:

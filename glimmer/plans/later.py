@@ -180,7 +180,7 @@ q AS (SELECT *, hr + yr + pr AS v, (sr > 0)::INT + (hr > 0)::INT + (yr > 0)::INT
 SELECT entity, v::BIGINT AS volume, layers::INT AS layers, v >= 5 AND (coalesce(growth >= 0.1, false) OR fy >= 1997 OR yr >= 2) AND rate <= 0.5 AS candidate, round(least(greatest(coalesce(growth, 0), 0), 6) + (fy >= 1997)::INT + 0.7 * ln(1 + yr) + 0.3 * ln(1 + la) + 0.5 * least(greatest(layers - 1, 0), 3) - 0.5 * log10(greatest(v / 200, 1)), 6) AS score FROM q""")
 def business_score(s, d):
     """Part names by the segments of their orders: one a community, one startups, one press, two science."""
-    c = cube.count_cube(trade_names(s, d))
+    c = cube.count_cube(trade_names(s, d), once=True)
     p, totals = TRADE, trade_totals(s, d).where(F.col("source") == _W["hn"])
     n = totals.agg(score.during("n_docs", p.recent).alias("nr"), score.during("n_docs", p.base).alias("nb"))
     of = lambda names, years: score.during(F.when(F.col("source").isin(*names), F.col("df")), years).cast("long")

@@ -13,7 +13,7 @@ from glimmer.streaming import cube as streams
 
 
 def _series(s, d):
-    return axes.share_series(cube.count_cube(trade_found(s, d)), trade_totals(s, d), 1995, 2001)
+    return axes.share_series(cube.count_cube(trade_found(s, d), once=True), trade_totals(s, d), 1995, 2001)
 
 
 # Readers: records come from ranges in both engines.
@@ -177,7 +177,7 @@ def import_votes(s, d):
 @query(f"""WITH {TRADE_SQL}, y AS (SELECT entity, string_agg(year::VARCHAR || ': ' || docs::VARCHAR, ', ' ORDER BY year) AS years FROM dense GROUP BY ALL), b AS (SELECT entity, min(year) AS begun FROM cube WHERE source = 'BUILDING' AND df >= 2 GROUP BY ALL), p AS (SELECT entity, source, sum(df) AS n FROM cube WHERE source <> 'BUILDING' GROUP BY ALL), o AS (SELECT entity, string_agg(source || ': ' || n::BIGINT::VARCHAR, ', ' ORDER BY source) AS others FROM p GROUP BY ALL)
 SELECT entity, 'by year ' || years || '; first in BUILDING ' || coalesce(begun::VARCHAR, 'never') || coalesce('; ' || others, '') || '; article ' || CASE WHEN entity % 3 = 0 THEN 'yes' ELSE 'no' END AS line FROM y LEFT JOIN b USING (entity) LEFT JOIN o USING (entity)""")
 def measurement_lines(s, d):
-    layers = cube.count_cube(trade_found(s, d)).select("entity", F.col("source").alias("layer"), "year", F.col("df").alias("docs"))
+    layers = cube.count_cube(trade_found(s, d), once=True).select("entity", F.col("source").alias("layer"), "year", F.col("df").alias("docs"))
     return A.measurement_line(_series(s, d), layers, 2, "BUILDING", F.col("entity") % 3 == 0)
 
 
@@ -220,7 +220,7 @@ def forecast_scoring(s, d):
 
 @query(f"WITH {TRADE_SQL}, c AS (SELECT entity, source AS science, year, df FROM cube), h AS (SELECT entity, arg_min(science, row(-n, science)) AS home FROM (SELECT entity, science, sum(df) AS n FROM c WHERE year <= 1998 GROUP BY ALL) GROUP BY ALL) SELECT home, science AS target, sum(df)::BIGINT AS n FROM c JOIN h USING (entity) WHERE year BETWEEN 1999 AND 2001 AND science <> home GROUP BY ALL")
 def migration_flows(s, d):
-    c = cube.count_cube(trade_found(s, d)).withColumnRenamed("source", "science")
+    c = cube.count_cube(trade_found(s, d), once=True).withColumnRenamed("source", "science")
     home = c.where("year <= 1998").groupBy("entity", "science").agg(F.sum("df").alias("n")).groupBy("entity").agg(F.min_by("science", F.struct(-F.col("n"), F.col("science"))).alias("home"))
     return c.where(F.col("year").between(1999, 2001)).join(home, "entity").where("science <> home").groupBy("home", F.col("science").alias("target")).agg(F.sum("df").alias("n"))
 

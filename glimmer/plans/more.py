@@ -16,7 +16,7 @@ from glimmer.plans.terms import _in
 
 
 def _cube(s, d):
-    return cube.count_cube(trade_found(s, d))
+    return cube.count_cube(trade_found(s, d), once=True)
 
 
 @query(f"""WITH {_PH}, w AS (SELECT phrase, string_split(replace(phrase, '_', ' '), ' ') AS w, string_split(phrase, ' ') AS t FROM ph)

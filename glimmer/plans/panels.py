@@ -51,16 +51,21 @@ def trade_docs(spark: SparkSession, d: str) -> DataFrame:
     return orders.join(customer, orders.o_custkey == customer.c_custkey).join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select("doc_id", "source", "year", "grp")
 
 
+def _items(spark: SparkSession, d: str, entity: str) -> DataFrame:
+    items = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col(entity).alias("entity"))
+    return items.join(trade_docs(spark, d), "doc_id").select("doc_id", "entity", "source", "year", "grp")
+
+
 def trade_found(spark: SparkSession, d: str, entity: str = "l_partkey") -> DataFrame:
-    """(doc_id, entity, source, year, grp): parts of orders."""
-    items = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_partkey").alias("entity"))
-    return items.distinct().join(trade_docs(spark, d), "doc_id").select("doc_id", "entity", "source", "year", "grp")
+    """(doc_id, entity, source, year, grp): parts of orders, each once. Lines are joined first: where that deals them by order,
+    the distinct rows of an order are in one place already."""
+    return _items(spark, d, entity).distinct()
 
 
 def trade_names(spark: SparkSession, d: str) -> DataFrame:
-    """(doc_id, entity, source, year, grp): part names of orders."""
+    """(doc_id, entity, source, year, grp): part names of orders, each once."""
     part = table(spark, d, "part").select(F.col("p_partkey").alias("entity"), F.lower("p_name").alias("name"))
-    return trade_found(spark, d).join(part, "entity").select("doc_id", F.col("name").alias("entity"), "source", "year", "grp").distinct()
+    return _items(spark, d, "l_partkey").join(part, "entity").select("doc_id", F.col("name").alias("entity"), "source", "year", "grp").distinct()
 
 
 def trade_totals(spark: SparkSession, d: str) -> DataFrame:

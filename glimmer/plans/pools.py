@@ -103,7 +103,7 @@ c AS (SELECT entity, x, v FROM (SELECT entity, unnest({list(_LAYERS)}) AS x, unn
 SELECT entity, {" || ';' || ".join(f"'{x}:' || CASE WHEN {x} > 0 THEN 'true:' || {x}::VARCHAR || ' orders' ELSE 'false:none' END" for x in _LAYERS)} AS ladder, line, coalesce(top, '') AS top FROM n JOIN l USING (entity) LEFT JOIN t USING (entity)""")
 def card_ladder(s, d):
     """Layers that a part has reached, its line of shares, and the two largest parts of a score."""
-    counts = cube.count_cube(trade_found(s, d))
+    counts = cube.count_cube(trade_found(s, d), once=True)
     sums = counts.groupBy("entity").agg(*[F.sum(F.when((F.col("source") == x) & (F.col("year") >= 1999), F.col("df"))).alias(x) for x in _LAYERS])
     parts = F.array(*[F.struct(F.lit(x).alias("label"), (F.col(x) - 3).cast("double").alias("value")) for x in _LAYERS])
     rows = sums.select("entity", sinks.ladder({x: (F.col(x), "orders") for x in _LAYERS}).alias("ladder"), sinks.largest(parts, 2).alias("top"))

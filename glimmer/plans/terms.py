@@ -60,7 +60,7 @@ def entity_fold(s, d):
 @query(f"WITH {_VOCAB}, k AS (SELECT phrase, {_KEY} AS entity FROM vocab), m AS (SELECT DISTINCT doc_id, source, year, entity FROM cand JOIN k USING (phrase) JOIN tdocs USING (doc_id)) SELECT entity, source, year, count(*)::BIGINT AS df FROM m GROUP BY ALL")
 def term_cube(s, d):
     found = cube.mentions(text_docs(s, d), X.candidates(F.col("text")), _vocab(s, d), ("doc_id", "source", "year"))
-    return cube.count_cube(found.withColumnRenamed("entity_key", "entity"))
+    return cube.count_cube(found.withColumnRenamed("entity_key", "entity"), once=True)
 
 
 @query(f"WITH {_VOCAB}, c AS (SELECT phrase, lang AS source, count(*) AS df FROM cand JOIN tdocs USING (doc_id) GROUP BY ALL) SELECT phrase, sum(df)::BIGINT AS df, count(*)::BIGINT AS n_sources FROM c GROUP BY phrase HAVING bool_or(df >= CASE source WHEN 'es' THEN 2 ELSE 3 END)")

@@ -9,7 +9,7 @@ from glimmer.plans.panels import PAST, TRADE, TRADE_SQL, query, table, trade_doc
 
 
 def _cube(s, d):
-    return cube.count_cube(trade_found(s, d))
+    return cube.count_cube(trade_found(s, d), once=True)
 
 
 def _series(s, d):
@@ -18,7 +18,7 @@ def _series(s, d):
 
 def _groups(s, d):
     sizes = trade_docs(s, d).where(F.col("year").between(1999, 2001)).groupBy("grp").agg(F.count(F.lit(1)).alias("n_docs"))
-    return cube.count_cube(trade_found(s, d).where(F.col("year").between(1999, 2001)), ("entity", "grp")), sizes
+    return cube.count_cube(trade_found(s, d).where(F.col("year").between(1999, 2001)), ("entity", "grp"), once=True), sizes
 
 
 @query(f"WITH {TRADE_SQL} SELECT entity, source, year::INT AS year, df::BIGINT AS df FROM cube")
