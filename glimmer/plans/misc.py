@@ -43,9 +43,8 @@ def community_reader(s, d):
 
 @query(r"""SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'T' || page_id::VARCHAR ELSE regexp_replace(regexp_replace(regexp_extract(regexp_replace(url, '/+$', ''), '([^/]*)$', 1), '\.[a-z]+$', ''), '[-_]+', ' ', 'g') END AS title, (2015 + page_id % 10)::INT AS year FROM pages WHERE page_id % 4 < 2 AND regexp_extract(url, '^https?://(?:www\.)?([^/]+)', 1) NOT IN ('', 'example.com')""")
 def press_reader(s, d):
-    raw = table(s, d, "pages").selectExpr("page_id", "url", "if(page_id % 3 = 0, concat('T', page_id), '') AS title", "concat(2015 + page_id % 10, '-02-03') AS date", "element_at(array('url', 'news', 'lastmod', 'none'), cast(1 + page_id % 4 AS int)) AS date_source")
-    keyed = readers.press(raw, ("example.com",)).join(raw.select("page_id", F.col("url").alias("doc_id")), "doc_id")
-    return keyed.select("page_id", "title", "year")
+    raw = table(s, d, "pages").selectExpr("page_id", "url", "if(page_id % 3 = 0, concat('T', page_id), '') AS title", "concat(2015 + page_id % 10, '-02-03') AS date", "if(page_id % 4 < 2, if(page_id % 2 = 0, 'url', 'news'), if(page_id % 4 = 2, 'lastmod', 'none')) AS date_source")
+    return readers.press(raw, ("example.com",), keep=("page_id",)).select("page_id", "title", "year")
 
 
 @query("SELECT lower(regexp_replace(c_name, '[^a-zA-Z0-9]+', ' ', 'g')) AS company, CASE WHEN o_orderkey % 7 = 0 THEN 0 ELSE o_totalprice END::DOUBLE AS amount, strftime(o_orderdate, '%Y-%m-%d') AS filed FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderkey % 3 <> 0 AND o_orderkey % 5 <> 0 AND o_orderkey % 11 <> 0 AND o_orderkey % 13 <> 0")

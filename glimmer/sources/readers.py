@@ -77,11 +77,12 @@ def startups(raw: DataFrame) -> DataFrame:
     return raw.select(F.col("name").alias("doc_id"), F.lit("yc").alias("source"), F.nullif(F.regexp_extract("batch", r"(20\d\d)", 1), F.lit("")).cast("int").alias("year"), F.col("one_liner").alias("title"), F.concat_ws(" . ", "one_liner", "long_description", F.concat_ws(" ", "tags")).alias("text"))
 
 
-def press(raw: DataFrame, blocked: tuple[str, ...] = ()) -> DataFrame:
-    """(url, title, date, date_source): dates from the URL or a news map only; the URL's last part serves for a title."""
-    slug = F.regexp_replace(F.regexp_replace(F.element_at(F.split(F.regexp_replace("url", "/+$", ""), "/"), -1), r"\.[a-z]+$", ""), "[-_]+", " ")
+def press(raw: DataFrame, blocked: tuple[str, ...] = (), keep: tuple[str, ...] = ()) -> DataFrame:
+    """(url, title, date, date_source): dates from the URL or a news map only; the URL's last part serves for a title.
+    A row each, whether or not its URL is another's too, with the columns `keep` (URLs are no keys to join by)."""
+    slug = F.regexp_replace(F.regexp_replace(F.element_at(F.split(F.regexp_replace("url", r"/+\z", ""), "/"), -1), r"\.[a-z]+\z", ""), "[-_]+", " ")
     host = F.regexp_extract("url", r"^https?://(?:www\.)?([^/]+)", 1)
-    return raw.where(F.col("date_source").isin("url", "news") & ~host.isin(*blocked, "")).select(F.col("url").alias("doc_id"), F.lit("press").alias("source"), F.substring("date", 1, 4).cast("int").alias("year"), F.coalesce(F.nullif("title", F.lit("")), slug).alias("title"), host.alias("grp"))
+    return raw.where(F.col("date_source").isin("url", "news") & ~host.isin(*blocked, "")).select(F.col("url").alias("doc_id"), F.lit("press").alias("source"), F.substring("date", 1, 4).cast("int").alias("year"), F.coalesce(F.nullif("title", F.lit("")), slug).alias("title"), host.alias("grp"), *keep)
 
 
 def form_d(issuers: DataFrame, offerings: DataFrame, submissions: DataFrame) -> DataFrame:
